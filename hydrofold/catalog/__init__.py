@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from . import ingest, quality  # noqa: F401
+from . import features, ingest, maps, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

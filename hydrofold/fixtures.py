@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.cleaning import clean_numeric
 from .operators.mapping import classify_by_threshold, null_negatives
+from .session import spread, workspace
 
 RAW_SQL = """
 SELECT e.event_id AS sample_id,
@@ -52,8 +53,27 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_SQL, events=table(spark, sf_dir, "events"), nation=table(spark, sf_dir, "nation"))
 
 
+_WRITTEN: dict[tuple[str, str], tuple[str, object]] = {}
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned table: numbers in mmol/L, negatives null, depth in metres, rock class from temperature."""
+    """The cleaned table, written once per application and read back as Parquet.
+
+    Analyses read it many times and filter on derived columns. Left as a view, such filters would be pushed
+    below the cleaning and repeat its expressions; as a table they prune columns and skip row groups.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        df = spread(clean_samples(spark, sf_dir))
+        path = workspace(spark, "silver")
+        df.write.parquet(path)
+        _WRITTEN[key] = path, df.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw to clean: numbers in mmol/L, negatives null, depth in metres, rock class from temperature."""
     from .schema import MOLAR_MASS
 
     raw = raw_samples(spark, sf_dir)

@@ -62,3 +62,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, proven_rows
     if proven_rows is None:
         proven_rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if proven_rows <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is read in fewer tasks than there are cores are spread over them; others stay in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
