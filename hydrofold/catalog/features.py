@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import BASE, NUMERIC, samples
+from ..functions import normal
 from ..operators import completeness, features
 from ..operators.profile import unpivot
 from ..plans.preprocess import preprocess
@@ -47,6 +48,11 @@ def completeness_beam(spark, d):
     return completeness.completeness_beam(samples(spark, d), POOL, beam=20)
 
 
+@register(*_beam_sql(POOL, len(POOL), 3, 3))
+def beam_topk(spark, d):
+    return completeness.completeness_beam(samples(spark, d), POOL, beam=3, top=3)
+
+
 def _availability_sql() -> str:
     columns = sorted(SHORT.values())
     bit = {c: 1 << i for i, c in enumerate(columns)}
@@ -104,14 +110,36 @@ def gaussian_quantile_grid(spark, d):
     return rounded(grid.select("feature", F.posexplode("quantiles").alias("i", "value")), "value")
 
 
-@register()
+def _horner(coefficients, x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def _scores_sql(c: str) -> str:
+    """Normal scores of one column: bracket each value in the quantile grid, then AS 241."""
+    centre, middle, tail = (tuple(_horner(p, x) for p in pair) for pair, x in zip(
+        (normal._CENTRE, normal._MIDDLE, normal._TAIL), ("(0.180625 - g * g)", "(t - 1.6)", "(t - 5.0)")))
+    return f"""SELECT sample_id, '{c}' AS feature, CASE WHEN abs(g) <= 0.425 THEN g * {centre[0]} / {centre[1]}
+      WHEN t <= 5 THEN sign(g) * {middle[0]} / {middle[1]} ELSE sign(g) * {tail[0]} / {tail[1]} END AS score FROM (
+      SELECT sample_id, p - 0.5 AS g, sqrt(-ln(least(p, 1 - p))) AS t FROM (
+        SELECT sample_id, least(greatest(CASE WHEN v <= q[1] THEN 0e0 WHEN v >= q[1000] THEN 1e0
+          WHEN q[below] = q[above] THEN (below + above - 2) / 2e0 / 999e0
+          ELSE (below - 1) / 999e0 + (v - q[below]) / (q[above] - q[below]) / 999e0 END, 1e-7), 1 - 1e-7) AS p FROM (
+          SELECT sample_id, v, q, len(list_filter(q, lambda x: x <= v)) AS below, len(list_filter(q, lambda x: x < v)) + 1 AS above FROM (
+            SELECT sample_id, {c} AS v, (SELECT quantile_cont({c}, [{_GRID}]) FROM samples) AS q FROM samples WHERE {c} IS NOT NULL))))"""
+
+
+@register(f"SELECT sample_id, feature, {r('score', 5)} AS score FROM (" + " UNION ALL ".join(_scores_sql(c) for c in ("na", "ph")) + ")")
 def gaussianize(spark, d):
-    df, names = features.gaussianize(samples(spark, d), ["na", "ca", "ph", "temperature"])
-    return df.select("sample_id", *names)
+    df, names = features.gaussianize(samples(spark, d), ["na", "ph"])
+    long = unpivot(df, names, ["sample_id"], value="score").where("score is not null")
+    return rounded(long.withColumn("feature", F.regexp_replace("feature", "_gauss$", "")), "score", digits=5)
 
 
 @register()
-def preprocessed_features(spark, d):
+def preprocess_(spark, d):
     df, report = preprocess(samples(spark, d), NUMERIC, ["latitude", "longitude", "database_number", "rock_type", "period"], "period", "sample_id")
     return df
 

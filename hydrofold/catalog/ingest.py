@@ -148,7 +148,7 @@ _NUM = (r"TRY_CAST(NULLIF(trim(regexp_replace(regexp_replace(trim({0}), '\bN/?D\
 
 @register(f"""SELECT sample_id, {_NUM.format('na_ugl')} AS na, {_NUM.format('fe_ugl')} AS fe, {_NUM.format('temperature_c')} AS t,
   coalesce(regexp_matches(na_ugl, '[<>]'), FALSE) AS na_censored FROM raw""")
-def clean_numeric_cells(spark, d):
+def clean_numeric_(spark, d):
     return raw_samples(spark, d).select(
         "sample_id", clean_numeric(F.col("na_ugl")).alias("na"), clean_numeric(F.col("fe_ugl")).alias("fe"),
         clean_numeric(F.col("temperature_c")).alias("t"), is_censored(F.col("na_ugl")).alias("na_censored"))
@@ -360,21 +360,20 @@ def _vendor_sheet(raw):
 
 
 @register(_acquired_sql())
-def acquire_source(spark, d):  # noqa: F811
-    from ..plans.acquire import acquire_source as acquire
-    df = acquire(_vendor_sheet(raw_samples(spark, d)), SOURCES["MDPI_Tibet"], keep=["sample_id"])
+def acquire_source_(spark, d):
+    df = acquire_source(_vendor_sheet(raw_samples(spark, d)), SOURCES["MDPI_Tibet"], keep=["sample_id"])
     return rounded(df, "total_dissolved_solids_in_mmol/L")
 
 
 @register("""SELECT 'Sample_' || CAST(database_number AS STRING) AS "Database_name", sample_id, na FROM samples""")
-def union_all_sources(spark, d):
+def union_sources_(spark, d):
     df = samples(spark, d).select("sample_id", "na", "database_number")
     parts = {f"Sample_{i}": df.where(F.col("database_number") == i).drop("database_number") for i in range(1, 14)}
     return union_sources(parts)
 
 
 @register("""SELECT database_name, count(*) AS n_part, count(*) AS n_merged, TRUE AS matches FROM samples GROUP BY 1""")
-def merge_reconciled(spark, d):
+def merge_reconciliation_(spark, d):
     df = samples(spark, d).select("sample_id", "database_name")
     path = tables.write_snapshot(df, workspace(spark, "merged"), "now")
     return merge_reconciliation(df, spark.read.parquet(path), "database_name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import BASE, samples
 from ..operators import clusters, features, som
 from ..operators.joins import grid_left_join
-from ..plans.maps import som_analysis, som_sweep as sweep
+from ..plans.maps import som_analysis, som_sweep
 from .registry import register, rounded, r
 
 COLUMNS = ["na", "ca", "ph", "temperature"]
@@ -82,18 +82,18 @@ def som_fit(spark, d):
 
 
 @register()
-def som_sweep(spark, d):
-    return sweep(samples(spark, d), {"base": BASE, "base_ph": [*BASE, "ph"]}, sizes=(2, 3), epochs=10)
+def som_sweep_(spark, d):
+    return som_sweep(samples(spark, d), {"base": BASE, "base_ph": [*BASE, "ph"]}, sizes=(2, 3), epochs=10)
 
 
 @register()
-def som_report(spark, d):
+def som_analysis_(spark, d):
     return som_analysis(samples(spark, d), [*BASE, "ph"], ["temperature", "ph", "na"], epochs=10).profile
 
 
 @register(f"""SELECT g.som_x, g.som_y, n, temperature FROM (SELECT (i % 4)::INT AS som_x, (i // 4)::INT AS som_y FROM range(16) g(i)) g
   LEFT JOIN (SELECT som_x, som_y, count(*) AS n, {r('avg(temperature)')} AS temperature FROM assigned GROUP BY 1, 2) USING (som_x, som_y)""", MAP)
-def grid_join(spark, d):
+def grid_left_join_(spark, d):
     means = clusters.cluster_means(assigned(spark, d), ["temperature"])
     return rounded(grid_left_join(spark, 4, 4, means), "temperature")
 

@@ -264,11 +264,16 @@ def average_rank(spark, d):
 
 @register("SELECT sample_id, na, row_number() OVER (ORDER BY na DESC NULLS LAST, sample_id) AS place FROM samples "
           "ORDER BY na DESC NULLS LAST, sample_id LIMIT 20")
-def order_and_limit(spark, d):
+def order_by(spark, d):
     top = samples(spark, d).select("sample_id", "na").orderBy(F.desc_nulls_last("na"), "sample_id").limit(20)
     return ranking.global_row_number(top.withColumn("_o", -F.col("na")), "_o", "place", start=1).drop("_o")
 
 
+@register("SELECT sample_id, na FROM samples WHERE na IS NOT NULL ORDER BY sample_id LIMIT 50")
+def limit_head(spark, d):
+    return samples(spark, d).where("na is not null").select("sample_id", "na").orderBy("sample_id").limit(50)
+
+
 @register(f"SELECT * FROM (SELECT sample_id, 'high' AS side, ibe FROM ibe WHERE ibe > 30) UNION ALL "
           f"SELECT sample_id, 'low', ibe FROM ibe WHERE ibe < -30", IBE_SQL)
 def union_extremes(spark, d):

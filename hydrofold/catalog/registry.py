@@ -23,10 +23,13 @@ ibe AS (
 
 
 def register(sql: str | None = None, ctes: str | None = None):
-    """Register a query under its function name; ``sql`` is a SELECT over the sample CTEs plus ``ctes``."""
+    """Register a query under its function name; ``sql`` is a SELECT over the sample CTEs plus ``ctes``.
+
+    A trailing underscore only keeps the function apart from an operator of the same name.
+    """
 
     def add(function: Query) -> Query:
-        name = function.__name__
+        name = function.__name__.rstrip("_")
         assert name not in QUERIES, name
         QUERIES[name] = function
         if sql is not None:

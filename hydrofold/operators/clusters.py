@@ -135,22 +135,31 @@ def kde(df: DataFrame, columns: list[str], by: list[str] = CELL, points: int = 1
     Bandwidth is n^(-1/5) deviations. Equal values are counted first, and each value meets only the fixed
     grid, so the work is linear in the number of distinct values; no value is sampled away.
     """
-    linear = list(linear)
     v = F.col("value")
-    is_linear = F.col("feature").isin(linear)
+    is_linear = F.col("feature").isin(list(linear))
     long = unpivot(df, columns, by).where(v.isNotNull() & (is_linear | (v > 0))).withColumn(
         "value", F.when(is_linear, v).otherwise(F.log10(v)))
-    counts = long.groupBy(*by, "feature", "value").agg(F.count("*").alias("w"))
-    stats = long.groupBy(*by, "feature").agg(
-        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_samp(v).alias("_std"))
-    usable = stats.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
+    return density(long, [*by, "feature"], points, min_count)
+
+
+def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int = 3) -> DataFrame:
+    """Gaussian kernel density of ``value`` per group of ``keys`` on an even grid over its range."""
+    v = F.col("value")
+    counts = long.where(v.isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("w"))
+    n, w = F.sum("w"), F.col("w")
+    # Moments of the counted values; the two-step form is as accurate as a direct deviation.
+    centre = counts.groupBy(*keys).agg(n.alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v * w) / n).alias("_mean"))
+    # One row per group: groups are clusters and features, a few hundred.
+    spread = counts.join(F.broadcast(centre), keys).groupBy(*keys, "n", "low", "high").agg(
+        F.sqrt(F.try_divide(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))), F.first("n") - 1)).alias("_std"))
+    usable = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
         "bandwidth", F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).drop("_std")
     step = (F.col("high") - F.col("low")) / F.lit(points - 1)
     grid = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i)).alias("point", "x")
     u = (F.col("x") - v) / F.col("bandwidth")
-    mass = (counts.join(usable, [*by, "feature"]).select("*", grid)
-            .groupBy(*by, "feature", "point", "x", "n", "bandwidth").agg(F.sum(F.col("w") * F.exp(u * u * -0.5)).alias("mass")))
-    return mass.select(*by, "feature", "point", "x", "n",
+    mass = (counts.join(F.broadcast(usable), keys).select("*", grid)
+            .groupBy(*keys, "point", "x", "n", "bandwidth").agg(F.sum(w * F.exp(u * u * -0.5)).alias("mass")))
+    return mass.select(*keys, "point", "x", "n",
                        (F.col("mass") / (F.col("n") * F.col("bandwidth") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))
 
 

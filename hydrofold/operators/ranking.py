@@ -45,49 +45,75 @@ def _offsets(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
     })
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, ranks_wanted: Column | None = None,
-                  task_rows: int | None = None) -> DataFrame:
+def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, int, int]:
+    """Distinct values with ``n``, written once; the largest group's distinct values; the number of groups."""
+    counts = checkpointed(
+        df.where(q(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
+    size = counts.groupBy(*by).count().agg(F.max("count"), F.count("*")).first()
+    return counts, size[0] or 0, size[1]
+
+
+def _running(partition: list[str], value: str):
+    return Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ranked_values(df: DataFrame, by: list[str], value: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Distinct values per group with ``n``, ``before`` (rows with a smaller value) and the group's ``total``.
 
     Values are counted and written once, so the source is scanned once and heavy duplicates cost one row.
     Groups of at most ``task_rows`` distinct values are ranked in one window each; larger ones are cut into
-    buckets first. ``ranks_wanted`` is an array of 0-based ranks as a function of ``total``: rows then carry
-    those of their bucket in ``_wanted``, and buckets holding none are dropped before their rows are sorted.
+    buckets first.
     """
-    counts = checkpointed(
-        df.where(q(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
-    size = counts.groupBy(*by).count().agg(F.max("count"), F.count("*")).first()
-    order = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if (size[0] or 0) <= (TASK_ROWS if task_rows is None else task_rows):
-        ranked = counts.withColumns({
-            "before": F.sum("n").over(order.partitionBy(*by)) - F.col("n"),
-            "total": F.sum("n").over(Window.partitionBy(*by))})
-        return ranked if ranks_wanted is None else ranked.withColumn("_wanted", ranks_wanted)
-    cut = _cut(counts, by, value, size[1], BUCKETS)
-    offsets = _offsets(cut, by, F.col("n"))
-    if ranks_wanted is not None:
-        inside = lambda r: (r >= F.col(_BASE)) & (r < F.col(_BASE) + F.col("_rows"))
-        offsets = offsets.withColumn("_wanted", F.filter(ranks_wanted, inside)).where(F.size("_wanted") > 0)
-    joined = cut.join(checked_broadcast(offsets.drop("_rows"), proven_rows=size[1] * BUCKETS), [*by, _BUCKET])
-    before = F.col(_BASE) + F.sum("n").over(order.partitionBy(*by, _BUCKET)) - F.col("n")
+    counts, largest, groups = _counted(df, by, value)
+    if largest <= task_rows:
+        return counts.withColumns({
+            "before": F.sum("n").over(_running(by, value)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*by))})
+    cut = _cut(counts, by, value, groups, BUCKETS)
+    return _ranked_in_buckets(cut, _offsets(cut, by, F.col("n")), by, value, groups)
+
+
+def _ranked_in_buckets(cut: DataFrame, offsets: DataFrame, by: list[str], value: str, groups: int) -> DataFrame:
+    joined = cut.join(checked_broadcast(offsets.drop("_rows"), proven_rows=groups * BUCKETS), [*by, _BUCKET])
+    before = F.col(_BASE) + F.sum("n").over(_running([*by, _BUCKET], value)) - F.col("n")
     return joined.withColumn("before", before).drop(_BUCKET, _BASE)
 
 
+def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The order statistics (by, total, rank, value) at 0-based ``ranks``, an array as a function of ``total``.
+
+    In small groups the ranks are sorted in between the values and take the last value before them. In large
+    ones only buckets that hold a wanted rank are sorted at all.
+    """
+    counts, largest, groups = _counted(df, by, value)
+    if largest <= task_rows:
+        running = counts.withColumn("_at", F.sum("n").over(_running(by, value)) - F.col("n"))
+        asked = counts.groupBy(*by).agg(F.sum("n").alias("total")).select(*by, "total", F.explode(ranks).alias("_at"))
+        both = running.select(*by, "_at", q(value).cast("double").alias("value"), F.lit(None).cast("long").alias("total")).unionByName(
+            asked.select(*by, "_at", F.lit(None).cast("double").alias("value"), "total"))
+        order = Window.partitionBy(*by).orderBy(F.col("_at"), F.col("value").asc_nulls_last()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return (both.withColumn("value", F.last("value", True).over(order)).where(F.col("total").isNotNull())
+                .select(*by, "total", F.col("_at").alias("rank"), "value"))
+    cut = _cut(counts, by, value, groups, BUCKETS)
+    inside = lambda r: (r >= F.col(_BASE)) & (r < F.col(_BASE) + F.col("_rows"))
+    offsets = _offsets(cut, by, F.col("n")).withColumn("_wanted", F.filter(ranks, inside)).where(F.size("_wanted") > 0)
+    ranked = _ranked_in_buckets(cut, offsets, by, value, groups)
+    hit = F.filter("_wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    return ranked.select(*by, "total", F.explode(hit).alias("rank"), q(value).cast("double").alias("value"))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float],
-                    output: str = "quantiles", task_rows: int | None = None) -> DataFrame:
+                    output: str = "quantiles", task_rows: int = TASK_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per group as one array column, plus ``total``.
 
     The order statistics needed are looked up by rank; no task holds a group's values.
     """
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    probs = F.from_json(F.lit(str([float(p) for p in probabilities])), "array<double>")  # folded to one literal
     position = lambda p: (F.col("total") - 1).cast("double") * p
-    wanted = F.array_distinct(F.concat(
+    ranks = F.array_distinct(F.concat(
         F.transform(probs, lambda p: F.floor(position(p))), F.transform(probs, lambda p: F.ceil(position(p)))))
-    ranked = ranked_values(df, by, value, wanted, task_rows)
-    hit = F.filter("_wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    found = ranked.select(*by, "total", q(value).cast("double").alias("_v"), F.explode(hit).alias("_rank"))
-    looked_up = found.groupBy(*by).agg(
-        F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    looked_up = values_at_ranks(df, by, value, ranks, task_rows).groupBy(*by).agg(  # twice the probabilities per group
+        F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
 
     def interpolate(p: Column) -> Column:
         low = F.element_at("_at", F.floor(position(p)))
@@ -97,18 +123,17 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     return looked_up.select(*by, "total", F.transform(probs, interpolate).alias(output))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, task_rows: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Distinct values with their tie-averaged 1-based rank."""
-    ranked = ranked_values(df, by, value, task_rows=task_rows)
+    ranked = ranked_values(df, by, value, task_rows)
     return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
 def global_row_number(df: DataFrame, order: str, output: str = "row_number", start: int = 0,
-                      task_rows: int | None = None) -> DataFrame:
+                      task_rows: int = TASK_ROWS) -> DataFrame:
     """Row position in the order of a unique numeric or timestamp column."""
     keyed = df.withColumn("_order", q(order).cast("double") if dict(df.dtypes)[order].startswith("timestamp") else q(order))
-    limit = TASK_ROWS if task_rows is None else task_rows
-    if df.select(order).limit(limit + 1).count() <= limit:
+    if df.select(order).limit(task_rows + 1).count() <= task_rows:
         position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order"))
         return keyed.withColumn(output, position.cast("long") - F.lit(1 - start)).drop("_order")
     cut = _cut(keyed, [], "_order", 1, BUCKETS)

@@ -19,7 +19,7 @@ from .features import pca
 # fixed values: map size, neighbourhood width and number of passes
 GRID = (4, 4)
 SIGMA = 2.0
-EPOCHS = 30
+EPOCHS = 20
 
 
 @dataclass(frozen=True)
