@@ -31,7 +31,7 @@ def _knn_sql() -> str:
     return f"""requests AS ({requests}),
 pairs AS (SELECT a.sample_id, a.target, b.sample_id AS donor, CASE a.target WHEN {held} END AS v, {common} AS common, {squares} AS squares
   FROM requests a, samples b WHERE CASE a.target WHEN {held} END IS NOT NULL),
-nearest AS (SELECT sample_id, target, min({{'distance': sqrt({_D}e0 / common * squares), 'donor': donor, 'v': v}}, 5) AS best
+nearest AS (SELECT sample_id, target, min({{'distance': round(sqrt({_D}e0 / common * squares), 9), 'donor': donor, 'v': v}}, 5) AS best
   FROM pairs WHERE common > 0 GROUP BY 1, 2)"""
 
 
@@ -111,9 +111,29 @@ def mask_benchmark(spark, d):
     return rounded(_named(results(spark, d)), "imputed")
 
 
-@register()
+def _mask_knn_sql() -> tuple[str, str]:
+    """Brute force: every scored row against every training row under each mask."""
+    visible = {mask: [j for j in range(len(BASE)) if not mask >> j & 1] for _, mask in MASKS}
+    searches = " UNION ALL ".join(
+        f"""SELECT a.sample_id, {mask} AS mask, min({{'distance': round(sqrt({float(len(BASE))!r}e0 / {len(seen)} * ({
+            ' + '.join(f'(a.z{j} - b.z{j}) * (a.z{j} - b.z{j})' for j in seen)})), 9), 'donor': b.sample_id}}, 5) AS best
+        FROM asked a, train b GROUP BY 1""" for mask, seen in visible.items())
+    ctes = RESULTS + f""", scaled AS (SELECT complete.*, fit.*, {', '.join(f'({c} - m{j}) / s{j} AS z{j}' for j, c in enumerate(BASE))} FROM complete, fit),
+train AS (SELECT * FROM scaled WHERE split = 'Train'), asked AS (SELECT * FROM scaled WHERE sample_id IN (SELECT sample_id FROM scored)),
+found AS ({searches}),
+guess AS (SELECT f.sample_id, f.mask, {', '.join(f'avg(t.z{j}) AS g{j}' for j in range(len(BASE)))}
+  FROM (SELECT sample_id, mask, unnest(best).donor AS donor FROM found) f JOIN train t ON t.sample_id = f.donor GROUP BY 1, 2)"""
+    names = ", ".join(f"CASE WHEN mask & {1 << j} <> 0 THEN '{c}' END" for j, c in enumerate(BASE))
+    body = " UNION ALL ".join(
+        f"""SELECT sample_id, split, bit_count(mask)::INT AS level, concat_ws(',', {names}) AS combination, '{c}' AS feature, {c} AS original,
+        {r(f'g{j} * s{j} + m{j}')} AS imputed FROM asked JOIN guess USING (sample_id) WHERE mask & {1 << j} <> 0""" for j, c in enumerate(BASE))
+    return body, ctes
+
+
+@register(*_mask_knn_sql())
 def mask_benchmark_knn(spark, d):
-    return _named(benchmark.mask_benchmark(samples(spark, d), KEY, BASE, lambda train: benchmark.knn_imputer(train, KEY, BASE)))
+    rows = benchmark.mask_benchmark(samples(spark, d), KEY, BASE, lambda train: benchmark.knn_imputer(train, KEY, BASE))
+    return rounded(_named(rows), "imputed")
 
 
 @register()

@@ -27,6 +27,10 @@ BLOCK_ROWS = 4096
 MAX_BLOCKS = 20_000
 TASK_REQUESTS = 20_000
 _BUFFER_ROWS = 32_768
+# Distances closer than this count as equal and the smaller key wins. Otherwise the last bits of a scaling
+# fitted in another summation order would choose between mirror-image neighbours.
+DISTANCE_DIGITS = 9
+_SLACK = 10.0 ** -DISTANCE_DIGITS
 
 
 # ---- search inside a task ----
@@ -78,19 +82,19 @@ def _bits(mask: int, d: int) -> list[int]:
 
 
 def box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray, features: list[int]) -> np.ndarray:
-    """Rows x blocks lower bound on the distance, a hair below it so that rounding cannot hide a neighbour."""
+    """Rows x blocks lower bound on the distance, lowered so that rounding cannot hide a neighbour."""
     out = np.zeros((len(x), len(low)))
     for j in features:
         v = x[:, j, None]
         out += np.maximum(np.maximum(low[None, :, j] - v, v - high[None, :, j]), 0.0) ** 2
-    return np.sqrt(x.shape[1] / len(features) * out) * (1.0 - 1e-9)
+    return np.sqrt(x.shape[1] / len(features) * out) * (1.0 - 1e-9) - _SLACK
 
 
 def pair_distance(x: np.ndarray, y: np.ndarray, features: list[int]) -> np.ndarray:
     out = np.zeros((len(x), len(y)))
     for j in features:
         out += (x[:, j, None] - y[None, :, j]) ** 2
-    return np.sqrt(x.shape[1] / len(features) * out)
+    return np.round(np.sqrt(x.shape[1] / len(features) * out), DISTANCE_DIGITS)
 
 
 class _Best:
