@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.cleaning import clean_numeric
+from .functions.cleaning import clean_numeric, parse_numbers
 from .operators.mapping import classify_by_threshold, null_negatives
 from .session import spread, workspace
 
@@ -76,13 +76,13 @@ def clean_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw to clean: numbers in mmol/L, negatives null, depth in metres, rock class from temperature."""
     from .schema import MOLAR_MASS
 
-    raw = raw_samples(spark, sf_dir)
-    numbers = raw.select(
-        "sample_id", "database_number", F.format_string("source_%d", "database_number").alias("database_name"),
+    text = {"depth_ft": "depth_m", "temperature_c": "temperature", **{f"{c}_ugl": c for c in IONS}}
+    parsed = parse_numbers(raw_samples(spark, sf_dir), text, clean_numeric).withColumnsRenamed(text)
+    numbers = parsed.select(
+        "sample_id", "database_number", F.concat(F.lit("source_"), F.col("database_number").cast("string")).alias("database_name"),
         "location", "well_or_spring_name", "latitude", "longitude", "lithology", "period", "ph", "sampled_at",
-        (clean_numeric(F.col("depth_ft")) * 0.3048).alias("depth_m"),
-        clean_numeric(F.col("temperature_c")).alias("temperature"),
-        *[(clean_numeric(F.col(f"{c}_ugl")) / 1000.0 / MOLAR_MASS[s]).alias(c) for c, s in IONS.items()])
+        (F.col("depth_m") * 0.3048).alias("depth_m"), "temperature",
+        *[(F.col(c) / 1000.0 / MOLAR_MASS[s]).alias(c) for c, s in IONS.items()])
     return classify_by_threshold(null_negatives(numbers, IONS), "temperature", 60.0, "Granite", "Sandstone", "rock_type")
 
 

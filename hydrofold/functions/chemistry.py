@@ -9,16 +9,16 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ANIONS, BALANCE_MASS, CATIONS, VALENCE, q
-from .cleaning import clean_numeric, numeric
+from .cleaning import numeric
 
 
 def to_millimolar(mg_per_l: Column, molar_mass: float) -> Column:
-    """mg/L text or number to mmol/L."""
-    return clean_numeric(mg_per_l) / F.lit(molar_mass)
+    """mg/L to mmol/L."""
+    return mg_per_l / F.lit(molar_mass)
 
 
 def to_micromolar(mg_per_l: Column, molar_mass: float) -> Column:
-    """mg/L text or number to µmol/L."""
+    """mg/L to µmol/L."""
     return to_millimolar(mg_per_l, molar_mass) * F.lit(1000.0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.chemistry import to_micromolar, to_millimolar, total
-from ..functions.cleaning import conform_name, numeric, unify_null
+from ..functions.cleaning import apply_to_text, clean_numeric, conform_name, parse_numbers, text_columns, unify_null
 from ..schema import CHEMISTRY, MICROMOLAR, MOLAR_MASS, TARGET_TYPES, q, species_column
 
 # fixed value: a misspelling that several sources share
@@ -69,28 +69,21 @@ def complete_schema(df: DataFrame, target: Mapping[str, T.DataType] = TARGET_TYP
 
 def unify_nulls(df: DataFrame) -> DataFrame:
     """Blank text cells and those holding ``N/D`` become null."""
-    return df.select([
-        unify_null(q(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else q(f.name)
-        for f in df.schema.fields
-    ])
+    return apply_to_text(df, text_columns(df), unify_null)
 
 
 def prescale(df: DataFrame, factors: Mapping[str, float], divide: bool = False) -> DataFrame:
     """Source-specific factors applied to strictly numeric cells before unit conversion."""
     present = {c: f for c, f in factors.items() if c in df.columns}
-    return df.withColumns({
-        c: numeric(q(c)) / F.lit(f) if divide else numeric(q(c)) * F.lit(f) for c, f in present.items()
-    }) if present else df
+    parsed = parse_numbers(df, present)
+    return parsed.withColumns({c: q(c) / F.lit(f) if divide else q(c) * F.lit(f) for c, f in present.items()}) if present else df
 
 
 def convert_units(df: DataFrame, molar_mass: Mapping[str, float] = MOLAR_MASS) -> DataFrame:
     """Species columns hold mg/L under their target name; turn them into the unit the name says."""
-    cells = {}
-    for name, species in CHEMISTRY.items():
-        if name in df.columns:
-            convert = to_micromolar if species in MICROMOLAR else to_millimolar
-            cells[name] = convert(q(name), molar_mass[species])
-    return df.withColumns(cells) if cells else df
+    present = {c: s for c, s in CHEMISTRY.items() if c in df.columns}
+    converted = {c: (to_micromolar if s in MICROMOLAR else to_millimolar)(q(c), molar_mass[s]) for c, s in present.items()}
+    return parse_numbers(df, present, clean_numeric).withColumns(converted) if present else df
 
 
 def convert_units_by_name(df: DataFrame, molar_mass: Mapping[str, float] = MOLAR_MASS,
@@ -103,12 +96,12 @@ def convert_units_by_name(df: DataFrame, molar_mass: Mapping[str, float] = MOLAR
         species = name.replace("_in_mg/L", "").replace("_in_mg_L", "")
         if species not in molar_mass:
             continue
-        millimolar = numeric(q(name)) / F.lit(molar_mass[species])
-        if species_column(species, "mmol/L") in attributes:
-            cells[species_column(species, "mmol/L")] = millimolar
-        elif species_column(species, "umol/L") in attributes:
-            cells[species_column(species, "umol/L")] = millimolar * F.lit(1000.0)
-    return df.withColumns(cells) if cells else df
+        for unit, convert in (("mmol/L", to_millimolar), ("umol/L", to_micromolar)):
+            if species_column(species, unit) in attributes:
+                cells[species_column(species, unit)] = name, convert, molar_mass[species]
+                break
+    parsed = parse_numbers(df.withColumns({c: q(name) for c, (name, _, _) in cells.items()}), cells) if cells else df
+    return parsed.withColumns({c: convert(q(c), mass) for c, (_, convert, mass) in cells.items()}) if cells else df
 
 
 def null_negatives(df: DataFrame, columns: Iterable[str] = tuple(CHEMISTRY)) -> DataFrame:
@@ -133,8 +126,8 @@ def assign_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 def classify_by_threshold(df: DataFrame, column: str, threshold: float, above: str, otherwise: str, output: str) -> DataFrame:
     """Class by a numeric threshold, null where the value is missing; overwrites ``output``."""
-    value = numeric(q(column))
-    return df.withColumn("_v", value).withColumn(
+    value = parse_numbers(df.withColumn("_v", q(column)), ["_v"])
+    return value.withColumn(
         output, F.when(F.col("_v") > threshold, above).when(F.col("_v") <= threshold, otherwise)
     ).drop("_v")
 

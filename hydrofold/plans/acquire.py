@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.cleaning import numeric
+from ..functions.cleaning import parse_numbers
 from ..operators import mapping as m
 from ..operators.filters import filter_valid_coordinates
 from ..schema import CHEMISTRY, MOLAR_MASS, TARGET_TYPES, q
@@ -43,9 +43,8 @@ def harmonise(mapped: DataFrame, spec: SourceSpec, keep: Iterable[str] = ()) ->
     unified = m.unify_nulls(m.assign_constants(classified, spec.constants))
     scaled = m.prescale(m.prescale(unified, spec.multiply), spec.divide, divide=True)
     species = m.convert_units(scaled, {**MOLAR_MASS, **spec.molar_mass})
-    others = {c: numeric(q(c)) for c, t in TARGET_TYPES.items()
-              if isinstance(t, T.DoubleType) and c in species.columns and c not in CHEMISTRY}
-    typed = m.null_negatives(species.withColumns(others) if others else species)
+    others = [c for c, t in TARGET_TYPES.items() if isinstance(t, T.DoubleType) and c not in CHEMISTRY]
+    typed = m.null_negatives(parse_numbers(species, others))
     typed = typed.withColumn("Database_number", q("Database_number").cast("int")) if "Database_number" in typed.columns else typed
     return m.complete_schema(m.total_dissolved_solids(typed, spec.include_o2), keep=keep)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.cleaning import numeric
+from ..functions.cleaning import parse_numbers
 from ..operators.features import gaussianize, log_transform
 from ..operators.filters import null_sentinel
 from ..schema import q
@@ -16,8 +16,7 @@ def preprocess(df: DataFrame, columns: list[str], metadata: list[str], period: s
     Output columns: key, metadata, raw features, scores, in that fixed order.
     """
     df = null_sentinel(df, period) if period else df
-    text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    numbers = df.withColumns({c: numeric(q(c)) for c in columns if c in text}) if text & set(columns) else df
+    numbers = parse_numbers(df, columns)
     logged, names = log_transform(numbers, columns)
     scored, scores = gaussianize(logged, names)
     raw_of = {f"{n}_gauss": n.removesuffix("_log") for n in names}
