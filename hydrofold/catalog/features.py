@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import BASE, NUMERIC, samples
@@ -100,7 +101,7 @@ def log_transform(spark, d):
     return rounded(df.select("sample_id", *names), *[n for n in names if n.endswith("_log")])
 
 
-_GRID = ", ".join(f"{i / 999!r}" for i in range(1000))
+_GRID = ", ".join(repr(float(p)) for p in np.linspace(0.0, 1.0, 1000))
 
 
 @register(" UNION ALL ".join(f"""SELECT '{c}' AS feature, i::INT AS i, {r('v')} AS value FROM (

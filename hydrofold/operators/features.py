@@ -77,7 +77,7 @@ def log_transform(df: DataFrame, columns: list[str], threshold: float = 1.0) ->
 
 def quantile_grid(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """(feature, total, quantiles) on ``size`` evenly spaced probabilities from 0 to 1."""
-    return exact_quantiles(unpivot(df, columns), ["feature"], "value", [i / (size - 1) for i in range(size)])
+    return exact_quantiles(unpivot(df, columns), ["feature"], "value", np.linspace(0.0, 1.0, size).tolist())
 
 
 def gaussianize(df: DataFrame, columns: list[str], min_values: int = 10) -> tuple[DataFrame, list[str]]:

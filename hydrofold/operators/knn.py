@@ -37,11 +37,11 @@ _SLACK = 10.0 ** -DISTANCE_DIGITS
 
 @dataclass
 class Blocks:
-    """Donor rows in blocks: start offsets, presence bits and boxes per block."""
+    """Donor rows in blocks of equal room: values and keys per block (padded with NaN), sizes, presence bits, boxes."""
 
     values: np.ndarray
     keys: np.ndarray
-    starts: np.ndarray
+    sizes: np.ndarray
     present: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -51,26 +51,28 @@ class Blocks:
         """Halve each presence group along its widest coordinate until a block holds at most ``leaf`` rows."""
         bits = presence_bits(values)
         leaves: list[np.ndarray] = []
-        pending = [np.flatnonzero(bits == b) for b in np.unique(bits)]
+        pending = [np.flatnonzero(bits == b) for b in np.unique(bits) if b]
         while pending:
             rows = pending.pop()
             if len(rows) <= leaf:
-                leaves.append(rows[np.argsort(keys[rows], kind="stable")])
+                leaves.append(rows)
                 continue
             held = np.flatnonzero(~np.isnan(values[rows[0]]))
-            if not len(held):
-                pending += [rows[:leaf], rows[leaf:]]
-                continue
             widest = held[np.ptp(values[rows][:, held], axis=0).argmax()]
-            order = rows[np.argsort(values[rows, widest], kind="stable")]
-            pending += [order[: len(order) // 2], order[len(order) // 2:]]
-        order = np.concatenate(leaves) if leaves else np.zeros(0, dtype=int)
-        starts = np.cumsum([0] + [len(x) for x in leaves])
-        sorted_values = values[order]
-        boxes = [(sorted_values[a:b].min(axis=0), sorted_values[a:b].max(axis=0)) for a, b in zip(starts, starts[1:])]
-        empty = np.zeros((0, values.shape[1]))
-        return Blocks(sorted_values, keys[order], starts, bits[order][starts[:-1]] if leaves else np.zeros(0, dtype=np.int64),
-                      np.array([b[0] for b in boxes]) if boxes else empty, np.array([b[1] for b in boxes]) if boxes else empty)
+            half = len(rows) // 2
+            order = rows[np.argpartition(values[rows, widest], half)]
+            pending += [order[:half], order[half:]]
+        sizes = np.array([len(x) for x in leaves], dtype=np.int64)
+        d = values.shape[1]
+        padded = np.full((len(leaves), leaf, d), np.nan)
+        padded_keys = np.full((len(leaves), leaf), np.iinfo(np.int64).max, dtype=np.int64)
+        for i, rows in enumerate(leaves):
+            padded[i, : len(rows)] = values[rows]
+            padded_keys[i, : len(rows)] = keys[rows]
+        empty = np.zeros((0, d))
+        return Blocks(padded, padded_keys, sizes, bits[[x[0] for x in leaves]] if leaves else np.zeros(0, dtype=np.int64),
+                      np.array([values[x].min(axis=0) for x in leaves]) if leaves else empty,
+                      np.array([values[x].max(axis=0) for x in leaves]) if leaves else empty)
 
 
 def presence_bits(x: np.ndarray) -> np.ndarray:
@@ -90,60 +92,99 @@ def box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray, features: lis
     return np.sqrt(x.shape[1] / len(features) * out) * (1.0 - 1e-9) - _SLACK
 
 
-def pair_distance(x: np.ndarray, y: np.ndarray, features: list[int]) -> np.ndarray:
-    out = np.zeros((len(x), len(y)))
-    for j in features:
-        out += (x[:, j, None] - y[None, :, j]) ** 2
-    return np.round(np.sqrt(x.shape[1] / len(features) * out), DISTANCE_DIGITS)
-
-
 class _Best:
-    """The k best (distance, donor key) per request seen so far."""
+    """The k best donors per request: distance, key, and place in the padded blocks (-1 for none)."""
 
     def __init__(self, n: int, k: int):
-        self.k = k
         self.distance = np.full((n, k), np.inf)
         self.key = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
-        self.row = np.full((n, k), -1, dtype=np.int64)
-
-    def merge(self, at: np.ndarray, distance: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-        all_distance = np.hstack([self.distance[at], distance])
-        all_keys = np.hstack([self.key[at], np.broadcast_to(keys, distance.shape)])
-        all_rows = np.hstack([self.row[at], np.broadcast_to(rows, distance.shape)])
-        order = np.lexsort((all_keys, all_distance), axis=1)[:, : self.k]
-        self.distance[at] = np.take_along_axis(all_distance, order, 1)
-        self.key[at] = np.take_along_axis(all_keys, order, 1)
-        self.row[at] = np.take_along_axis(all_rows, order, 1)
+        self.place = np.full((n, k), -1, dtype=np.int64)
+
+    def merge(self, row: np.ndarray, distance: np.ndarray, key: np.ndarray, place: np.ndarray) -> None:
+        """Take in candidates (flat, any number per request); equal distances go to the smaller key."""
+        k = self.distance.shape[1]
+        touched = np.unique(row)
+        row = np.concatenate([row, np.repeat(touched, k)])
+        distance = np.concatenate([distance, self.distance[touched].ravel()])
+        key = np.concatenate([key, self.key[touched].ravel()])
+        place = np.concatenate([place, self.place[touched].ravel()])
+        order = np.lexsort((key, distance, row))
+        sorted_row = row[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_row, sorted_row)
+        first = rank < k
+        at, taken = (sorted_row[first], rank[first]), order[first]
+        self.distance[at], self.key[at], self.place[at] = distance[taken], key[taken], place[taken]
+
+
+def _visit_pairs(best: _Best, x: np.ndarray, row: np.ndarray, block: np.ndarray, blocks: Blocks, seen: int, fill: bool) -> None:
+    """Search (request, block) pairs; only donors within the request's current radius are sorted.
+
+    With ``fill`` a request without k neighbours yet takes its radius from the block itself.
+    """
+    k, d = best.distance.shape[1], x.shape[1]
+    for start in range(0, len(row), 8192):
+        r, b = row[start:start + 8192], block[start:start + 8192]
+        distance = np.zeros((len(r), blocks.values.shape[1]))
+        for pattern in np.unique(blocks.present[b]):
+            of = slice(None) if (blocks.present[b] == pattern).all() else np.flatnonzero(blocks.present[b] == pattern)
+            features = _bits(int(pattern & seen), d)
+            squares = np.zeros(distance[of].shape)
+            for j in features:
+                squares += (x[r[of], j, None] - blocks.values[b[of], :, j]) ** 2
+            distance[of] = np.round(np.sqrt(d / len(features) * squares), DISTANCE_DIGITS)
+        radius = best.distance[r, k - 1]
+        if fill and distance.shape[1] >= k:
+            kth = np.partition(distance, k - 1, axis=1)[:, k - 1]
+            radius = np.fmin(radius, kth)  # padding is NaN and sorts last
+        near = distance <= radius[:, None]
+        i, c = np.nonzero(near)
+        if len(i):
+            best.merge(r[i], distance[i, c], blocks.keys[b[i], c], b[i] * blocks.values.shape[1] + c)
 
 
 def search(x: np.ndarray, target: np.ndarray, blocks: Blocks, k: int, chunk: int = 4096) -> _Best:
     """Exact k nearest donors per request; a target >= 0 admits only donors that hold that feature."""
-    d = x.shape[1]
     best = _Best(len(x), k)
+    for rows, usable, seen in _request_groups(x, target, blocks.present, chunk):
+        bound = _bounds(x[rows], blocks.present[usable], blocks.low[usable], blocks.high[usable], seen)
+        first = _nearest_holding(bound, blocks.sizes[usable], k)
+        r, b = np.nonzero(first)
+        _visit_pairs(best, x, rows[r], usable[b], blocks, seen, True)
+        r, b = np.nonzero((bound <= best.distance[rows, k - 1][:, None]) & ~first)
+        _visit_pairs(best, x, rows[r], usable[b], blocks, seen, False)
+    return best
+
+
+def _request_groups(x: np.ndarray, target: np.ndarray, present: np.ndarray, chunk: int):
+    """(rows, usable blocks, observed bits): requests that see the same features and want the same donors."""
     observed = presence_bits(x)
     groups, member = np.unique(np.column_stack([observed, target]), axis=0, return_inverse=True)
     for g, (seen, wanted) in enumerate(groups):
-        usable = np.flatnonzero(((blocks.present & seen) != 0) & ((wanted < 0) | (blocks.present >> max(wanted, 0) & 1 == 1)))
-        if not len(usable):
-            continue
+        usable = np.flatnonzero(((present & seen) != 0) & ((wanted < 0) | (present >> max(wanted, 0) & 1 == 1)))
         rows = np.flatnonzero(member.ravel() == g)
-        for part in np.array_split(rows, -(-len(rows) // chunk)):
-            bound = np.empty((len(part), len(usable)))
-            for pattern in np.unique(blocks.present[usable]):
-                of = np.flatnonzero(blocks.present[usable] == pattern)
-                bound[:, of] = box_distance(x[part], blocks.low[usable[of]], blocks.high[usable[of]], _bits(int(pattern & seen), d))
-            home = bound.argmin(axis=1)
-            for visit_home in (True, False):
-                for i in np.unique(home) if visit_home else range(len(usable)):
-                    here = home == i if visit_home else (bound[:, i] <= best.distance[part, k - 1]) & (home != i)
-                    if not here.any():
-                        continue
-                    b = usable[i]
-                    a, z = blocks.starts[b], blocks.starts[b + 1]
-                    at = part[here]
-                    distance = pair_distance(x[at], blocks.values[a:z], _bits(int(blocks.present[b] & seen), d))
-                    best.merge(at, distance, blocks.keys[None, a:z], np.arange(a, z)[None])
-    return best
+        if len(usable):
+            for part in np.array_split(rows, -(-len(rows) // chunk)):
+                yield part, usable, int(seen)
+
+
+def _bounds(x: np.ndarray, present: np.ndarray, low: np.ndarray, high: np.ndarray, seen: int) -> np.ndarray:
+    out = np.empty((len(x), len(present)))
+    for pattern in np.unique(present):
+        of = np.flatnonzero(present == pattern)
+        out[:, of] = box_distance(x, low[of], high[of], _bits(int(pattern & seen), x.shape[1]))
+    return out
+
+
+def _nearest_holding(bound: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each request's nearest blocks that together hold k donors."""
+    first = np.zeros(bound.shape, dtype=bool)
+    if sizes.min() >= k:
+        first[np.arange(len(bound)), bound.argmin(axis=1)] = True
+        return first
+    order = np.argsort(bound, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    np.put_along_axis(first, order, before < k, axis=1)
+    return first
 
 
 # ---- Arrow edges ----
@@ -156,11 +197,10 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _neighbour_columns(best: _Best, values: np.ndarray) -> dict[str, pa.Array]:
-    found = best.row >= 0
+    found = best.place >= 0
     offsets = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
-    taken = best.row[found]
-    d = values.shape[1]
-    flat = values[taken].ravel()
+    d = values.shape[-1]
+    flat = values.reshape(-1, d)[best.place[found]].ravel()
     return {
         "distances": pa.ListArray.from_arrays(offsets, pa.array(best.distance[found])),
         "donors": pa.ListArray.from_arrays(offsets, pa.array(best.key[found])),
@@ -188,7 +228,7 @@ def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _broadcast_search(requests: DataFrame, donors: DataFrame, d: int, k: int) -> DataFrame:
     rows = donors.select("donor_id", "y").toArrow()  # size checked by the caller
     blocks = Blocks.build(_matrix(rows.column("y"), d), rows.column("donor_id").to_numpy().astype(np.int64))
-    parts = (blocks.values, blocks.keys, blocks.starts, blocks.present, blocks.low, blocks.high)
+    parts = (blocks.values, blocks.keys, blocks.sizes, blocks.present, blocks.low, blocks.high)
     shared = requests.sparkSession.sparkContext.broadcast(parts)
     schema = T.StructType(requests.schema.fields + NEIGHBOUR_FIELDS)
 
@@ -254,24 +294,13 @@ def _route(requests: DataFrame, table: pd.DataFrame, d: int, k: int, with_radius
             x = _matrix(batch.column("x"), d)
             target = batch.column("target").to_numpy().astype(np.int64)
             radius = batch.column("radius").to_numpy(zero_copy_only=False).astype(float) if with_radius else None
-            observed, keep_row, keep_block = presence_bits(x), [], []
-            groups, member = np.unique(np.column_stack([observed, target]), axis=0, return_inverse=True)
-            for g, (seen, wanted) in enumerate(groups):
-                usable = np.flatnonzero(((present & seen) != 0) & ((wanted < 0) | (present >> max(wanted, 0) & 1 == 1)))
-                rows = np.flatnonzero(member.ravel() == g)
-                for part in np.array_split(rows, -(-len(rows) // 512)) if len(usable) else []:
-                    bound = np.empty((len(part), len(usable)))
-                    for pattern in np.unique(present[usable]):
-                        of = np.flatnonzero(present[usable] == pattern)
-                        bound[:, of] = box_distance(x[part], low[usable[of]], high[usable[of]], _bits(int(pattern & seen), d))
-                    order = np.argsort(bound, axis=1, kind="stable")
-                    before = np.cumsum(n[usable][order], axis=1) - n[usable][order]
-                    first = np.zeros(bound.shape, dtype=bool)
-                    np.put_along_axis(first, order, before < k, axis=1)
-                    visit = ~first & (bound <= radius[part][:, None]) if with_radius else first
-                    r, b = np.nonzero(visit)
-                    keep_row.append(part[r])
-                    keep_block.append(ids[usable[b]])
+            keep_row, keep_block = [], []
+            for part, usable, seen in _request_groups(x, target, present, 512):
+                bound = _bounds(x[part], present[usable], low[usable], high[usable], seen)
+                first = _nearest_holding(bound, n[usable], k)
+                r, b = np.nonzero(~first & (bound <= radius[part][:, None]) if with_radius else first)
+                keep_row.append(part[r])
+                keep_block.append(ids[usable[b]])
             rows = np.concatenate(keep_row) if keep_row else np.zeros(0, dtype=int)
             blocks = np.concatenate(keep_block) if keep_block else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("request_id").take(pa.array(rows)), pa.array(blocks, type=pa.int64())],

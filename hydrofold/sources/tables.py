@@ -29,16 +29,16 @@ def scan_samples(spark: SparkSession, path: str, schema: T.StructType | None = N
     return spark.read.schema(schema or sample_schema()).option("header", True).csv(path)
 
 
-def scan_source_folder(spark: SparkSession, folder: str, schema: T.StructType, check_headers: bool = True) -> DataFrame:
-    """Every CSV of a folder with its file stem as ``Database_name``.
+def scan_source_folder(spark: SparkSession, folder: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+    """Every CSV of a folder with its file stem as ``Database_name``; malformed lines are kept in ``_corrupt_record``.
 
-    Headers must equal the schema, names and order, or the read fails. Malformed lines are kept in
-    ``_corrupt_record``; a file that cannot be read at all is skipped here and named by ``unreadable_files``.
+    Strict, for merging: a header that differs from the schema in names or order, or an unreadable file, fails
+    the read. Lenient, for reports: such a file is skipped here and named by ``unreadable_files``.
     """
     declared = T.StructType([f for f in schema.fields if f.name not in ("Database_name", "_corrupt_record")])
     reader = (spark.read.schema(declared.add("_corrupt_record", T.StringType())).option("header", True)
-              .option("enforceSchema", not check_headers).option("mode", "PERMISSIVE")
-              .option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv*").option("recursiveFileLookup", True))
+              .option("enforceSchema", False).option("mode", "PERMISSIVE")
+              .option("ignoreCorruptFiles", not strict).option("pathGlobFilter", "*.csv*").option("recursiveFileLookup", True))
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv(\.[a-z0-9]+)?$", "")
     return reader.csv(folder).select("*", name.alias("Database_name"))
 

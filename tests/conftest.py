@@ -10,7 +10,8 @@ from hydrofold.session import session as make_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = make_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    s = make_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
