@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import BASE, samples
 from ..operators import benchmark, evaluation, examples, features, knn
-from ..operators.features import split_label
 from ..operators.filters import any_present
 from ..operators.joins import cross_masks as cross
 from ..operators.vae import VaeParams, vae_cross_validate as cross_validate, vae_impute as impute_with
@@ -136,13 +135,6 @@ def mask_benchmark_knn(spark, d):
     return rounded(_named(rows), "imputed")
 
 
-@register()
-def mask_benchmark_incomplete(spark, d):
-    columns = ["na", "mg", "ph"]
-    rows = benchmark.mask_benchmark(samples(spark, d), KEY, columns, lambda train: benchmark.knn_imputer(train, KEY, columns), include_incomplete=True)
-    return _named(rows)
-
-
 _METRICS = """metrics AS (SELECT {keys}, count(*) AS n, sqrt(avg((imputed - original) * (imputed - original))) AS rmse,
   CASE WHEN var_pop(original) = 0 THEN CASE WHEN avg((imputed - original) * (imputed - original)) = 0 THEN 1e0 ELSE 0e0 END
   ELSE 1 - avg((imputed - original) * (imputed - original)) / var_pop(original) END AS r2 FROM {table} GROUP BY {keys})"""
@@ -316,11 +308,3 @@ def imputation_study(spark, d):
 @register()
 def imputer_comparison(spark, d):
     return study.imputer_comparison(samples(spark, d), KEY, BASE, _QUICK)
-
-
-@register()
-def knn_impute_scaled(spark, d):
-    df = samples(spark, d)
-    scaling = features.standardize(df.where(split_label(q(KEY)) == "Train"), BASE)
-    scaled = scaling.transform(any_present(df, BASE).select(KEY, *BASE))
-    return scaling.inverse(knn.knn_impute(scaled, KEY, BASE, donors=scaled.where(split_label(q(KEY)) == "Train")))

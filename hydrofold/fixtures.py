@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.cleaning import clean_numeric, parse_numbers
 from .operators.mapping import classify_by_threshold, null_negatives
 from .session import spread, workspace
+from .sources.folders import exists
 
 RAW_SQL = """
 SELECT e.event_id AS sample_id,
@@ -63,7 +64,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     below the cleaning and repeat its expressions; as a table they prune columns and skip row groups.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not exists(spark, _WRITTEN[key][0]):
         df = spread(clean_samples(spark, sf_dir))
         path = workspace(spark, "silver")
         df.write.parquet(path)

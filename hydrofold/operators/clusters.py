@@ -149,15 +149,15 @@ def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int
     n, w = F.sum("w"), F.col("w")
     # Moments of the counted values; the two-step form is as accurate as a direct deviation.
     centre = counts.groupBy(*keys).agg(n.alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v * w) / n).alias("_mean"))
-    # One row per group: groups are clusters and features, a few hundred.
-    spread = counts.join(F.broadcast(centre), keys).groupBy(*keys, "n", "low", "high").agg(
+    # Groups are usually few, but nothing bounds them here: adaptive execution sees their size and picks the join.
+    spread = counts.join(centre, keys).groupBy(*keys, "n", "low", "high").agg(
         F.sqrt(F.try_divide(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))), F.first("n") - 1)).alias("_std"))
     usable = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
         "bandwidth", F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).drop("_std")
     step = (F.col("high") - F.col("low")) / F.lit(points - 1)
     grid = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i)).alias("point", "x")
     u = (F.col("x") - v) / F.col("bandwidth")
-    mass = (counts.join(F.broadcast(usable), keys).select("*", grid)
+    mass = (counts.join(usable, keys).select("*", grid)
             .groupBy(*keys, "point", "x", "n", "bandwidth").agg(F.sum(w * F.exp(u * u * -0.5)).alias("mass")))
     return mass.select(*keys, "point", "x", "n",
                        (F.col("mass") / (F.col("n") * F.col("bandwidth") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))

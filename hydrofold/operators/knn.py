@@ -245,24 +245,24 @@ def _broadcast_search(requests: DataFrame, donors: DataFrame, d: int, k: int) ->
 
 # ---- shuffled search ----
 
-def _assign_blocks(donors: DataFrame, d: int, block_rows: int) -> DataFrame:
+def _assign_blocks(donors: DataFrame, d: int, n: int, block_rows: int) -> DataFrame:
     """Donors with a block number: presence pattern, quantile cell, and a hash part of cells that are too full.
 
     A cell with a third of all rows is only split further; blocks never exceed about ``block_rows`` rows.
     """
     y = F.col("y")
     present = reduce(lambda a, b: a.bitwiseOR(b), [F.when(y[j].isNotNull(), F.lit(1 << j)).otherwise(0) for j in range(d)])
-    n = donors.count()
     cells_wanted = max(n / block_rows, 1.0)
-    cuts = max(int(np.ceil(cells_wanted ** (1.0 / d))), 2) if cells_wanted > 1 else 1
-    splits = donors.agg(*[F.percentile_approx(y[j], [i / cuts for i in range(1, cuts)] or [0.5], F.lit(1000)) for j in range(d)]).first()
+    cut_features = range(min(d, int(np.log2(cells_wanted)) + 1))  # no more cells than about the blocks wanted
+    cuts = max(int(np.ceil(cells_wanted ** (1.0 / len(cut_features)))), 2) if cells_wanted > 1 else 1
+    splits = donors.agg(*[F.percentile_approx(y[j], [i / cuts for i in range(1, cuts)] or [0.5], F.lit(1000)) for j in cut_features]).first()
     cell = F.concat_ws("-", *[
         F.coalesce(reduce(lambda a, b: a + b, [F.when(y[j] > F.lit(float(s)), 1).otherwise(0) for s in dict.fromkeys(splits[j] or [])],
-                          F.lit(0)).cast("string"), F.lit("0")) for j in range(d)])
+                          F.lit(0)).cast("string"), F.lit("0")) for j in cut_features])
     placed = donors.withColumns({"present": present.cast("long"), "cell": cell if cuts > 1 else F.lit("")})
     sizes = placed.groupBy("present", "cell").agg(F.count("*").alias("_n"))
     parts = F.ceil(F.col("_n") / F.lit(block_rows))
-    # One row per occupied cell, at most MAX_BLOCKS by the choice of block_rows; adaptive execution picks the join.
+    # One row per occupied cell, of the order of MAX_BLOCKS by the choice of block_rows; adaptive execution picks the join.
     split = placed.join(sizes, ["present", "cell"]).withColumn("part", F.pmod(F.xxhash64("donor_id"), parts))
     return split.select("donor_id", "y", "present", F.xxhash64("present", "cell", "part").alias("block"))
 
@@ -339,7 +339,7 @@ def _merged(found: DataFrame, d: int, k: int) -> DataFrame:
 
 def _shuffled_search(requests: DataFrame, donors: DataFrame, d: int, k: int, n: int) -> DataFrame:
     block_rows = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
-    blocks = checkpointed(_assign_blocks(donors, d, block_rows), "donor-blocks")
+    blocks = checkpointed(_assign_blocks(donors, d, n, block_rows), "donor-blocks")
     requests = checkpointed(requests, "requests")
     table = _block_table(blocks, d)
     first = checkpointed(_visit(requests, _route(requests, table, d, k, False), blocks, d, k), "first-visits")
