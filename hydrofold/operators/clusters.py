@@ -50,15 +50,13 @@ def cluster_profile(df: DataFrame, columns: list[str], by: list[str] = CELL, min
     """
     v = F.col("value")
     parts = unpivot(df, columns, by).groupBy(*by, "feature").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.var_samp(v).alias("_var"))
-    # Pool the cluster variances so that the overall deviation needs no second pass.
-    everything = parts.groupBy("feature").agg(
-        F.sum("n").alias("n_all"), F.sum("s").alias("s_all"),
-        F.sum(F.coalesce(F.col("_var"), F.lit(0.0)) * F.greatest(F.col("n") - 1, F.lit(0))).alias("_within"))
-    joined = parts.join(F.broadcast(everything), "feature")  # one row per feature
+    whole = Window.partitionBy("feature")  # one row per cluster
+    # Pooled variances of the clusters give the overall deviation without a second pass.
+    within = F.coalesce(F.col("_var"), F.lit(0.0)) * F.greatest(F.col("n") - 1, F.lit(0))
+    joined = parts.withColumns({"n_all": F.sum("n").over(whole), "s_all": F.sum("s").over(whole), "_within": F.sum(within).over(whole)})
     grand = F.try_divide(F.col("s_all"), F.col("n_all"))
-    between = Window.partitionBy("feature")  # one row per cluster
     deviation = F.try_divide(F.col("s"), F.col("n")) - grand
-    joined = joined.withColumn("_between", F.sum(F.coalesce(F.col("n") * deviation * deviation, F.lit(0.0))).over(between))
+    joined = joined.withColumn("_between", F.sum(F.coalesce(F.col("n") * deviation * deviation, F.lit(0.0))).over(whole))
     std = F.sqrt(F.try_divide(F.col("_within") + F.col("_between"), F.col("n_all") - 1))
     mean_in = F.try_divide(F.col("s"), F.col("n"))
     mean_rest = F.try_divide(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n"))
@@ -152,12 +150,12 @@ def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int
     # Groups are usually few, but nothing bounds them here: adaptive execution sees their size and picks the join.
     spread = counts.join(centre, keys).groupBy(*keys, "n", "low", "high").agg(
         F.sqrt(F.try_divide(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))), F.first("n") - 1)).alias("_std"))
-    usable = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
-        "bandwidth", F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).drop("_std")
     step = (F.col("high") - F.col("low")) / F.lit(points - 1)
-    grid = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i)).alias("point", "x")
+    usable = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).select(
+        *keys, "n", (F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"),
+        F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i).alias("_grid"))
     u = (F.col("x") - v) / F.col("bandwidth")
-    mass = (counts.join(usable, keys).select("*", grid)
+    mass = (counts.join(usable, keys).select(*keys, "n", "bandwidth", "value", "w", F.posexplode("_grid").alias("point", "x"))
             .groupBy(*keys, "point", "x", "n", "bandwidth").agg(F.sum(w * F.exp(u * u * -0.5)).alias("mass")))
     return mass.select(*keys, "point", "x", "n",
                        (F.col("mass") / (F.col("n") * F.col("bandwidth") * F.lit(float(np.sqrt(2 * np.pi))))).alias("density"))

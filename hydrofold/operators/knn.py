@@ -361,6 +361,8 @@ def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, broadca
     ``requests``: unique ``request_id``, ``x`` (array of d doubles, null where unknown), ``target`` (feature the
     donor must hold, -1 for any). ``donors``: unique long ``donor_id`` and ``y``. Ties go to the smaller key.
     """
+    if d > 62:
+        raise ValueError("presence bits of a row fit one long: at most 62 features")
     limit = max(broadcast_cells // d, 0)
     if donors.limit(limit + 1).count() <= limit:
         return _broadcast_search(requests, donors, d, k)

@@ -154,13 +154,11 @@ def hash_order(key: Column, seed: int) -> Column:
 def smallest_by_hash(df: DataFrame, key: str, n: Column, seed: int) -> DataFrame:
     """The ``n`` rows that come first in the seeded random order; ``n`` may depend on ``total``, the row count.
 
-    Hash prefixes are buckets of nearly equal size, so only the bucket the cut falls into is sorted.
+    Hash prefixes are buckets of nearly equal size: those beyond the cut are dropped unsorted, the others are
+    numbered bucket by bucket.
     """
     hashed = df.withColumn("_hash", hash_order(q(key), seed)).withColumn(_BUCKET, F.substring("_hash", 1, 3))
     offsets = _offsets(hashed, [], F.lit(1)).withColumn("_n", n).where(F.col(_BASE) < F.col("_n"))
-    joined = hashed.join(F.broadcast(offsets.drop("total")), _BUCKET)  # 4096 prefixes at most
-    whole = joined.where(F.col(_BASE) + F.col("_rows") <= F.col("_n"))
-    window = Window.partitionBy(_BUCKET).orderBy("_hash", key)
-    edge = (joined.where(F.col(_BASE) + F.col("_rows") > F.col("_n"))
-            .withColumn("_i", F.row_number().over(window)).where(F.col("_i") <= F.col("_n") - F.col(_BASE)).drop("_i"))
-    return whole.unionByName(edge).drop("_hash", _BUCKET, _BASE, "_rows", "_n")
+    joined = hashed.join(F.broadcast(offsets.select(_BUCKET, _BASE, "_n")), _BUCKET)  # 4096 prefixes at most
+    place = F.row_number().over(Window.partitionBy(_BUCKET).orderBy("_hash", key))
+    return joined.withColumn("_i", place).where(F.col(_BASE) + F.col("_i") <= F.col("_n")).drop("_hash", _BUCKET, _BASE, "_n", "_i")

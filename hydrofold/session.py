@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -33,17 +32,26 @@ def session(app: str = "hydrofold", master: str | None = None, **conf: str) -> S
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables a job writes and reads back.
 
-    It lies under ``spark.checkpoint.dir``, which every executor must reach. Only a local session may
-    do without that setting; it then gets a temporary folder that is dropped at exit.
+    It lies under ``spark.checkpoint.dir``, which every executor must reach; only a local session may do
+    without that setting. The folder is dropped when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="hydrofold-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session is gone; the folder stays for the owner of the shared root
+        pass
 
 
 def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
