@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import q
+from ..session import balanced
 from .examples import mask_list, sample_fraction
 from .features import Standard, quantile_bounds, quantile_clip, split_label, standardize
 from .filters import any_present, complete_cases
 from .joins import cross_masks
 from .knn import BROADCAST_CELLS, knn_join, neighbour_mean, vector
 
+# Rows per task before masking multiplies them by up to 50 masks per level.
+TASK_ROWS = 2000
+
 Imputer = Callable[[DataFrame], DataFrame]
 """Takes requests (``request_id``, ``x`` with hidden cells null, ``mask``, ...) and adds ``imputed``, an array like ``x``."""
 
@@ -62,7 +66,7 @@ def benchmark_requests(rows: DataFrame, key: str, columns: list[str], scaling: S
     """All test rows and a tenth of the training rows under every mask, hidden cells null on the standard scale."""
     test = rows.where("split = 'Test'")
     train = sample_fraction(rows.where("split = 'Train'"), key, 10, seed)
-    scored = test.unionByName(train).withColumn("original", vector(columns))
+    scored = balanced(test.unionByName(train), key, TASK_ROWS).withColumn("original", vector(columns))
     scaled = scaling.transform(scored).select(q(key), "split", "original", vector(columns).alias("full"))
     masked = cross_masks(scaled, masks)
     d = len(columns)

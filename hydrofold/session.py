@@ -72,6 +72,15 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, proven_rows
     return F.broadcast(df) if proven_rows <= max_rows else df
 
 
+def balanced(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+    """Rows dealt out by key ahead of a stage that does much work per row.
+
+    Adaptive execution sizes tasks by bytes and would put a small table with much work into a single one.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(tasks, key)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a table that is read in fewer tasks than there are cores are spread over them; others stay in place."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -126,13 +126,16 @@ def test_density_integrates_to_one(blobs):
 def test_gradient():
     p = vae.VaeParams(latent_dim=2, hidden_dim=8, enc_layers=2, dec_layers=2)
     rng = np.random.default_rng(0)
-    theta, x, noise = vae.initial_weights(p, 3), rng.normal(size=(5, 3)), rng.normal(size=(5, 2))
-    _, gradient = vae.loss_and_gradient(theta, x, noise, p)
-    for i in rng.choice(len(theta), 40, replace=False):
-        step = np.zeros_like(theta)
-        step[i] = 1e-6
-        slope = (vae.loss_and_gradient(theta + step, x, noise, p, False)[0] - vae.loss_and_gradient(theta - step, x, noise, p, False)[0]) / 2e-6
-        assert gradient[i] == pytest.approx(slope, rel=1e-4, abs=1e-5)
+    theta = np.stack([vae.initial_weights(p, 3), rng.normal(size=len(vae.initial_weights(p, 3))) * 0.3])
+    x, noise, weight = rng.normal(size=(5, 3)), rng.normal(size=(2, 5, 2)), np.array([[1, 1, 1, 1, 1], [1, 0, 1, 0, 1.0]])
+    _, gradient = vae.loss_and_gradient(theta, x, noise, weight, p)
+    for m in (0, 1):
+        for i in rng.choice(theta.shape[1], 40, replace=False):
+            step = np.zeros_like(theta)
+            step[m, i] = 1e-6
+            up, down = (vae.loss_and_gradient(theta + s * step, x, noise, weight, p, False)[0] for s in (1, -1))
+            assert gradient[m, i] == pytest.approx((up - down)[m] / 2e-6, rel=1e-4, abs=1e-5)
+            assert (up - down)[1 - m] == 0.0
 
 
 def test_autoencoder_beats_the_mean_and_repeats(spark, tiny):
