@@ -27,15 +27,7 @@ def total(columns: list[Column]) -> Column:
     return reduce(add, [F.coalesce(c, F.lit(0.0)) for c in columns], F.lit(0.0))
 
 
-# Factor from a column's unit to meq/L, per balance variant.
-_UNIT_RULES = {
-    # mg and µmol converted, anything else taken as mmol/L
-    "standard": lambda unit, z, m: z / m if unit in ("mg/l", "mg_l") else z / 1000.0 if unit in ("umol/l", "umol_l") else float(z),
-    # equivalents and ppm known, an unknown unit contributes nothing
-    "strict": lambda unit, z, m: {"mmol/l": float(z), "mg/l": z / m, "ppm": z / m, "meq/l": 1.0}.get(unit, 0.0),
-    # every column is taken as mmol/L
-    "plain": lambda unit, z, m: float(z),
-}
+# fixed values: least sum of equivalents for which a variant defines the error
 MIN_EQUIVALENTS = {"standard": 1e-9, "strict": 1e-4, "plain": 0.1}
 
 
@@ -52,13 +44,20 @@ def find_ion_columns(columns: list[str]) -> dict[str, tuple[str, str]]:
 
 
 def _equivalents(column: Column, unit: str, ion: str, variant: str) -> Column:
-    value = F.coalesce(column, F.lit(0.0))
+    """meq/L of one ion under a variant's unit rules.
+
+    Standard converts mg and µmol and takes anything else as mmol/L. Strict also knows equivalents and ppm,
+    and an unknown unit contributes nothing. Plain takes every column as mmol/L.
+    """
+    value, charge, mass = F.coalesce(column, F.lit(0.0)), float(VALENCE[ion]), BALANCE_MASS[ion]
     unit = unit.lower()
+    if variant == "strict":
+        return value * F.lit({"mmol/l": charge, "mg/l": charge / mass, "ppm": charge / mass, "meq/l": 1.0}.get(unit, 0.0))
     if variant == "standard" and unit in ("mg/l", "mg_l"):
-        return value / F.lit(BALANCE_MASS[ion]) * F.lit(float(VALENCE[ion]))
+        return value / F.lit(mass) * F.lit(charge)
     if variant == "standard" and unit in ("umol/l", "umol_l"):
-        return value / F.lit(1000.0) * F.lit(float(VALENCE[ion]))
-    return value * F.lit(_UNIT_RULES[variant](unit, VALENCE[ion], BALANCE_MASS[ion]))
+        return value / F.lit(1000.0) * F.lit(charge)
+    return value * F.lit(charge)
 
 
 def ionic_balance(df: DataFrame, ions: dict[str, tuple[str, str]] | None = None, variant: str = "standard",

@@ -97,7 +97,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def summary_by_source(df: DataFrame, column: str, source: str = "Database_number", name: str = "Database_name",
-                      order: str = "sample_id") -> DataFrame:
+                      order: str = "sample_id", unnamed: str = "Unbekannt") -> DataFrame:
     """Per source: rows, values, missing, percentages, extremes, mean, median, and the name on its first row.
 
     A source may hold a third of all rows: sums combine map-side, and the median never gathers a source in one task.
@@ -108,7 +108,7 @@ def summary_by_source(df: DataFrame, column: str, source: str = "Database_number
         n.alias("n"), F.count(v).alias("n_values"), (n - F.count(v)).alias("n_missing"),
         (F.count(v) / n * 100.0).alias("percent_values"), ((n - F.count(v)) / n * 100.0).alias("percent_missing"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-        F.coalesce(F.min_by(F.when(q(name).isNotNull(), q(name)), F.when(q(name).isNotNull(), q(order))), F.lit("Unknown")).alias("name"))
+        F.coalesce(F.min_by(F.when(q(name).isNotNull(), q(name)), F.when(q(name).isNotNull(), q(order))), F.lit(unnamed)).alias("name"))
     medians = exact_quantiles(rows, [source], column, [0.5]).select(source, F.get("quantiles", F.lit(0)).alias("median"))
     return base.join(checked_broadcast(medians), source, "left")
 

@@ -28,7 +28,8 @@ def _cut(df: DataFrame, by: list[str], value: str, groups: int | None, buckets:
     probabilities = ", ".join(str(i / buckets) for i in range(1, buckets))
     splits = df.groupBy(*by).agg(F.array_distinct(F.expr(
         f"approx_percentile(`{value}`, array({probabilities}), {10 * buckets})")).alias("_splits"))
-    joined = (df.join(checked_broadcast(splits, proven_rows=groups), by) if by
+    # A row of cut points is about a kilobyte, so the bound is lower than usual.
+    joined = (df.join(checked_broadcast(splits, max_rows=10_000, proven_rows=groups), by) if by
               else df.crossJoin(F.broadcast(splits)))  # one row
     return joined.withColumn(
         _BUCKET, F.size(F.filter("_splits", lambda s: s < q(value)))).drop("_splits")
