@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schema import q
@@ -77,19 +78,20 @@ def _cell_sums(df: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
     weights, d = book.weights, len(book.columns)
     names = [f"s{j}" for j in range(d)]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, counts = np.zeros((len(weights), d)), np.zeros(len(weights))
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(weights), d + 1))
         for batch in batches:
-            rows = batch.to_numpy(dtype=float)
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             best = _distances(rows, weights).argmin(axis=1)
-            np.add.at(sums, best, rows)
-            counts += np.bincount(best, minlength=len(weights))
-        yield pd.DataFrame(sums, columns=names).assign(cell=np.arange(len(weights)), n=counts)
-
-    schema = ", ".join([f"{s} double" for s in names] + ["cell int", "n double"])
-    partials = df.select([q(c).cast("double") for c in book.columns]).mapInPandas(partial, schema)
-    totals = partials.groupBy("cell").agg(*[F.sum(s).alias(s) for s in [*names, "n"]]).orderBy("cell").toPandas()  # x * y rows
-    if totals.empty:
+            for j in range(d):
+                sums[:, j] += np.bincount(best, rows[:, j], len(weights))
+            sums[:, d] += np.bincount(best, minlength=len(weights))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights), dtype=np.int32)), *map(pa.array, sums.T.copy())], names=["cell", *names, "n"])
+
+    schema = "cell int, " + ", ".join(f"{s} double" for s in [*names, "n"])
+    partials = df.select([q(c).cast("double") for c in book.columns]).mapInArrow(partial, schema)
+    totals = partials.groupBy("cell").agg(*[F.sum(s).alias(s) for s in [*names, "n"]]).toPandas().sort_values("cell")  # x * y rows
+    if not totals["n"].sum():
         raise ValueError("no rows to train on")
     return totals[names].to_numpy(), totals["n"].to_numpy()
 
