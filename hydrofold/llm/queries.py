@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe, langid
+from .mixing import mix
 from .simhash import with_components
 from .suffix_dedup import remove_repeats
+from .texts import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +26,33 @@ def register(sql: str | None = None):
     return add
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies on the driver; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register()
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.label(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@register()
+def op2_bpe(spark, sf_dir):
+    vocabulary = tokenizer_path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @register()
 def op7_simhash_dedup(spark, sf_dir):
     found = with_components(table(spark, sf_dir, "documents"))
@@ -37,3 +63,26 @@ def op7_simhash_dedup(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+MIX_SQL = """
+WITH sources AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+total AS (SELECT sum(n) AS total, count(*) AS k FROM sources),
+rates AS (SELECT source, (1e0 / k) * total / n AS rate FROM sources, total),
+steps AS (SELECT unnest(range(0, 400)) AS j),
+terms AS (SELECT source, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p FROM rates, steps
+          WHERE j <= CAST(floor(rate + 12e0 * sqrt(rate) + 30e0) AS BIGINT)),
+sums AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS s FROM terms),
+drawn AS (SELECT doc_id, source,
+          CAST(concat('0x', substr(md5(concat('7:', CAST(doc_id AS VARCHAR), ':1')), 1, 13)) AS BIGINT) / 4503599627370496e0 AS u FROM documents),
+copies AS (SELECT d.doc_id, count(*) AS n FROM drawn d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source AND s.s <= d.u GROUP BY d.doc_id),
+numbers AS (SELECT unnest(range(1, 400)) AS copy)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.copy AS INTEGER) AS copy,
+       md5(concat('7/', CAST(d.doc_id AS VARCHAR), '/', CAST(c.copy AS VARCHAR))) AS shuffle_key
+FROM documents d JOIN copies n ON d.doc_id = n.doc_id JOIN numbers c ON c.copy <= n.n
+"""
+
+
+@register(MIX_SQL)
+def op9_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))

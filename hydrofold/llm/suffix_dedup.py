@@ -333,8 +333,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         "row", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("low") + F.col("many") + (length - 1)).alias("high"))
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """``df`` with columns kept (binary), n_bytes, n_removed and n_spans for the bytes of ``text``.
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``df`` with columns kept, n_bytes, n_removed and n_spans for the bytes of ``text``.
+
+    ``kept`` is binary, or with ``as_text`` a string without the characters of which a removed byte was a part.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere in the table is removed; strings are
     judged on the input. Null counts as empty; shorter texts stay whole; identical rows are copies of each other.
@@ -348,7 +350,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     joined = marked.join(per_row, name, "left").drop(name)
     fields = [f for f in joined.schema.fields if f.name != spans_name]
     schema = joined.drop(spans_name).schema
-    for column, kind in zip(added, ("binary", "long", "long", "long")):
+    for column, kind in zip(added, ("string" if as_text else "binary", "long", "long", "long")):
         schema = schema.add(column, kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +372,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 pieces.append(raw[a + at:b])
                 kept.append(b"".join(pieces))
                 counts.append((b - a, b - a - len(kept[-1]), number))
-            columns = [batch.column(f.name) for f in fields] + [pa.array(kept, pa.binary())]
+            if as_text:
+                kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            columns = [batch.column(f.name) for f in fields] + [kept if as_text else pa.array(kept, pa.binary())]
             columns += [pa.array(c, pa.int64()) for c in zip(*counts)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *added])
 
