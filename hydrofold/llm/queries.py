@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, langid
 from .mixing import mix
+from .quality_rules import RULES, STOP_WORDS, judged
 from .simhash import with_components
 from .suffix_dedup import remove_repeats
 from .texts import crc_mod
@@ -53,6 +54,46 @@ def op2_bpe(spark, sf_dir):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _rules_sql() -> str:
+    bounds = [f"{r.count} >= CAST({r.least} AS DOUBLE) * {r.of}" for r in RULES if r.least is not None]
+    bounds += [f"{r.count} <= CAST({r.most} AS DOUBLE) * {r.of}" for r in RULES if r.most is not None]
+    return " AND ".join(bounds)
+
+
+BLANK_SQL = r"[\x20\x09-\x0D]"
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+w AS (SELECT doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+      list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT doc_id, sum(least(8, coalesce(following - i, 8))) AS n
+            FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM twice) GROUP BY doc_id),
+word AS (SELECT doc_id, i, words[i] AS w, words[i + 1] AS following FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+per_word AS (SELECT doc_id,
+   sum(CASE WHEN length(w) > 1 AND upper(w) = w AND lower(w) <> w THEN 1 ELSE 0 END) AS n_shouted,
+   sum(CASE WHEN following = w THEN 1 ELSE 0 END) AS n_stuttered,
+   sum(CASE WHEN lower(rtrim(w, '.,;:!?')) IN ({", ".join(repr(x) for x in STOP_WORDS)}) THEN 1 ELSE 0 END) AS n_stop_words
+   FROM word GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+   CAST(length(regexp_replace(body, '{BLANK_SQL}', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+   CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(length(body) - length(replace(body, '!', '')) AS BIGINT) AS n_exclamations,
+   CAST(coalesce(p.n_shouted, 0) AS BIGINT) AS n_shouted, CAST(coalesce(p.n_stuttered, 0) AS BIGINT) AS n_stuttered,
+   CAST(coalesce(p.n_stop_words, 0) AS BIGINT) AS n_stop_words
+   FROM w LEFT JOIN repeats r ON w.doc_id = r.doc_id LEFT JOIN per_word p ON w.doc_id = p.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND {_rules_sql()} AS kept FROM b
+"""
+
+
+@register(QUALITY_SQL)
+def op4_quality_rules(spark, sf_dir):
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @register()
 def op7_simhash_dedup(spark, sf_dir):
     found = with_components(table(spark, sf_dir, "documents"))
