@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid
+from . import bpe, langid, url_filter
+from .cross_polytope import nearest
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, judged
 from .simhash import with_components
@@ -94,12 +95,28 @@ def op4_quality_rules(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "com/"), url_filter.Rule("block", "example.com/en/"), url_filter.Rule("allow", "www.example.com/en/"),
+    url_filter.Rule("block", "net/es/"), url_filter.Rule("block", "net/fr/")]
+
+
+@register()
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "llr")
+
+
 @register()
 def op7_simhash_dedup(spark, sf_dir):
     found = with_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register()
+def op8_cross_polytope(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register()
 def op10_suffix_dedup(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
