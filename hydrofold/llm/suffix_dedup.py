@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..schema import q
 from ..session import checkpointed
 from .texts import fresh, sliced, utf8
 
 LENGTH = 200
 GRAM = 32
-BUCKET_CONTEXTS = 2_000
+BUCKET_CONTEXTS = 10_000
 BATCH_BYTES = 600_000
 SLICE = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +100,25 @@ def contexts_of(rolling: _Rolling, data: np.ndarray, offsets: np.ndarray, length
 # --- two-stage sorting -----------------------------------------------------------------------------------------------
 
 
+def _sorted_suffixes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The order of the strings data[low:high]: first by eight bytes at once, then ties among themselves."""
+    words = np.zeros(len(low), np.uint64)
+    for i in range(8):
+        inside = low + i < high
+        words = (words << np.uint64(8)) | np.where(inside, data[np.minimum(low + i, len(data) - 1)], 0).astype(np.uint64)
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    raw = data.tobytes()
+    ends = np.append(new[1:], len(words))
+    tied = ends - new > 1
+    for a, b in zip(new[tied].tolist(), ends[tied].tolist()):
+        group = order[a:b]
+        keys = [raw[x:y] for x, y in zip(low[group].tolist(), high[group].tolist())]
+        order[a:b] = group[sorted(range(b - a), key=keys.__getitem__)]
+    return order
+
+
 def suffix_order(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The ``wanted`` starts (with those they are induced from) in the order of their suffixes' first ``depth`` bytes.
 
@@ -108,21 +128,19 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, depth
     byte and is itself larger than its successor.
     """
     n, strings = len(data), len(bounds) - 1
-    letters = np.zeros(n + strings, np.int32)  # a zero after each string sorts below every byte
-    own = np.arange(n) + np.repeat(np.arange(strings), np.diff(bounds))
-    letters[own] = data.astype(np.int32) + 1
+    letters = np.zeros(n + strings, np.int16)  # a zero after each string sorts below every byte
+    own = (np.arange(n) + np.repeat(np.arange(strings), np.diff(bounds))).astype(np.int32)
+    letters[own] = data.astype(np.int16) + 1
     stops = bounds[1:] + np.arange(strings)
     size = len(letters)
-    step = np.sign(np.diff(letters, append=0))  # 1: smaller than the successor's letter
-    position = np.arange(size)
-    decided = np.where(step != 0, position, size - 1)
+    step = np.diff(letters, append=np.int16(0))  # positive: smaller than the successor's letter
+    position = np.arange(size, dtype=np.int32)
+    decided = np.where(step != 0, position, np.int32(size - 1))
     decided = np.minimum.accumulate(decided[::-1])[::-1]  # equal letters go with the first different one
     direct = step[decided] > 0
     direct[stops] = True  # ends of strings seed the scan
-    following = np.minimum.accumulate(np.where(direct, position, size - 1)[::-1])[::-1]
+    following = np.minimum.accumulate(np.where(direct, position, np.int32(size - 1))[::-1])[::-1]
 
-    need = np.zeros(size, bool)
-    need[own[wanted]] = True
     seeds = following[own[wanted]]
     # Between a wanted suffix and the next one sorted directly all are induced, so all of them are needed.
     edge = np.zeros(size + 1, np.int32)
@@ -130,14 +148,10 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, depth
     np.add.at(edge, seeds + 1, -1)
     need = np.cumsum(edge)[:-1] > 0
 
-    raw = data.tobytes()
     sorted_directly = np.flatnonzero(need & direct & (letters > 0))
     string = np.searchsorted(stops, sorted_directly)
     low = sorted_directly - string
-    high = np.minimum(low + depth, bounds[string + 1])
-    keys = [raw[a:b] for a, b in zip(low.tolist(), high.tolist())]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    sorted_directly = sorted_directly[np.array(order, np.int64)]
+    sorted_directly = sorted_directly[_sorted_suffixes(data, low, np.minimum(low + depth, bounds[string + 1]))]
     heads = np.searchsorted(letters[sorted_directly], np.arange(258))
 
     pending: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -210,13 +224,13 @@ def repeated(bodies: list[bytes], starts: np.ndarray, copies: np.ndarray, length
 # --- Spark -----------------------------------------------------------------------------------------------------------
 
 
-def _occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _occurrences(rows: DataFrame, text: str, key: str, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = _Rolling()
-        for batch in sliced(batches, "text", SLICE):
-            data, offsets = utf8(batch.column("text"))
+        for batch in sliced(batches, text, SLICE):
+            data, offsets = utf8(batch.column(text))
             found = contexts_of(rolling, data, offsets, length, gram)
-            row = batch.column("row").to_numpy()[found["text"]]
+            row = batch.column(key).to_numpy()[found["text"]]
             for part in range(0, len(row), 100_000):
                 cut = slice(part, part + 100_000)
                 yield pa.RecordBatch.from_arrays(
@@ -224,16 +238,17 @@ def _occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
                      pa.array(found["start"][cut].astype(np.int32)), pa.array(found["n"][cut].astype(np.int32))],
                     names=["anchor", "context", "row", "start", "n"])
 
-    return rows.mapInArrow(run, "anchor long, context long, row long, start int, n int")
+    return rows.select(q(text), q(key)).mapInArrow(run, "anchor long, context long, row long, start int, n int")
 
 
-def _bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _bodies(rows: DataFrame, wanted: DataFrame, text: str, key: str, length: int) -> DataFrame:
     """The bytes of the wanted contexts, cut out of their texts."""
+    asked = fresh(rows, "_wanted")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", SLICE):
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("wanted")
+        for batch in sliced(batches, text, SLICE):
+            data, offsets = utf8(batch.column(text))
+            lists = batch.column(asked)
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             parts = lists.flatten()
             fields = {name: parts.field(name) for name in ("anchor", "context", "copies", "start", "n")}
@@ -245,9 +260,9 @@ def _bodies(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 [fields["anchor"], fields["context"], fields["copies"], fields["n"], bodies],
                 names=["anchor", "context", "copies", "n", "body"])
 
-    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "copies", "start", "n")).alias("wanted"))
-    return rows.join(per_row, "row").select("text", "wanted").mapInArrow(
-        run, "anchor long, context long, copies long, n int, body binary")
+    per_row = wanted.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("anchor", "context", "copies", "start", "n")).alias(asked))
+    # With all columns, so that this shuffle of the texts is the one that the removal uses again.
+    return rows.join(per_row, key).mapInArrow(run, "anchor long, context long, copies long, n int, body binary")
 
 
 def _sorted_runs(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +273,7 @@ def _sorted_runs(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.
         owner, low, n = repeated(bodies, np.array(starts), np.array(copies), length)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.array(anchors)[owner]), pa.array(np.array(contexts)[owner]), pa.array(low.astype(np.int32)),
-             pa.array(n.astype(np.int32))], names=["anchor", "context", "low", "n"])
+             pa.array(n.astype(np.int32))], names=["anchor", "context", "low", "many"])
         for held in (anchors, contexts, copies, starts, bodies):
             held.clear()
 
@@ -298,38 +313,34 @@ def _digest_runs(contexts: DataFrame, length: int) -> DataFrame:
     suffixes = checkpointed(contexts.mapInArrow(run, "one long, two long, anchor long, context long, copies long, low int"), "suffixes")
     twice = suffixes.groupBy("one", "two").agg(F.sum("copies").alias("total")).where("total > 1").select("one", "two")
     return suffixes.join(checkpointed(twice, "repeated-suffixes"), ["one", "two"]).select(
-        "anchor", "context", "low", F.lit(1).alias("n"))
+        "anchor", "context", "low", F.lit(1).alias("many"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_contexts: int = BUCKET_CONTEXTS) -> DataFrame:
+def repeated_spans(rows: DataFrame, text: str, key: str, length: int = LENGTH, gram: int = GRAM,
+                   bucket_contexts: int = BUCKET_CONTEXTS) -> DataFrame:
     """Spans (row, low, high) in bytes, overlapping, that cover every string of ``length`` bytes found twice or more.
 
-    ``rows`` has a long ``row`` and a string ``text``. Anchors that occur once are dropped after a count with partial
-    sums. A bucket of more than ``bucket_contexts`` different contexts is not sorted in one task; its suffixes are
-    counted by digest instead, with the same result.
+    ``key`` is a long that tells the rows apart. Anchors that occur once are dropped after a count with partial sums. A
+    bucket of more than ``bucket_contexts`` different contexts is not sorted in one task; its suffixes are counted by
+    digest instead, with the same result.
     """
-    occurrences = _occurrences(rows, length, gram)
+    occurrences = _occurrences(rows, text, key, length, gram)
     shared = checkpointed(occurrences.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     candidates = checkpointed(occurrences.join(shared, "anchor"), "candidates")
     contexts = checkpointed(
         candidates.groupBy("anchor", "context").agg(
             F.count("*").alias("copies"), F.min(F.struct("row", "start", "n")).alias("at"))
         .select("anchor", "context", "copies", "at.row", "at.start", "at.n"), "contexts")
-    large = contexts.groupBy("anchor").count().where(F.col("count") > bucket_contexts).select("anchor", F.lit(True).alias("large"))
-    large = checkpointed(large, "large-buckets")
-    bodies = _bodies(rows, contexts, length)
-    if large.isEmpty():
-        small, runs = bodies, None
-    else:
-        marked = bodies.join(large, "anchor", "left")
-        small = marked.where("large is null").drop("large")
-        runs = _digest_runs(marked.where("large").drop("large"), length)
-    ordered = small.repartition("anchor").sortWithinPartitions("anchor", "context")
-    spans = ordered.mapInArrow(lambda batches: _sorted_runs(batches, length), "anchor long, context long, low int, n int")
-    if runs is not None:
-        spans = spans.unionByName(runs)
-    spans = checkpointed(spans, "runs")
-    return candidates.join(spans.withColumnRenamed("n", "many"), ["anchor", "context"]).select(
+    large = checkpointed(contexts.groupBy("anchor").count().where(F.col("count") > bucket_contexts).select("anchor"), "large-buckets")
+    counted = None
+    if not large.isEmpty():
+        counted = _digest_runs(_bodies(rows, contexts.join(large, "anchor", "left_semi"), text, key, length), length)
+        contexts = contexts.join(large, "anchor", "left_anti")
+    ordered = _bodies(rows, contexts, text, key, length).repartition("anchor").sortWithinPartitions("anchor", "context")
+    runs = ordered.mapInArrow(lambda batches: _sorted_runs(batches, length), "anchor long, context long, low int, many int")
+    if counted is not None:
+        runs = runs.unionByName(counted)
+    return candidates.join(runs, ["anchor", "context"]).select(
         "row", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("low") + F.col("many") + (length - 1)).alias("high"))
 
 
@@ -343,13 +354,13 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     Columns of ``df`` with one of the four names are replaced.
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans")
+    df = df.drop(*added)
     name, spans_name = fresh(df, "_row"), fresh(df, "_spans")
-    marked = df.drop(*added).withColumn(name, F.xxhash64(key, text))
-    spans = repeated_spans(df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")), length)
+    marked = df.withColumn(name, F.xxhash64(key, text))
+    spans = repeated_spans(marked, text, name, length)
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias(spans_name)).withColumnRenamed("row", name)
-    joined = marked.join(per_row, name, "left").drop(name)
-    fields = [f for f in joined.schema.fields if f.name != spans_name]
-    schema = joined.drop(spans_name).schema
+    joined = marked.join(per_row, name, "left")
+    fields, schema = df.schema.fields, df.schema
     for column, kind in zip(added, ("string" if as_text else "binary", "long", "long", "long")):
         schema = schema.add(column, kind)
 
