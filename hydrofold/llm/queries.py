@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, url_filter
+from . import bpe, langid, line_crf, url_filter
 from .cross_polytope import nearest
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, judged
@@ -106,6 +106,15 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+@register()
+def op6_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = line_crf.train(docs.where("not held_out").join(labels, "doc_id"))
+    return line_crf.score(docs, model).select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @register()
 def op7_simhash_dedup(spark, sf_dir):
     found = with_components(table(spark, sf_dir, "documents"))
