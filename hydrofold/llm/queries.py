@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, line_crf, url_filter
+from . import bpe, katz, langid, line_crf, url_filter
 from .cross_polytope import nearest
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, judged
@@ -55,6 +55,11 @@ def op2_bpe(spark, sf_dir):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register()
+def op3_katz(spark, sf_dir):
+    return katz.scored(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 1)
+
+
 def _rules_sql() -> str:
     bounds = [f"{r.count} >= CAST({r.least} AS DOUBLE) * {r.of}" for r in RULES if r.least is not None]
     bounds += [f"{r.count} <= CAST({r.most} AS DOUBLE) * {r.of}" for r in RULES if r.most is not None]
