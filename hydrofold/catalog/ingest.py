@@ -381,7 +381,7 @@ def merge_reconciliation_(spark, d):
 
 @register("SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS original_row, na FROM samples")
 def original_row_number(spark, d):
-    return global_row_number(samples(spark, d).select("sample_id", "na"), "sample_id", "original_row")
+    return global_row_number(samples(spark, d).select("sample_id", "na"), "sample_id", output="original_row")
 
 
 @register("SELECT sample_id, ph AS ph_hooked, 'conformed' AS stage FROM raw WHERE ph IS NOT NULL")

@@ -246,9 +246,9 @@ def sample_n(spark, d):
 
 
 @register("""SELECT sample_id, ph FROM (SELECT *, row_number() OVER (ORDER BY md5('7:' || CAST(sample_id AS STRING))) AS i, count(*) OVER () AS n
-  FROM samples WHERE ph IS NOT NULL) WHERE i <= greatest(1, n // 10)""")
+  FROM samples) WHERE i <= greatest(1, n // 10)""")
 def sample_fraction(spark, d):
-    return examples.sample_fraction(samples(spark, d).where("ph is not null").select("sample_id", "ph"), "sample_id", 10, 7)
+    return examples.sample_fraction(samples(spark, d).select("sample_id", "ph"), "sample_id", 10, 7)
 
 
 @register("SELECT sample_id, avg_rank, n, before, total FROM (SELECT min(sample_id) AS sample_id, na, min(rk) + (count(*) - 1) / 2.0e0 AS avg_rank, "
@@ -266,12 +266,12 @@ def average_rank(spark, d):
           "ORDER BY na DESC NULLS LAST, sample_id LIMIT 20")
 def order_by(spark, d):
     top = samples(spark, d).select("sample_id", "na").orderBy(F.desc_nulls_last("na"), "sample_id").limit(20)
-    return ranking.global_row_number(top.withColumn("_o", -F.col("na")), "_o", "place", start=1).drop("_o")
+    return ranking.global_row_number(top, F.desc_nulls_last("na"), "sample_id", output="place", start=1)
 
 
-@register("SELECT sample_id, na FROM samples WHERE na IS NOT NULL ORDER BY sample_id LIMIT 50")
+@register("SELECT sample_id, na FROM samples ORDER BY sample_id LIMIT 50")
 def limit_head(spark, d):
-    return samples(spark, d).where("na is not null").select("sample_id", "na").orderBy("sample_id").limit(50)
+    return samples(spark, d).select("sample_id", "na").orderBy("sample_id").limit(50)
 
 
 @register(f"SELECT * FROM (SELECT sample_id, 'high' AS side, ibe FROM ibe WHERE ibe > 30) UNION ALL "

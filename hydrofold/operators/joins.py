@@ -27,8 +27,8 @@ def positional_concat(first: DataFrame, second: DataFrame, order_first: str, ord
     The positions come from a distributed row number, so neither frame passes through a single task.
     Of equal column names the first frame's stays.
     """
-    left = global_row_number(first, order_first, "_row")
-    right = global_row_number(second, order_second, "_row")
+    left = global_row_number(first, order_first, output="_row")
+    right = global_row_number(second, order_second, output="_row")
     right = right.select("_row", *[q(c) for c in right.columns if c not in left.columns])
     return left.join(right, "_row", "full_outer").drop("_row")
 

@@ -1,42 +1,27 @@
 """Global order statistics without a single-task sort.
 
-An unpartitioned window sorts a whole table in one task. Here values are first cut into ordered buckets
-by approximate quantiles; bucket sizes give each bucket's exact offset, and only rows of one bucket are
-ranked together. The result is exact whatever the approximation of the cut points.
+Values are counted per group first, so heavy duplicates cost one row. The counts are then range partitioned into buckets
+of about ``bucket_rows`` distinct values, however many that takes; bucket sizes give each bucket's exact offset, and only
+rows of one bucket are ranked together. There is one path for every size: a small table is one bucket.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import q
-from ..session import checked_broadcast, checkpointed
+from ..session import checkpointed
 
-BUCKETS = 128
-TASK_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
 _BUCKET, _BASE = "_bucket", "_base"
 
 
-def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in by], F.lit(True))
-
-
-def _cut(df: DataFrame, by: list[str], value: str, groups: int | None, buckets: int) -> DataFrame:
-    """Add the ordered bucket of ``value`` within its group."""
-    probabilities = ", ".join(str(i / buckets) for i in range(1, buckets))
-    splits = df.groupBy(*by).agg(F.array_distinct(F.expr(
-        f"approx_percentile(`{value}`, array({probabilities}), {10 * buckets})")).alias("_splits"))
-    # A row of cut points is about a kilobyte, so the bound is lower than usual.
-    joined = (df.join(checked_broadcast(splits, max_rows=10_000, proven_rows=groups), by) if by
-              else df.crossJoin(F.broadcast(splits)))  # one row
-    return joined.withColumn(
-        _BUCKET, F.size(F.filter("_splits", lambda s: s < q(value)))).drop("_splits")
+def _buckets(rows: int, bucket_rows: int) -> int:
+    return max(1, -(-rows // bucket_rows))
 
 
 def _offsets(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
-    """Rows before each bucket and in all buckets of its group; at most ``BUCKETS`` rows per group."""
+    """Rows before each bucket and in all buckets of its group; a row per bucket, and one more for each group that begins in it."""
     sizes = df.groupBy(*by, _BUCKET).agg(F.sum(weight).alias("_rows"))
     order = Window.partitionBy(*by).orderBy(_BUCKET)
     whole = Window.partitionBy(*by)
@@ -46,65 +31,44 @@ def _offsets(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
     })
 
 
-def _counted(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, int, int]:
-    """Distinct values with ``n``, written once; the largest group's distinct values; the number of groups."""
-    counts = checkpointed(
-        df.where(q(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
-    size = counts.groupBy(*by).count().agg(F.max("count"), F.count("*")).first()
-    return counts, size[0] or 0, size[1]
+def _counted(df: DataFrame, by: list[str], value: str, bucket_rows: int) -> DataFrame:
+    """Distinct values with ``n`` and their bucket, written once so that the buckets stay what they are."""
+    counts = checkpointed(df.where(q(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
+    dealt = counts.repartitionByRange(_buckets(counts.count(), bucket_rows), *[q(c) for c in [*by, value]])
+    return checkpointed(dealt.withColumn(_BUCKET, F.spark_partition_id()), "value-buckets")
 
 
-def _running(partition: list[str], value: str):
-    return Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _ranked_in_buckets(cut: DataFrame, offsets: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``before`` and ``total`` for the values of the buckets that ``offsets`` holds."""
+    joined = cut.join(offsets.drop("_rows"), [*by, _BUCKET])
+    running = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.withColumn("before", F.col(_BASE) + F.sum("n").over(running) - F.col("n")).drop(_BUCKET, _BASE)
 
 
-def ranked_values(df: DataFrame, by: list[str], value: str, task_rows: int = TASK_ROWS) -> DataFrame:
+def ranked_values(df: DataFrame, by: list[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct values per group with ``n``, ``before`` (rows with a smaller value) and the group's ``total``.
 
-    Values are counted and written once, so the source is scanned once and heavy duplicates cost one row.
-    Groups of at most ``task_rows`` distinct values are ranked in one window each; larger ones are cut into
-    buckets first.
+    The source is scanned once.
     """
-    counts, largest, groups = _counted(df, by, value)
-    if largest <= task_rows:
-        return counts.withColumns({
-            "before": F.sum("n").over(_running(by, value)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*by))})
-    cut = _cut(counts, by, value, groups, BUCKETS)
-    return _ranked_in_buckets(cut, _offsets(cut, by, F.col("n")), by, value, groups)
-
+    cut = _counted(df, by, value, bucket_rows)
+    return _ranked_in_buckets(cut, _offsets(cut, by, F.col("n")), by, value)
 
-def _ranked_in_buckets(cut: DataFrame, offsets: DataFrame, by: list[str], value: str, groups: int) -> DataFrame:
-    joined = cut.join(checked_broadcast(offsets.drop("_rows"), proven_rows=groups * BUCKETS), [*by, _BUCKET])
-    before = F.col(_BASE) + F.sum("n").over(_running([*by, _BUCKET], value)) - F.col("n")
-    return joined.withColumn("before", before).drop(_BUCKET, _BASE)
 
-
-def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column, task_rows: int = TASK_ROWS) -> DataFrame:
+def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The order statistics (by, total, rank, value) at 0-based ``ranks``, an array as a function of ``total``.
 
-    In small groups the ranks are sorted in between the values and take the last value before them. In large
-    ones only buckets that hold a wanted rank are sorted at all.
+    Only buckets that hold a wanted rank are sorted at all.
     """
-    counts, largest, groups = _counted(df, by, value)
-    if largest <= task_rows:
-        running = counts.withColumn("_at", F.sum("n").over(_running(by, value)) - F.col("n"))
-        asked = counts.groupBy(*by).agg(F.sum("n").alias("total")).select(*by, "total", F.explode(ranks).alias("_at"))
-        both = running.select(*by, "_at", q(value).cast("double").alias("value"), F.lit(None).cast("long").alias("total")).unionByName(
-            asked.select(*by, "_at", F.lit(None).cast("double").alias("value"), "total"))
-        order = Window.partitionBy(*by).orderBy(F.col("_at"), F.col("value").asc_nulls_last()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return (both.withColumn("value", F.last("value", True).over(order)).where(F.col("total").isNotNull())
-                .select(*by, "total", F.col("_at").alias("rank"), "value"))
-    cut = _cut(counts, by, value, groups, BUCKETS)
+    cut = _counted(df, by, value, bucket_rows)
     inside = lambda r: (r >= F.col(_BASE)) & (r < F.col(_BASE) + F.col("_rows"))
     offsets = _offsets(cut, by, F.col("n")).withColumn("_wanted", F.filter(ranks, inside)).where(F.size("_wanted") > 0)
-    ranked = _ranked_in_buckets(cut, offsets, by, value, groups)
+    ranked = _ranked_in_buckets(cut, offsets, by, value)
     hit = F.filter("_wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
     return ranked.select(*by, "total", F.explode(hit).alias("rank"), q(value).cast("double").alias("value"))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float],
-                    output: str = "quantiles", task_rows: int = TASK_ROWS) -> DataFrame:
+                    output: str = "quantiles", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per group as one array column, plus ``total``.
 
     The order statistics needed are looked up by rank; no task holds a group's values.
@@ -113,7 +77,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     position = lambda p: (F.col("total") - 1).cast("double") * p
     ranks = F.array_distinct(F.concat(
         F.transform(probs, lambda p: F.floor(position(p))), F.transform(probs, lambda p: F.ceil(position(p)))))
-    looked_up = values_at_ranks(df, by, value, ranks, task_rows).groupBy(*by).agg(  # twice the probabilities per group
+    looked_up = values_at_ranks(df, by, value, ranks, bucket_rows).groupBy(*by).agg(  # twice the probabilities per group
         F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
 
     def interpolate(p: Column) -> Column:
@@ -124,27 +88,26 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     return looked_up.select(*by, "total", F.transform(probs, interpolate).alias(output))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, task_rows: int = TASK_ROWS) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct values with their tie-averaged 1-based rank."""
-    ranked = ranked_values(df, by, value, task_rows)
+    ranked = ranked_values(df, by, value, bucket_rows)
     return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
-def global_row_number(df: DataFrame, order: str, output: str = "row_number", start: int = 0,
-                      task_rows: int = TASK_ROWS) -> DataFrame:
-    """Row position in the order of a unique numeric or timestamp column."""
-    keyed = df.withColumn("_order", q(order).cast("double") if dict(df.dtypes)[order].startswith("timestamp") else q(order))
-    if df.select(order).limit(task_rows + 1).count() <= task_rows:
-        position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order"))
-        return keyed.withColumn(output, position.cast("long") - F.lit(1 - start)).drop("_order")
-    cut = _cut(keyed, [], "_order", 1, BUCKETS)
-    offsets = _offsets(cut, [], F.lit(1)).select(_BUCKET, _BASE)
-    window = Window.partitionBy(_BUCKET).orderBy("_order")
-    return (
-        cut.join(F.broadcast(offsets), _BUCKET)  # at most BUCKETS rows
-        .withColumn(output, F.col(_BASE) + F.row_number().over(window) - F.lit(1 - start))
-        .drop(_BUCKET, _BASE, "_order")
-    )
+def global_row_number(df: DataFrame, *order: str | Column, output: str = "row_number", start: int = 0,
+                      bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Row position in a global order, which must be of distinct keys to be repeatable.
+
+    Rows are range partitioned and sorted once, and written with their place in their partition; the partitions' sizes,
+    a row for each, give the offsets.
+    """
+    n = _buckets(df.count(), bucket_rows)
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({
+        _BUCKET: F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    written = checkpointed(placed, "row-places")
+    offsets = _offsets(written, [], F.lit(1)).select(_BUCKET, _BASE)
+    return (written.join(offsets, _BUCKET).withColumn(output, F.col(_BASE) + F.col("_place") + F.lit(start))
+            .drop(_BUCKET, _BASE, "_place"))
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -152,14 +115,26 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def smallest_by_hash(df: DataFrame, key: str, n: Column, seed: int) -> DataFrame:
+def smallest_by_hash(df: DataFrame, key: str, n: Column, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The ``n`` rows that come first in the seeded random order; ``n`` may depend on ``total``, the row count.
 
-    Hash prefixes are buckets of nearly equal size: those beyond the cut are dropped unsorted, the others are
-    numbered bucket by bucket.
+    Hashes are cut into equal ranges, as many as the count asks for. Whole ranges are below or beyond the cut; the keys of
+    the one that holds it are sorted to find the last hash wanted. The rows themselves are only filtered.
     """
-    hashed = df.withColumn("_hash", hash_order(q(key), seed)).withColumn(_BUCKET, F.substring("_hash", 1, 3))
-    offsets = _offsets(hashed, [], F.lit(1)).withColumn("_n", n).where(F.col(_BASE) < F.col("_n"))
-    joined = hashed.join(F.broadcast(offsets.select(_BUCKET, _BASE, "_n")), _BUCKET)  # 4096 prefixes at most
-    place = F.row_number().over(Window.partitionBy(_BUCKET).orderBy("_hash", key))
-    return joined.withColumn("_i", place).where(F.col(_BASE) + F.col("_i") <= F.col("_n")).drop("_hash", _BUCKET, _BASE, "_n", "_i")
+    hashed = df.withColumn("_hash", hash_order(q(key), seed))
+    total = df.count()
+    wanted = df.sparkSession.range(1).select(F.lit(total).alias("total")).select(n.cast("long")).first()[0]
+    if wanted >= total or wanted <= 0:  # all of it, or nothing
+        return df if wanted > 0 else df.limit(0)
+    ranges = _buckets(total, bucket_rows)
+    bucket = F.floor(F.conv(F.substring("_hash", 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52)) * ranges).cast("long")
+    sizes = {r[_BUCKET]: r["count"] for r in hashed.groupBy(bucket.alias(_BUCKET)).count().collect()}  # a row per range
+    before, cut = 0, 0
+    for cut in sorted(sizes):
+        if before + sizes[cut] >= wanted:
+            break
+        before += sizes[cut]
+    last = hashed.where(bucket == cut).select("_hash", q(key).alias("_key")).orderBy("_hash", "_key").limit(wanted - before).agg(
+        F.max(F.struct("_hash", "_key")).alias("last")).first()["last"]
+    return hashed.where((bucket < cut) | (F.col("_hash") < last["_hash"]) | (
+        (F.col("_hash") == last["_hash"]) & (q(key) <= F.lit(last["_key"])))).drop("_hash")

@@ -18,34 +18,36 @@ def skewed(spark):
     return spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None))).repartition(8), pdf
 
 
-@pytest.mark.parametrize("task_rows", [0, 10 ** 6])
-def test_quantiles_in_buckets_and_whole(skewed, task_rows):
+@pytest.mark.parametrize("bucket_rows", [300, 10 ** 6])
+def test_quantiles_in_buckets_and_whole(skewed, bucket_rows):
     df, pdf = skewed
     probs = [0.0, 0.02, 0.25, 0.5, 0.77, 0.98, 0.99, 1.0]
-    got = {r["g"]: r["quantiles"] for r in ranking.exact_quantiles(df, ["g"], "v", probs, task_rows=task_rows).collect()}
+    got = {r["g"]: r["quantiles"] for r in ranking.exact_quantiles(df, ["g"], "v", probs, bucket_rows=bucket_rows).collect()}
     for g, part in pdf.dropna().groupby("g"):
         assert np.allclose(got[g], np.quantile(part["v"], probs), rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("task_rows", [0, 10 ** 6])
-def test_average_ranks(skewed, task_rows):
+@pytest.mark.parametrize("bucket_rows", [300, 10 ** 6])
+def test_average_ranks(skewed, bucket_rows):
     df, pdf = skewed
-    ranks = ranking.average_rank(df, ["g"], "v", task_rows).toPandas().set_index(["g", "v"])["avg_rank"]
+    ranks = ranking.average_rank(df, ["g"], "v", bucket_rows).toPandas().set_index(["g", "v"])["avg_rank"]
     for g, part in pdf.dropna().groupby("g"):
         expected = part["v"].rank()
         assert np.array_equal(ranks.loc[g].loc[part["v"]].to_numpy(), expected.to_numpy())
 
 
-@pytest.mark.parametrize("task_rows", [0, 10 ** 6])
-def test_row_numbers(skewed, task_rows):
+@pytest.mark.parametrize("bucket_rows", [300, 10 ** 6])
+def test_row_numbers(skewed, bucket_rows):
     df, _ = skewed
-    rows = ranking.global_row_number(df.select("k"), "k", task_rows=task_rows).toPandas()
+    rows = ranking.global_row_number(df.select("k"), "k", bucket_rows=bucket_rows).toPandas()
     assert (rows["k"] == rows["row_number"]).all() and len(rows) == 5500
 
 
 def test_samples_are_exact_and_repeatable(skewed):
     df, _ = skewed
     first = {r["k"] for r in sample_n(df, "k", 700, 5).collect()}
+    ranged = {r["k"] for r in ranking.smallest_by_hash(df, "k", F.lit(700), 5, bucket_rows=90).collect()}
+    assert first == ranged
     again = {r["k"] for r in sample_n(df.repartition(3), "k", 700, 5).collect()}
     assert len(first) == 700 and first == again
     assert sample_n(df, "k", 10 ** 6).count() == 5500
@@ -61,6 +63,7 @@ def test_nearest_keeps_one_row_per_source(spark):
 
 
 def test_masks(spark):
-    listed = mask_list(9)
+    listed = mask_list(9, 50)
+    assert len(mask_list(9)) == 510 == mask_table(spark, 9).count()
     assert {level: sum(1 for x, _ in listed if x == level) for level in range(1, 9)} == {1: 9, 2: 36, 3: 50, 4: 50, 5: 50, 6: 50, 7: 36, 8: 9}
-    assert sorted(listed) == sorted((r["level"], r["mask"]) for r in mask_table(spark, 9).collect())
+    assert sorted(listed) == sorted((r["level"], r["mask"]) for r in mask_table(spark, 9, 50).collect())
