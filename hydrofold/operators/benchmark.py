@@ -12,7 +12,7 @@ from .examples import mask_list, sample_fraction
 from .features import Standard, quantile_bounds, quantile_clip, split_label, standardize
 from .filters import any_present, complete_cases
 from .joins import cross_masks
-from .knn import BROADCAST_CELLS, knn_join, neighbour_mean, vector
+from .knn import CELL_ROWS, knn_join, neighbour_mean, vector
 
 # Rows per task before masking multiplies them by up to 50 masks per level.
 TASK_ROWS = 2000
@@ -21,23 +21,18 @@ Imputer = Callable[[DataFrame], DataFrame]
 """Takes requests (``request_id``, ``x`` with hidden cells null, ``mask``, ...) and adds ``imputed``, an array like ``x``."""
 
 
-def knn_imputer(train: DataFrame, key: str, columns: list[str], k: int = 5, broadcast_cells: int = BROADCAST_CELLS) -> Imputer:
+def knn_imputer(train: DataFrame, key: str, columns: list[str], k: int = 5, cell_rows: int = CELL_ROWS) -> Imputer:
     """Nearest-neighbour imputer over scaled training rows, which it must hold without nulls or per wanted feature."""
     d = len(columns)
     donors = train.select(q(key).alias("donor_id"), vector(columns).alias("y"))
     means = F.array(*[F.lit(m).cast("double") for m in train.agg(*[F.avg(q(c)) for c in columns]).first()])
-    has_gaps = bool(train.where(" or ".join(f"`{c}` is null" for c in columns)).limit(1).count())
 
     def impute(requests: DataFrame) -> DataFrame:
-        if not has_gaps:
-            joined = knn_join(requests.withColumn("target", F.lit(-1)), donors, d, k, broadcast_cells).drop("target")
-            filled = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.coalesce(neighbour_mean(j, d), F.get(means, j)))
-            return joined.withColumn("imputed", filled).drop("distances", "donors", "donor_values")
-        # Donors differ by wanted feature: one request per hidden cell, gathered again by request.
+        # Donors may differ by wanted feature: one request per hidden cell, gathered again by request.
         hidden = F.filter(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.get("x", j).isNull())
         cells = requests.select("request_id", "x", F.explode(hidden).alias("target")).withColumn(
             "request_id", F.concat_ws("/", "request_id", "target"))
-        joined = knn_join(cells, donors, d, k, broadcast_cells)
+        joined = knn_join(cells, donors, d, k, cell_rows)
         value = F.coalesce(neighbour_mean(F.col("target"), d), F.get(means, F.col("target")))
         per_request = joined.select(F.substring_index("request_id", "/", 1).alias("request_id"), "target", value.alias("_v")).groupBy(
             "request_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "_v"))).alias("_filled"))  # at most d cells
@@ -62,10 +57,12 @@ def prepared(df: DataFrame, key: str, columns: list[str], include_incomplete: bo
     return rows, standardize(rows.where("split = 'Train'"), columns)
 
 
-def benchmark_requests(rows: DataFrame, key: str, columns: list[str], scaling: Standard, masks, seed: int = 42) -> DataFrame:
-    """All test rows and a tenth of the training rows under every mask, hidden cells null on the standard scale."""
+def benchmark_requests(rows: DataFrame, key: str, columns: list[str], scaling: Standard, masks, seed: int = 42,
+                       train_parts: int = 1) -> DataFrame:
+    """All test rows and one in ``train_parts`` training rows under every mask, hidden cells null on the standard scale."""
     test = rows.where("split = 'Test'")
-    train = sample_fraction(rows.where("split = 'Train'"), key, 10, seed)
+    train = rows.where("split = 'Train'")
+    train = sample_fraction(train, key, train_parts, seed) if train_parts > 1 else train
     scored = balanced(test.unionByName(train), key, TASK_ROWS).withColumn("original", vector(columns))
     scaled = scaling.transform(scored).select(q(key), "split", "original", vector(columns).alias("full"))
     masked = cross_masks(scaled, masks)
@@ -76,14 +73,16 @@ def benchmark_requests(rows: DataFrame, key: str, columns: list[str], scaling: S
 
 
 def mask_benchmark(df: DataFrame, key: str, columns: list[str], make_imputer: Callable[[DataFrame], Imputer],
-                   include_incomplete: bool = False, cap: int = 50, seed: int = 42, clip: float | None = None) -> DataFrame:
+                   include_incomplete: bool = False, cap: int | None = None, seed: int = 42, clip: float | None = None,
+                   train_parts: int = 1) -> DataFrame:
     """Long rows (key, feature, original, imputed, split, level, combination) for every hidden cell that was known.
 
-    Levels hide 1 to d-1 features, at most ``cap`` masks each. ``make_imputer`` gets the scaled training rows.
+    Levels hide 1 to d-1 features in every combination, or in ``cap`` of them each. All rows are scored, or one in
+    ``train_parts`` of the training rows. ``make_imputer`` gets all scaled training rows.
     """
     rows, scaling = prepared(df, key, columns, include_incomplete, clip, seed=seed)
     imputer = make_imputer(scaling.transform(rows.where("split = 'Train'")))
-    requests = benchmark_requests(rows, key, columns, scaling, mask_list(len(columns), cap, seed), seed)
+    requests = benchmark_requests(rows, key, columns, scaling, mask_list(len(columns), cap, seed), seed, train_parts)
     return result_rows(imputer(requests), key, columns, scaling)
 
 

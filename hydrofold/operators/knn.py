@@ -1,10 +1,10 @@
 """Exact nearest neighbours under the missing-aware Euclidean distance.
 
 Distance uses the coordinates both rows hold, scaled up by the share of them: sqrt(D / common * sum of squares).
-Donors are cut into blocks of rows with the same presence pattern and a bounding box; a block is searched for
-a request only if its box is not farther than the k-th neighbour already found, so the answer is exact without
-forming all pairs. Donors below a checked size are broadcast and searched in one narrow pass. Beyond it blocks
-are shuffled: each request first visits its nearest blocks, then only those its radius still reaches.
+Of equal donor rows only the k with the smallest keys can be neighbours, so no point holds more. Donors are cut into
+leaves by presence pattern and quantile cells, whose boxes form a tree. Requests walk down the tree by joins: first
+each to its nearest leaf, which gives it a radius, then to every leaf whose box the radius reaches. Equal requests are
+searched once, and leaves that many requests visit are copied. Nothing is gathered but the tree's cut points.
 """
 
 from __future__ import annotations
@@ -14,19 +14,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import q
 from ..session import checkpointed
 
-LEAF_ROWS = 128
-BROADCAST_CELLS = 4_000_000  # donors x features that may be broadcast: 32 MB of doubles
-BLOCK_ROWS = 4096
-MAX_BLOCKS = 20_000
+LEAF_ROWS = 128  # of the blocks inside a task
+CELL_ROWS = 4096
 TASK_REQUESTS = 20_000
-_BUFFER_ROWS = 32_768
 # Distances closer than this count as equal and the smaller key wins. Otherwise the last bits of a scaling
 # fitted in another summation order would choose between mirror-image neighbours.
 DISTANCE_DIGITS = 9
@@ -212,150 +208,118 @@ NEIGHBOUR_FIELDS = [T.StructField("distances", T.ArrayType(T.DoubleType())), T.S
                     T.StructField("donor_values", T.ArrayType(T.DoubleType()))]
 
 
-def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to a bounded number of rows, so that each search amortises its set-up."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= _BUFFER_ROWS:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
+# ---- the tree of cells ----
 
+def _bit_list(array: str, d: int) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.get(array, F.lit(j)).isNotNull(), F.lit(1 << j)).otherwise(0) for j in range(d)]).cast("long")
 
-def _broadcast_search(requests: DataFrame, donors: DataFrame, d: int, k: int) -> DataFrame:
-    rows = donors.select("donor_id", "y").toArrow()  # size checked by the caller
-    blocks = Blocks.build(_matrix(rows.column("y"), d), rows.column("donor_id").to_numpy().astype(np.int64))
-    parts = (blocks.values, blocks.keys, blocks.sizes, blocks.present, blocks.low, blocks.high)
-    shared = requests.sparkSession.sparkContext.broadcast(parts)
-    schema = T.StructType(requests.schema.fields + NEIGHBOUR_FIELDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        donors_here = Blocks(*shared.value)
-        for table in _buffered(batches):
-            best = search(_matrix(table.column("x"), d), table.column("target").to_numpy().astype(np.int64), donors_here, k)
-            for name, column in _neighbour_columns(best, donors_here.values).items():
-                table = table.append_column(name, column)
-            yield from table.to_batches(max_chunksize=10_000)
+def _cells(donors: DataFrame, d: int, cell_rows: int) -> tuple[DataFrame, int]:
+    """Donors with the ``path`` of their leaf, and its length.
 
-    return requests.mapInArrow(run, schema)
-
-
-# ---- shuffled search ----
-
-def _assign_blocks(donors: DataFrame, d: int, n: int, block_rows: int) -> DataFrame:
-    """Donors with a block number: presence pattern, quantile cell, and a hash part of cells that are too full.
-
-    A cell with a third of all rows is only split further; blocks never exceed about ``block_rows`` rows.
+    A path is the presence pattern, the quantile cell per cut feature, and a hash part of cells that are still too full;
+    there are about as many cells as ``cell_rows`` asks for.
     """
     y = F.col("y")
-    present = reduce(lambda a, b: a.bitwiseOR(b), [F.when(y[j].isNotNull(), F.lit(1 << j)).otherwise(0) for j in range(d)])
-    cells_wanted = max(n / block_rows, 1.0)
-    cut_features = range(min(d, int(np.log2(cells_wanted)) + 1))  # no more cells than about the blocks wanted
-    cuts = max(int(np.ceil(cells_wanted ** (1.0 / len(cut_features)))), 2) if cells_wanted > 1 else 1
-    splits = donors.agg(*[F.percentile_approx(y[j], [i / cuts for i in range(1, cuts)] or [0.5], F.lit(1000)) for j in cut_features]).first()
-    cell = F.concat_ws("-", *[
-        F.coalesce(reduce(lambda a, b: a + b, [F.when(y[j] > F.lit(float(s)), 1).otherwise(0) for s in dict.fromkeys(splits[j] or [])],
-                          F.lit(0)).cast("string"), F.lit("0")) for j in cut_features])
-    placed = donors.withColumns({"present": present.cast("long"), "cell": cell if cuts > 1 else F.lit("")})
-    sizes = placed.groupBy("present", "cell").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(block_rows))
-    # One row per occupied cell, of the order of MAX_BLOCKS by the choice of block_rows; adaptive execution picks the join.
-    split = placed.join(sizes, ["present", "cell"]).withColumn("part", F.pmod(F.xxhash64("donor_id"), parts))
-    return split.select("donor_id", "y", "present", F.xxhash64("present", "cell", "part").alias("block"))
-
-
-def _block_table(blocks: DataFrame, d: int) -> pd.DataFrame:
-    """(block, present, n, low, high): one row per block, collected for routing."""
-    y = F.col("y")
-    return (blocks.groupBy("block", "present")
-            .agg(F.count("*").alias("n"), F.array(*[F.min(y[j]) for j in range(d)]).alias("low"),
-                 F.array(*[F.max(y[j]) for j in range(d)]).alias("high"))
-            .orderBy("block").toPandas())
-
-
-def _route(requests: DataFrame, table: pd.DataFrame, d: int, k: int, with_radius: bool) -> DataFrame:
-    """(request_id, block) of the blocks to visit.
-
-    Without a radius: the nearest blocks that together hold k donors. With one: every other block within it.
-    """
-    ids, n = table["block"].to_numpy(), table["n"].to_numpy()
-    present = table["present"].to_numpy().astype(np.int64)
-    low = np.array(table["low"].map(lambda v: [np.nan if e is None else e for e in v]).tolist(), dtype=float).reshape(-1, d)
-    high = np.array(table["high"].map(lambda v: [np.nan if e is None else e for e in v]).tolist(), dtype=float).reshape(-1, d)
-    shared = requests.sparkSession.sparkContext.broadcast((ids, n, present, low, high))
-    schema = T.StructType([requests.schema["request_id"], T.StructField("block", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, present, low, high = shared.value
-        for batch in batches:
-            x = _matrix(batch.column("x"), d)
-            target = batch.column("target").to_numpy().astype(np.int64)
-            radius = batch.column("radius").to_numpy(zero_copy_only=False).astype(float) if with_radius else None
-            keep_row, keep_block = [], []
-            for part, usable, seen in _request_groups(x, target, present, 512):
-                bound = _bounds(x[part], present[usable], low[usable], high[usable], seen)
-                first = _nearest_holding(bound, n[usable], k)
-                r, b = np.nonzero(~first & (bound <= radius[part][:, None]) if with_radius else first)
-                keep_row.append(part[r])
-                keep_block.append(ids[usable[b]])
-            rows = np.concatenate(keep_row) if keep_row else np.zeros(0, dtype=int)
-            blocks = np.concatenate(keep_block) if keep_block else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("request_id").take(pa.array(rows)), pa.array(blocks, type=pa.int64())],
-                                             names=["request_id", "block"])
-
-    columns = ["request_id", "x", "target"] + (["radius"] if with_radius else [])
-    return requests.select(*columns).mapInArrow(run, schema)
-
-
-def _visit(requests: DataFrame, visits: DataFrame, blocks: DataFrame, d: int, k: int) -> DataFrame:
-    """Neighbours per (request, block). Busy blocks are copied so that no task serves too many requests."""
-    load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(TASK_REQUESTS)).alias("copies"))
-    asked = (visits.join(load, "block").withColumn("copy", F.pmod(F.xxhash64("request_id"), F.col("copies")))
-             .join(requests.select("request_id", "x", "target"), "request_id").drop("copies"))
-    served = blocks.join(load, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    schema = T.StructType([requests.schema["request_id"], *NEIGHBOUR_FIELDS])
+    wanted = max(donors.count() / cell_rows, 1.0)
+    cut_features = range(min(d, int(np.log2(wanted)) + 1)) if wanted > 1 else range(0)
+    path = [_bit_list("y", d)]
+    if cut_features:
+        cuts = max(int(np.ceil(wanted ** (1.0 / len(cut_features)))), 2)
+        splits = donors.agg(*[F.percentile_approx(y[j], [i / cuts for i in range(1, cuts)], F.lit(1000)) for j in cut_features]).first()
+        path += [F.coalesce(F.size(F.filter(F.lit(list(dict.fromkeys(splits[j]))), lambda s, j=j: s < y[j])).cast("long"), F.lit(0).cast("long"))
+                 if splits[j] else F.lit(0).cast("long") for j in cut_features]
+    placed = donors.withColumn("cell", F.array(*path))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell_rows)).alias("_parts"))
+    split = placed.join(parts, "cell")  # adaptive execution picks the join
+    part = F.pmod(F.xxhash64("donor_id"), F.col("_parts"))
+    return split.select("donor_id", "y", F.concat("cell", F.array(part)).alias("path")), len(path) + 1
+
+
+def _level(boxes: DataFrame, d: int, depth: int) -> DataFrame:
+    """The nodes of one depth: path, donors and box."""
+    return boxes.groupBy(F.slice("path", 1, depth).alias("path")).agg(
+        F.sum("n").alias("n"), F.array(*[F.min(F.get("low", F.lit(j))) for j in range(d)]).alias("low"),
+        F.array(*[F.max(F.get("high", F.lit(j))) for j in range(d)]).alias("high"))
+
+
+def _box_distances(d: int) -> tuple[Column, Column]:
+    """Least and largest possible distance of a request to a box, both with room for rounding."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for j in range(d):
+        x, low, high = (F.get(c, F.lit(j)) for c in ("x", "low", "high"))
+        gap, reach = F.greatest(low - x, x - high, F.lit(0.0)), F.greatest(x - low, high - x)
+        both = x.isNotNull() & low.isNotNull()
+        near += F.when(both, gap * gap).otherwise(0.0)
+        far += F.when(both, reach * reach).otherwise(0.0)
+    scale = F.try_divide(F.lit(float(d)), F.bit_count(F.get("path", F.lit(0)).bitwiseAND(F.col("seen"))))
+    return F.sqrt(scale * near) * (1.0 - 1e-9) - _SLACK, F.sqrt(scale * far) * (1.0 + 1e-9) + _SLACK
+
+
+def _descend(frontier: DataFrame, nodes: DataFrame, d: int, depth: int) -> DataFrame:
+    """The children of each request's nodes, with the bounds of their distance."""
+    if depth == 1:
+        # Presence patterns: their number is a matter of the columns, not of the rows.
+        present = F.col("path")[0]
+        usable = (present.bitwiseAND(F.col("seen")) != 0) & (
+            (F.col("target") < 0) | (F.getbit(present, F.greatest(F.col("target"), F.lit(0))) == 1))
+        joined = frontier.drop("node").join(F.broadcast(nodes), usable)
+    else:
+        joined = frontier.join(nodes.withColumn("node", F.slice("path", 1, depth - 1)), "node").drop("node")
+    near, far = _box_distances(d)
+    return joined.withColumns({"near": near, "far": far})
+
+
+def _first_leaves(asked: DataFrame, levels: list[DataFrame], d: int, k: int) -> DataFrame:
+    """(rid, x, target, seen, radius, node): each request's nearest leaf, and a radius that holds k donors for certain."""
+    frontier = asked.withColumns({"radius": F.lit(float("inf")), "node": F.array().cast("array<bigint>")})
+    for depth, nodes in enumerate(levels, 1):
+        order = F.struct(F.col("n") < k, "near", -F.col("n"), "path")
+        frontier = _descend(frontier, nodes, d, depth).groupBy("rid").agg(
+            *[F.first(c).alias(c) for c in ("x", "target", "seen")], F.min_by("path", order).alias("node"),
+            F.least(F.min("radius"), F.coalesce(F.min(F.when(F.col("n") >= k, F.col("far"))), F.lit(float("inf")))).alias("radius"))
+    return frontier
+
+
+def _leaves_within(asked: DataFrame, levels: list[DataFrame], d: int) -> DataFrame:
+    """(rid, leaf) of all leaves within each request's radius but the one it knows."""
+    frontier = asked.withColumn("node", F.array().cast("array<bigint>"))
+    for depth, nodes in enumerate(levels, 1):
+        found = _descend(frontier, nodes, d, depth).where(F.col("near") <= F.col("radius"))
+        frontier = found.select("rid", "x", "target", "seen", "radius", "known", F.col("path").alias("node"))
+    return frontier.where(F.col("node") != F.col("known")).select("rid", F.col("node").alias("path"))
+
+
+def _visit(asked: DataFrame, visits: DataFrame, leaves: DataFrame, d: int, k: int) -> DataFrame:
+    """Neighbours per (request, leaf). Busy leaves are copied so that no task serves too many requests."""
+    load = visits.groupBy("path").agg(F.ceil(F.count("*") / F.lit(TASK_REQUESTS)).alias("copies"))
+    going = (visits.join(load, "path").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")))
+             .join(asked.select("rid", "x", "target"), "rid").drop("copies"))
+    served = leaves.join(load, "path").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    schema = T.StructType([T.StructField("rid", T.LongType()), *NEIGHBOUR_FIELDS])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         here = Blocks.build(_matrix(right.column("y"), d), right.column("donor_id").to_numpy().astype(np.int64))
         best = search(_matrix(left.column("x"), d), left.column("target").to_numpy().astype(np.int64), here, k)
-        return pa.table({"request_id": left.column("request_id"), **_neighbour_columns(best, here.values)})
+        return pa.table({"rid": left.column("rid"), **_neighbour_columns(best, here.values)})
 
-    return asked.groupBy("block", "copy").cogroup(served.groupBy("block", "copy")).applyInArrow(run, schema)
+    return going.groupBy("path", "copy").cogroup(served.groupBy("path", "copy")).applyInArrow(run, schema)
 
 
 def _merged(found: DataFrame, d: int, k: int) -> DataFrame:
-    """The k best over all visited blocks; a request meets few blocks with k donors each."""
+    """The k best over all visited leaves; a request meets few leaves with k donors each."""
     entry = F.transform(F.sequence(F.lit(0), F.size("distances") - 1), lambda i: F.struct(
         F.get("distances", i).alias("distance"), F.get("donors", i).alias("donor"),
         F.slice("donor_values", i * d + 1, F.lit(d)).alias("values")))
-    best = (found.where(F.size("distances") > 0).groupBy("request_id")
+    best = (found.where(F.size("distances") > 0).groupBy("rid")
             .agg(F.slice(F.sort_array(F.flatten(F.collect_list(entry))), 1, k).alias("_best")))
-    return best.select("request_id", F.col("_best.distance").alias("distances"), F.col("_best.donor").alias("donors"),
+    return best.select("rid", F.col("_best.distance").alias("distances"), F.col("_best.donor").alias("donors"),
                        F.flatten("_best.values").alias("donor_values"))
 
 
-def _shuffled_search(requests: DataFrame, donors: DataFrame, d: int, k: int, n: int) -> DataFrame:
-    block_rows = max(BLOCK_ROWS, -(-n // MAX_BLOCKS))
-    blocks = checkpointed(_assign_blocks(donors, d, n, block_rows), "donor-blocks")
-    requests = checkpointed(requests, "requests")
-    table = _block_table(blocks, d)
-    first = checkpointed(_visit(requests, _route(requests, table, d, k, False), blocks, d, k), "first-visits")
-    radius = F.when(F.size("distances") >= k, F.element_at("distances", -1)).otherwise(F.lit(float("inf")))
-    near = requests.join(_merged(first, d, k).select("request_id", radius.alias("radius")), "request_id", "left").fillna(
-        float("inf"), ["radius"])
-    second = _visit(requests, _route(near, table, d, k, True), blocks, d, k)
-    empty = F.array().cast("array<double>")
-    best = requests.join(_merged(first.unionByName(second), d, k), "request_id", "left")
-    return best.withColumns({"distances": F.coalesce("distances", empty), "donors": F.coalesce("donors", F.array().cast("array<bigint>")),
-                             "donor_values": F.coalesce("donor_values", empty)})
-
-
 # ---- operators ----
 
-def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add the k nearest donors to every request: ``distances``, ``donors`` and their values end to end.
 
     ``requests``: unique ``request_id``, ``x`` (array of d doubles, null where unknown), ``target`` (feature the
@@ -363,10 +327,36 @@ def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, broadca
     """
     if d > 62:
         raise ValueError("presence bits of a row fit one long: at most 62 features")
-    limit = max(broadcast_cells // d, 0)
-    if donors.limit(limit + 1).count() <= limit:
-        return _broadcast_search(requests, donors, d, k)
-    return _shuffled_search(requests, donors, d, k, donors.count())
+    marked = lambda array: F.transform(array, lambda v: F.coalesce(v, F.lit(float("nan"))))  # noqa: E731  nulls compare
+    smallest = F.row_number().over(Window.partitionBy(marked("y")).orderBy("donor_id"))
+    distinct = donors.where(F.exists("y", lambda v: v.isNotNull())).withColumn("_i", smallest).where(F.col("_i") <= k).drop("_i")
+    distinct = checkpointed(distinct.select("donor_id", "y"), "donors")  # WindowGroupLimit keeps k rows a point and task before the shuffle
+    cells, depth = _cells(distinct, d, cell_rows)
+    leaves = checkpointed(cells, "donor-leaves")
+    boxes = checkpointed(leaves.groupBy("path").agg(
+        F.count("*").alias("n"), F.array(*[F.min(F.get("y", F.lit(j))) for j in range(d)]).alias("low"),
+        F.array(*[F.max(F.get("y", F.lit(j))) for j in range(d)]).alias("high")), "donor-boxes")
+    levels = [_level(boxes, d, i) for i in range(1, depth)] + [boxes]
+
+    # A feature that every donor holds excludes nobody, so requests that differ only by it are equal.
+    always = boxes.agg(F.coalesce(F.expr("bit_and(path[0])"), F.lit(0))).first()[0]
+    bit = F.getbit(F.lit(always).cast("long"), F.greatest(F.col("target"), F.lit(0)))
+    target = F.when((F.col("target") >= 0) & (bit == 0), F.col("target")).otherwise(-1)
+    keyed = requests.withColumns({"_x": marked("x"), "_target": target})
+    once = keyed.groupBy("_x", F.col("_target").alias("target")).agg(F.first("x").alias("x")).withColumn("rid", F.monotonically_increasing_id())
+    asked = checkpointed(once.withColumn("seen", _bit_list("x", d)), "requests")
+    start = checkpointed(_first_leaves(asked.drop("_x"), levels, d, k), "first-leaves")
+    first = checkpointed(_visit(asked, start.select("rid", F.col("node").alias("path")), leaves, d, k), "first-visits")
+    found = first.select("rid", F.when(F.size("distances") >= k, F.element_at("distances", -1)).alias("_kth"))
+    ready = start.join(found, "rid", "left").select(
+        "rid", "x", "target", "seen", F.col("node").alias("known"), F.least("radius", F.coalesce("_kth", "radius")).alias("radius"))
+    second = _visit(asked, _leaves_within(ready, levels, d), leaves, d, k)
+    best = asked.select("_x", F.col("target").alias("_target"), "rid").join(_merged(first.unionByName(second), d, k), "rid", "left").drop("rid")
+    best = checkpointed(best, "neighbours")  # plain shuffles below, so that a request of very many copies is split
+    empty = F.array().cast("array<double>")
+    return keyed.join(best, ["_x", "_target"]).select(
+        *[q(c) for c in requests.columns], F.coalesce("distances", empty).alias("distances"),
+        F.coalesce("donors", F.array().cast("array<bigint>")).alias("donors"), F.coalesce("donor_values", empty).alias("donor_values"))
 
 
 def neighbour_rows(joined: DataFrame, keep: Iterable[str] = ("request_id", "target")) -> DataFrame:
@@ -395,7 +385,7 @@ def impute_requests(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, donors: DataFrame | None = None,
-               broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+               cell_rows: int = CELL_ROWS) -> DataFrame:
     """Fill nulls with the plain mean of the k nearest donors that hold the feature.
 
     Fewer donors give the mean of those; none gives the donors' column mean. Returns the whole table.
@@ -404,7 +394,7 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5, donors:
     source = df if donors is None else donors
     means = source.agg(*[F.avg(q(c)) for c in columns]).first()
     joined = knn_join(impute_requests(df, key, columns), source.select(q(key).alias("donor_id"), vector(columns).alias("y")), d, k,
-                      broadcast_cells)
+                      cell_rows)
     fallback = F.array(*[F.lit(m).cast("double") for m in means])
     filled = joined.select(key, "target", F.coalesce(neighbour_mean(F.col("target"), d), F.get(fallback, F.col("target"))).alias("_v"))
     per_row = filled.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("target", "_v"))).alias("_filled"))  # at most d cells

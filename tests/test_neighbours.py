@@ -33,23 +33,22 @@ def brute_force(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-@pytest.mark.parametrize("broadcast_cells", [10 ** 6, 0])
+@pytest.mark.parametrize("cell_rows", [10 ** 6, 64])
 @pytest.mark.parametrize("k", [1, 5])
-def test_imputation_equals_brute_force(spark, monkeypatch, broadcast_cells, k):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 64)
+def test_imputation_equals_brute_force(spark, monkeypatch, cell_rows, k):
     monkeypatch.setattr(knn, "TASK_REQUESTS", 50)
     x = fixture_rows(4)
     pdf = pd.DataFrame(x, columns=COLUMNS).assign(id=np.arange(len(x)))
     df = spark.createDataFrame(pdf).select("id", *[F.nanvl(c, F.lit(None)).alias(c) for c in COLUMNS])
-    got = knn.knn_impute(df, "id", COLUMNS, k, broadcast_cells=broadcast_cells).orderBy("id").toPandas()[COLUMNS].to_numpy(float)
+    got = knn.knn_impute(df, "id", COLUMNS, k, cell_rows=cell_rows).orderBy("id").toPandas()[COLUMNS].to_numpy(float)
     assert np.allclose(got, brute_force(x, k), rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("broadcast_cells", [10 ** 6, 0])
-def test_fewer_donors_than_neighbours(spark, broadcast_cells):
+@pytest.mark.parametrize("cell_rows", [10 ** 6, 64])
+def test_fewer_donors_than_neighbours(spark, cell_rows):
     rows = [(0, None, 1.0), (1, 4.0, 2.0), (2, 8.0, None), (3, None, None)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
-    out = {r["id"]: r for r in knn.knn_impute(df, "id", ["a", "b"], 5, broadcast_cells=broadcast_cells).collect()}
+    out = {r["id"]: r for r in knn.knn_impute(df, "id", ["a", "b"], 5, cell_rows=cell_rows).collect()}
     assert out[0]["a"] == 4.0  # the other holder of a shares no coordinate
     assert out[2]["b"] == 2.0
     assert out[3]["a"] == 6.0 and out[3]["b"] == 1.5  # nothing in common with anyone: column means
@@ -57,7 +56,6 @@ def test_fewer_donors_than_neighbours(spark, broadcast_cells):
 
 @pytest.mark.parametrize("incomplete", [False, True])
 def test_benchmark_paths_agree_and_beat_the_mean(spark, monkeypatch, incomplete):
-    monkeypatch.setattr(knn, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(0)
     v = rng.normal(size=400)
     pdf = pd.DataFrame({"id": np.arange(400), "a": v, "b": 2 * v + 0.1 * rng.normal(size=400), "c": -v + 0.1 * rng.normal(size=400)})
@@ -65,14 +63,14 @@ def test_benchmark_paths_agree_and_beat_the_mean(spark, monkeypatch, incomplete)
         pdf.loc[::7, "a"] = np.nan
     df = spark.createDataFrame(pdf).select("id", *[F.nanvl(c, F.lit(None)).alias(c) for c in COLUMNS])
     runs = {}
-    for cells in (10 ** 6, 0):
+    for cells in (10 ** 6, 50):
         make = lambda train, cells=cells: benchmark.knn_imputer(train, "id", COLUMNS, 5, cells)
         rows = benchmark.mask_benchmark(df, "id", COLUMNS, make, include_incomplete=incomplete)
         runs[cells] = rows.orderBy("id", "level", "combination", "feature").toPandas()
-    pd.testing.assert_frame_equal(runs[10 ** 6], runs[0])
+    pd.testing.assert_frame_equal(runs[10 ** 6], runs[50])
     mean = evaluation.imputation_metrics(benchmark.mask_benchmark(df, "id", COLUMNS, lambda t: benchmark.mean_imputer(COLUMNS)), ["level"])
-    knn_scores = evaluation.imputation_metrics(spark.createDataFrame(runs[0].drop(columns="combination")), ["level"])
+    knn_scores = evaluation.imputation_metrics(spark.createDataFrame(runs[50].drop(columns="combination")), ["level"])
     worse = mean.join(knn_scores.withColumnRenamed("rmse", "knn"), "level").where("knn >= rmse")
     assert worse.count() == 0
-    hidden = runs[0].groupby("level")["combination"].apply(lambda c: {len(x) for x in c})
+    hidden = runs[50].groupby("level")["combination"].apply(lambda c: {len(x) for x in c})
     assert hidden.to_dict() == {1: {1}, 2: {2}}
