@@ -140,8 +140,8 @@ def kde(df: DataFrame, columns: list[str], by: list[str] = CELL, points: int = 1
     return density(long, [*by, "feature"], points, min_count)
 
 
-def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int = 3) -> DataFrame:
-    """Gaussian kernel density of ``value`` per group of ``keys`` on an even grid over its range."""
+def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int = 3, tails: float = 0.0) -> DataFrame:
+    """Gaussian kernel density of ``value`` per group of ``keys`` on an even grid over its range and ``tails`` bandwidths beyond."""
     v = F.col("value")
     counts = long.where(v.isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("w"))
     n, w = F.sum("w"), F.col("w")
@@ -151,9 +151,10 @@ def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int
     spread = counts.join(centre, keys).groupBy(*keys, "n", "low", "high").agg(
         F.sqrt(F.try_divide(F.sum(w * (v - F.col("_mean")) * (v - F.col("_mean"))), F.first("n") - 1)).alias("_std"))
     step = (F.col("high") - F.col("low")) / F.lit(points - 1)
-    usable = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).select(
-        *keys, "n", (F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"),
-        F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i).alias("_grid"))
+    wide = spread.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
+        "bandwidth", F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    usable = wide.withColumns({"low": F.col("low") - F.lit(tails) * F.col("bandwidth"), "high": F.col("high") + F.lit(tails) * F.col("bandwidth")}).select(
+        *keys, "n", "bandwidth", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("low") + step * i).alias("_grid"))
     u = (F.col("x") - v) / F.col("bandwidth")
     mass = (counts.join(usable, keys).select(*keys, "n", "bandwidth", "value", "w", F.posexplode("_grid").alias("point", "x"))
             .groupBy(*keys, "point", "x", "n", "bandwidth").agg(F.sum(w * F.exp(u * u * -0.5)).alias("mass")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,15 +31,10 @@ def session(app: str = "hydrofold", master: str | None = None, **conf: str) -> S
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables a job writes and reads back.
 
-    It lies under ``spark.checkpoint.dir``, which every executor must reach; only a local session may do
-    without that setting. The folder is dropped when the process ends.
+    It lies under ``spark.checkpoint.dir``, or where that is not set under the warehouse: both are folders that every
+    executor reaches. The folder is dropped when the process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="hydrofold-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
     atexit.register(_drop, spark, path)
     return path

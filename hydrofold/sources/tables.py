@@ -43,12 +43,20 @@ def scan_source_folder(spark: SparkSession, folder: str, schema: T.StructType, s
     return reader.csv(folder).select("*", name.alias("Database_name"))
 
 
-def unreadable_files(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    """Files of the folder that gave no row, as error entries; only names and lengths are listed."""
+def unreadable_files(spark: SparkSession, folder: str, rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Files of the folder that gave no row although they should, as error entries; only names and lengths are listed.
+
+    A file that has the schema's header and nothing else is in order.
+    """
+    names = [f.name for f in schema.fields if f.name not in ("Database_name", "_corrupt_record")]
+    stem = lambda path: F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.csv(\.[a-z0-9]+)?$", "")
+    lines = (spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv*").option("recursiveFileLookup", True).text(folder)
+             .select("value", stem(F.col("_metadata.file_path")).alias("Database_name")).where(F.trim("value") != ""))
+    header_only = lines.groupBy("Database_name").agg(F.count("*").alias("n"), F.min("value").alias("first")).where(
+        (F.col("n") == 1) & (F.regexp_replace("first", "[\" \r\ufeff]", "") == ",".join(names).replace(" ", ""))).select("Database_name")
     listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").option("recursiveFileLookup", True).load(folder)
-              .select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.csv(\.[a-z0-9]+)?$", "").alias("Database_name"),
-                      "length"))
-    return listed.join(rows.select("Database_name").distinct(), "Database_name", "left_anti")
+              .select(stem(F.col("path")).alias("Database_name"), "length"))
+    return listed.join(rows.select("Database_name").distinct().unionByName(header_only), "Database_name", "left_anti")
 
 
 def scan_pruned(df: DataFrame, name_contains: Iterable[str]) -> DataFrame:
@@ -77,25 +85,30 @@ def write_snapshot(df: DataFrame, root: str, stamp: str, partition_by: Iterable[
 
 
 def write_results(df: DataFrame, root: str) -> None:
-    """Benchmark rows by model, run and masking level; values are stored with four decimals."""
+    """Benchmark rows by model, run and masking level; values are stored with four decimals.
+
+    What is there of the same model, run and level is replaced, so a job that runs again doubles nothing.
+    """
     rounded = df.withColumns({c: F.round(q(c), 4) for c in ("Original", "Imputed")})
     # One shuffle key per (run, level) would make few huge files, so rows stay where they are.
-    rounded.write.mode("append").partitionBy("model", "run_id", "Masking_Level").parquet(root)
+    rounded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "run_id", "Masking_Level").parquet(root)
 
 
-def write_result_csv(df: DataFrame, root: str, run_id: str, level: int) -> None:
-    """Benchmark rows of one run and level as CSV files in a folder named after both."""
+def write_result_csv(df: DataFrame, root: str, run_id: str) -> None:
+    """Benchmark rows of one run as CSV files, in a folder for each level named after both; levels in ``df`` are replaced."""
     rounded = df.withColumns({c: F.round(q(c), 4) for c in ("Original", "Imputed")})
-    rounded.select(*RESULT_SCHEMA.names).write.mode("overwrite").option("header", True).csv(
-        f"{root.rstrip('/')}/Imputation_Results_Run_{run_id}_Level_{level}")
+    folder = F.concat(F.lit(f"Imputation_Results_Run_{run_id}_Level_"), F.col("Masking_Level").cast("string"))
+    rounded.select(*RESULT_SCHEMA.names, folder.alias("result")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").option("header", True).partitionBy("result").csv(root)
 
 
 def write_run_metadata(df: DataFrame, root: str) -> None:
-    """Nested run documents, one JSON line per trained model."""
-    df.write.mode("append").json(root)
+    """Nested run documents, one JSON line per trained model; a run that is there already is replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(root)
 
 
 def read_run_metadata(spark: SparkSession, root: str, run_index: int | None = None) -> DataFrame:
     """Run documents, optionally of one run."""
     runs = spark.read.schema(METADATA_SCHEMA).json(root)
+    runs = runs.select("run_id", *(c for c in runs.columns if c != "run_id"))
     return runs if run_index is None else runs.where(F.col("run_index") == run_index)

@@ -14,13 +14,14 @@ SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.St
 def test_source_folder_provenance_and_errors(spark, tmp_path):
     (tmp_path / "one.csv").write_text("a,b\n1,x\n2,y\n")
     (tmp_path / "two.csv").write_text("a,b\nbad,z\n")
+    (tmp_path / "four.csv").write_text("a,b\n")
     (tmp_path / "three.csv.gz").write_bytes(b"not gzip at all")
     rows = tables.scan_source_folder(spark, str(tmp_path), SCHEMA, strict=False)
     got = {(r["Database_name"], r["a"], r["b"]) for r in rows.select("Database_name", "a", "b").collect()}
     assert got == {("one", 1, "x"), ("one", 2, "y"), ("two", None, "z")}
     rows.cache()
     assert rows.where("_corrupt_record is not null").count() == 1
-    assert [r["Database_name"] for r in tables.unreadable_files(spark, str(tmp_path), rows).collect()] == ["three"]
+    assert [r["Database_name"] for r in tables.unreadable_files(spark, str(tmp_path), rows, SCHEMA).collect()] == ["three"]
 
 
 def test_source_folder_rejects_other_headers(spark, tmp_path):
@@ -79,12 +80,12 @@ def result_rows(spark, values):
 
 def test_stream_picks_up_changed_runs_once(spark, tmp_path):
     folder, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    tables.write_result_csv(result_rows(spark, [(1, 1), (2, 3)]), folder, "000_Base", 1)
+    tables.write_result_csv(result_rows(spark, [(1, 1), (2, 3)]), folder, "000_Base")
     stream.stream_imputation_metrics(spark, folder, target, state)
     assert stream.current_metrics(spark, target).first()["n"] == 2
     stream.stream_imputation_metrics(spark, folder, target, state)
     assert stream.current_metrics(spark, target).first()["n"] == 2
-    result_rows(spark, [(4, 4)]).coalesce(1).write.mode("append").option("header", True).csv(f"{folder}/Imputation_Results_Run_000_Base_Level_1")
+    tables.write_result_csv(result_rows(spark, [(2, 2), (3, 4), (4, 4)]), folder, "000_Base")  # a new version, not more rows
     assert stream.run_until_complete(spark, folder, target, state, str(tmp_path / "DONE")) is None
     (tmp_path / "DONE").write_text("")
     summary = stream.run_until_complete(spark, folder, target, state, str(tmp_path / "DONE")).collect()
