@@ -41,24 +41,26 @@ def sample_fraction(df: DataFrame, key: str, parts: int = 10, seed: int = 0) ->
     return smallest_by_hash(df, key, F.greatest(F.lit(1), F.floor(F.col("total") / parts)), seed)
 
 
-def mask_list(d: int, cap: int = 50, seed: int = 42) -> list[tuple[int, int]]:
+def mask_list(d: int, cap: int | None = None, seed: int = 42) -> list[tuple[int, int]]:
     """(level, bit mask) for every level 1..d-1: all masks, or ``cap`` of them in seeded random order.
 
-    The list is bounded by ``cap`` times the number of features, so it is made on the driver.
+    The list does not depend on the data, so it is made on the driver.
     """
     import hashlib
 
     masks = []
     for level in range(1, d):
         choices = [sum(1 << i for i in c) for c in combinations(range(d), level)]
-        if len(choices) > cap:
+        if cap is not None and len(choices) > cap:
             choices = sorted(choices, key=lambda m: hashlib.md5(f"{seed}:{m}".encode()).hexdigest())[:cap]
         masks += [(level, m) for m in sorted(choices)]
     return masks
 
 
-def mask_table(spark, d: int, cap: int = 50, seed: int = 42) -> DataFrame:
+def mask_table(spark, d: int, cap: int | None = None, seed: int = 42) -> DataFrame:
     """The masks of ``mask_list`` as a table, enumerated and ranked by Spark."""
     every = spark.range(1, (1 << d) - 1).select(F.bit_count("id").cast("int").alias("level"), F.col("id").alias("mask"))
+    if cap is None:
+        return every
     order = Window.partitionBy("level").orderBy(hash_order(F.col("mask"), seed))
     return every.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= cap).drop("_i")

@@ -59,12 +59,12 @@ def model_of(document) -> VaeModel:
 
 
 def imputation_study(df: DataFrame, key: str, sets: dict[str, list[str]], params: VaeParams = VaeParams(), folds: int = 5,
-                     clip: float | None = 0.02, max_models: int = 30) -> DataFrame:
-    """Run documents of at most ``max_models`` feature sets, in the given order; sets with too few rows are skipped."""
+                     clip: float | None = 0.02, max_models: int | None = None) -> DataFrame:
+    """Run documents of all feature sets (or of the first ``max_models``), in the given order; sets with too few rows are skipped."""
     documents = None
     trained = 0
     for index, (label, wanted) in enumerate(sets.items()):
-        if trained >= max_models:
+        if max_models is not None and trained >= max_models:
             break
         columns, report = select_features(df.columns, wanted)
         model = train_vae(df, key, columns, params, folds, clip)
@@ -76,21 +76,22 @@ def imputation_study(df: DataFrame, key: str, sets: dict[str, list[str]], params
     return documents if documents is not None else df.sparkSession.createDataFrame([], METADATA_SCHEMA)
 
 
-def vae_benchmark(df: DataFrame, key: str, model: VaeModel, include_incomplete: bool = False, cap: int = 50, seed: int = 42,
-                  sample_latent: bool = False) -> DataFrame:
+def vae_benchmark(df: DataFrame, key: str, model: VaeModel, include_incomplete: bool = False, cap: int | None = None, seed: int = 42,
+                  sample_latent: bool = False, train_parts: int = 1) -> DataFrame:
     """Mask benchmark of a trained model, on its own scaling."""
     columns = list(model.columns)
     rows, _ = benchmark.prepared(df, key, columns, include_incomplete, seed=seed)
-    requests = benchmark.benchmark_requests(rows, key, columns, model.scaling, benchmark.mask_list(len(columns), cap, seed), seed)
+    requests = benchmark.benchmark_requests(rows, key, columns, model.scaling, benchmark.mask_list(len(columns), cap, seed), seed, train_parts)
     return benchmark.result_rows(vae_imputer(model, sample_latent)(requests), key, columns, model.scaling)
 
 
 def imputer_comparison(df: DataFrame, key: str, columns: list[str], params: VaeParams = VaeParams(), k: int = 5,
-                       include_incomplete: bool = False) -> DataFrame:
+                       include_incomplete: bool = False, train_parts: int = 1) -> DataFrame:
     """Mean scores per masking level of the autoencoder and nearest neighbours on the same hidden cells."""
     model = train_vae(df, key, columns, params, folds=0)
     if model is None:
         raise ValueError("too few complete rows to train on")
     return evaluation.compare_imputers({
-        "VAE": vae_benchmark(df, key, model, include_incomplete),
-        "kNN": benchmark.mask_benchmark(df, key, columns, lambda train: benchmark.knn_imputer(train, key, columns, k), include_incomplete)})
+        "VAE": vae_benchmark(df, key, model, include_incomplete, train_parts=train_parts),
+        "kNN": benchmark.mask_benchmark(df, key, columns, lambda train: benchmark.knn_imputer(train, key, columns, k), include_incomplete,
+                                        train_parts=train_parts)})
