@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import q
+from .texts import fresh
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -71,10 +72,11 @@ def _repeat_words(words: Column) -> Column:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus the counts the rules read; a null text counts as empty, and all counts of an empty text are zero.
+    Columns of ``df`` that are called like a count are replaced.
 
     Words are runs of other than ASCII white space; lines end at line feeds and count if they have a word.
     """
-    words, lines, body = "_words", "_lines", F.coalesce(q(text), F.lit(""))
+    words, lines, body = fresh(df, "_words"), fresh(df, "_lines"), F.coalesce(q(text), F.lit(""))
     without = lambda letters: F.char_length(body) - F.char_length(F.translate(body, letters, ""))
     count = lambda array, test: F.size(F.filter(array, test))
     stop_words = F.array(*map(F.lit, STOP_WORDS))

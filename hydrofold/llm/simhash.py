@@ -274,7 +274,7 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
     null = fresh(df, "_null")
     rows = with_components(df, text, key, width, budget)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias(name), F.col("first.none").alias(null), F.col("first.key").alias("_kept_key"))
+    kept = first.select(F.col("first.row").alias(name), F.col("first.none").alias(null), F.col("first.key").alias("_kept"))
     marked = df.withColumns({name: F.xxhash64(key, text), null: F.col(key).isNull()})
-    same = [marked[name] == kept[name], marked[null] == kept[null], marked[key].eqNullSafe(kept["_kept_key"])]
+    same = [marked[name] == kept[name], marked[null] == kept[null], marked[key].eqNullSafe(kept["_kept"])]
     return marked.join(kept, same, "left_semi").dropDuplicates([name, null, key]).drop(name, null)

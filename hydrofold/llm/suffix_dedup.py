@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schema import q
 from ..session import checkpointed
@@ -360,7 +360,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     spans = repeated_spans(marked, text, name, length)
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias(spans_name)).withColumnRenamed("row", name)
     joined = marked.join(per_row, name, "left")
-    fields, schema = df.schema.fields, df.schema
+    fields = list(df.schema.fields)
+    schema = T.StructType(list(fields))
     for column, kind in zip(added, ("string" if as_text else "binary", "long", "long", "long")):
         schema = schema.add(column, kind)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import q
-from .texts import ascii_lower, sliced, utf8
+from .texts import ascii_lower, fresh, sliced, utf8
 
 ORDER = 5
 CONTEXTS = 1 << 13
@@ -168,15 +168,16 @@ def with_difference(df: DataFrame, model: Model, rest: str, output: str) -> Data
     return df.mapInArrow(run, schema)
 
 
-def judged(df: DataFrame, rules: list[Rule], url: str = "url", rest: str = "_rest", llr: str = "llr") -> DataFrame:
+def judged(df: DataFrame, rules: list[Rule], url: str = "url", llr: str = "llr") -> DataFrame:
     """``df`` plus host, path, rule, llr and verdict (allow or block); such columns of ``df`` are replaced.
 
     A rule decides where one fits. Elsewhere a URL is blocked if its difference is below the calibrated cut; a null URL
     or one without ``://`` has no byte, so its difference is zero and it is allowed.
     """
-    chosen = fitting(rules, F.col("host"), F.col("path"))
-    ruled = with_address(df.drop("host", "path", "rule", llr, "verdict"), url, rest=rest).withColumn("_chosen", chosen)
-    ruled = ruled.withColumns({"rule": F.col("_chosen.rule"), "_ruled": F.col("_chosen.verdict")}).drop("_chosen")
-    model = train(ruled, rest, "_ruled")
+    df = df.drop("host", "path", "rule", llr, "verdict")
+    rest, told_by, known = (fresh(df, name) for name in ("_rest", "_chosen", "_ruled"))
+    ruled = with_address(df, url, rest=rest).withColumn(told_by, fitting(rules, F.col("host"), F.col("path")))
+    ruled = ruled.withColumns({"rule": F.col(told_by)["rule"], known: F.col(told_by)["verdict"]}).drop(told_by)
+    model = train(ruled, rest, known)
     told = F.when((q(llr) < model.cut) & (q(rest) != ""), "block").otherwise("allow")
-    return with_difference(ruled, model, rest, llr).withColumn("verdict", F.coalesce("_ruled", told)).drop("_ruled", rest)
+    return with_difference(ruled, model, rest, llr).withColumn("verdict", F.coalesce(known, told)).drop(known, rest)
