@@ -44,9 +44,9 @@ def _beam_sql(columns, sizes: int, beam: int, top: int) -> tuple[str, str]:
     return body, ", ".join(ctes)
 
 
-@register(*_beam_sql(POOL, len(POOL), 20, 10))
+@register(*_beam_sql(POOL, len(POOL), 1_000_000, 10))
 def completeness_beam(spark, d):
-    return completeness.completeness_beam(samples(spark, d), POOL, beam=20)
+    return completeness.completeness_beam(samples(spark, d), POOL)
 
 
 @register(*_beam_sql(POOL, len(POOL), 3, 3))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ..fixtures import BASE, IONS, raw_samples, samples
-from ..functions.cleaning import clean_numeric, decimal_comma, is_censored, numeric, strip_transforms
+from ..functions.cleaning import clean_numeric, decimal_comma, is_censored, numeric
 from ..operators import categories, joins, mapping as m
+from ..operators import profile
 from ..operators.profile import merge_reconciliation
 from ..operators.ranking import global_row_number
 from ..plans.acquire import acquire_source, union_sources
@@ -264,11 +265,7 @@ _LABELS = list(DISPLAY_NAMES)
 def label_features(spark, d):
     df = _long_names(spark, d).drop("sample_id", "location", "well_or_spring_name")
     counts = m.validate_schema(df, df.columns).select(F.concat("attribute", F.lit("_log_gauss")).alias("feature"), "n_values")
-    base = strip_transforms(F.col("feature"))
-    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
-    return counts.select(
-        "feature", base.alias("base"), F.coalesce(F.try_element_at(names, base), base).alias("display_name"),
-        F.when(base.contains("_in_"), F.substring_index(base, "_in_", -1)).otherwise("").alias("unit"), "n_values")
+    return profile.label_features(counts)
 
 
 @register("SELECT r.sample_id, r.location, r.well_or_spring_name, s.n_wells, t.first_id FROM raw r "
@@ -365,6 +362,35 @@ def acquire_source_(spark, d):
     return rounded(df, "total_dissolved_solids_in_mmol/L")
 
 
+_REFLECT_CLASSES = {"Pelite": "Claystone", "Psammite": "Sandstone", "Syenite": "Salt", "Greenschist": "Schist"}
+_REFLECT_ROCK = "CASE sample_id % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_REFLECT_CLASSES)) + " END"
+
+
+def _reflect_sql() -> str:
+    """Written from the published headers, classes and factors, not from the source's specification."""
+    rock = "CASE sample_id % 5 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_REFLECT_CLASSES.values())) + " END"
+    cell = lambda c, mass: f"CASE WHEN {_NUM.format(c)} >= 0 THEN {_NUM.format(c)} / {mass}e0 END"
+    source = {"location": "location", "well_or_spring_name": "well_or_spring_name", "WGS84_latitude": "latitude", "WGS84_longitude": "longitude",
+              "rock_type": rock, "stratigraphic_period": "period", "pH": "ph", "Na_in_mmol/L": cell("na_ugl", 22.989769),
+              "Ca_in_mmol/L": cell("ca_ugl", 40.078)}
+    names = ", ".join(f'{v} AS "{k}"' for k, v in source.items())
+    return f"SELECT sample_id, {names} FROM raw"
+
+
+@register(_reflect_sql())
+def acquire_reflect(spark, d):
+    """Three sheets: wells and analyses, rocks, reservoirs; the later two carry no well name and are joined by position."""
+    raw = raw_samples(spark, d)
+    wells = raw.select("sample_id", F.col("location").alias("NUTS2_Name"), F.col("well_or_spring_name").alias("Local_ID_F"),
+                       F.col("latitude").alias("Latitude_"), F.col("longitude").alias("Longitude_"), F.col("ph").alias("pH"),
+                       F.col("na_ugl").alias("Na_mg_per_l"), F.col("ca_ugl").alias("Ca_mg_per_l"))
+    rocks = raw.select("sample_id", F.expr(_REFLECT_ROCK).alias("Rock Type"))
+    reservoirs = raw.select("sample_id", F.col("period").alias("Age of Formation"))
+    done = acquire_source(wells, SOURCES["REFLECT"], keep=["sample_id"], sheets=[rocks, reservoirs], order="sample_id")
+    return done.select("sample_id", "location", "well_or_spring_name", "WGS84_latitude", "WGS84_longitude", "rock_type",
+                       "stratigraphic_period", "pH", q("Na_in_mmol/L"), q("Ca_in_mmol/L"))
+
+
 @register("""SELECT 'Sample_' || CAST(database_number AS STRING) AS "Database_name", sample_id, na FROM samples""")
 def union_sources_(spark, d):
     df = samples(spark, d).select("sample_id", "na", "database_number")

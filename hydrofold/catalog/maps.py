@@ -78,17 +78,18 @@ def errors_by_size(spark, d):
 def som_fit(spark, d):
     df = _scaled(spark, d).select("sample_id", *SCALED).persist()
     book = som.som_fit(df, SCALED)
+    df.unpersist()
     return som.som_assign(df, book).select("sample_id", "som_x", "som_y", "distance")
 
 
 @register()
 def som_sweep_(spark, d):
-    return som_sweep(samples(spark, d), {"base": BASE, "base_ph": [*BASE, "ph"]}, sizes=(2, 3), epochs=10)
+    return som_sweep(samples(spark, d), {"base": BASE, "base_ph": [*BASE, "ph"]})
 
 
 @register()
 def som_analysis_(spark, d):
-    return som_analysis(samples(spark, d), [*BASE, "ph"], ["temperature", "ph", "na"], epochs=10).profile
+    return som_analysis(samples(spark, d), [*BASE, "ph"], ["temperature", "ph", "na"]).profile
 
 
 @register(f"""SELECT g.som_x, g.som_y, n, temperature FROM (SELECT (i % 4)::INT AS som_x, (i // 4)::INT AS som_y FROM range(16) g(i)) g
@@ -159,7 +160,7 @@ def top_importances(spark, d):
     JOIN (SELECT feature, sum(c)::BIGINT AS n, sum(pow(c::DOUBLE, 3) - c) AS tie FROM (SELECT feature, value, count(*) AS c FROM vals GROUP BY 1, 2) GROUP BY 1) USING (feature))
   WHERE n1 >= 3 AND n2 >= 3""", _PROFILE)
 def mann_whitney(spark, d):
-    return rounded(clusters.mann_whitney(assigned(spark, d), _FEATURES), "u", "score")
+    return rounded(clusters.mann_whitney(assigned(spark, d), _FEATURES), "u", "score").drop("tied")
 
 
 @register()
@@ -177,14 +178,14 @@ def log_range(spark, d):
 
 
 @register(f"""SELECT som_x, som_y, feature, point::INT AS point, {r('x')} AS x, n, {r('sum(exp(-0.5e0 * pow((x - v) / h, 2))) / (n * h * sqrt(2 * pi()))')} AS density FROM (
-    SELECT som_x, som_y, feature, n, h, point, lo + (hi - lo) / 19 * point AS x FROM (
+    SELECT som_x, som_y, feature, n, h, point, lo + (hi - lo) / 99 * point AS x FROM (
       SELECT som_x, som_y, feature, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2e0) AS h FROM logged GROUP BY 1, 2, 3
-      HAVING count(*) >= 3 AND stddev_samp(v) > 0), range(20) g(point))
+      HAVING count(*) >= 3 AND stddev_samp(v) > 0), range(100) g(point))
   JOIN logged USING (som_x, som_y, feature) GROUP BY som_x, som_y, feature, point, x, n, h""",
           _PROFILE + """, logged AS (SELECT som_x, som_y, feature, CASE WHEN feature IN ('ph', 'temperature') THEN value ELSE log10(value) END AS v
   FROM vals WHERE feature IN ('ph', 'temperature') OR value > 0)""")
 def kde(spark, d):
-    return rounded(clusters.kde(assigned(spark, d), _FEATURES, points=20), "x", "density")
+    return rounded(clusters.kde(assigned(spark, d), _FEATURES), "x", "density")
 
 
 @register()

@@ -277,6 +277,4 @@ def limit_head(spark, d):
 @register(f"SELECT * FROM (SELECT sample_id, 'high' AS side, ibe FROM ibe WHERE ibe > 30) UNION ALL "
           f"SELECT sample_id, 'low', ibe FROM ibe WHERE ibe < -30", IBE_SQL)
 def union_extremes(spark, d):
-    df = balanced(spark, d).select("sample_id", "ibe")
-    high = df.where("ibe > 30").withColumn("side", F.lit("high"))
-    return high.unionByName(df.where(q("ibe") < -30).withColumn("side", F.lit("low")))
+    return examples.union_extremes(balanced(spark, d).select("sample_id", "ibe"), 30.0)

@@ -17,6 +17,9 @@ from .profile import unpivot
 from .ranking import ranked_values
 
 CELL = ["som_x", "som_y"]
+# fixed values: fewest rows worth a forest, and the largest group whose rank test is exact
+FOREST_ROWS = 10
+EXACT_ROWS = 8
 
 
 def cluster_means(df: DataFrame, columns: list[str], by: list[str] = CELL) -> DataFrame:
@@ -71,7 +74,7 @@ def mann_whitney(df: DataFrame, columns: list[str], by: list[str] = CELL, min_co
     """Two-sided rank test of every cluster against the rest, for all clusters and features at once.
 
     Values are counted per cluster first; ranks come from the distributed order statistics. Returns the
-    U statistic, the tie-corrected normal score with continuity correction, and both sizes.
+    U statistic, the tie-corrected normal score with continuity correction, both sizes, and whether values are tied.
     """
     long = unpivot(df, columns, by).where(F.col("value").isNotNull())
     ranks = ranked_values(long, ["feature"], "value")
@@ -81,22 +84,45 @@ def mann_whitney(df: DataFrame, columns: list[str], by: list[str] = CELL, min_co
     rank = F.col("before") + (F.col("n") + 1) / 2
     sums = (per_cluster.join(ranks.select("feature", "value", "n", "before"), ["feature", "value"])
             .groupBy(*by, "feature").agg(F.sum("n_in").alias("n1"), F.sum(F.col("n_in") * rank).alias("rank_sum")))
-    joined = sums.join(F.broadcast(ties), "feature").withColumn("n2", F.col("total") - F.col("n1"))  # one row per feature
+    joined = sums.join(F.broadcast(ties), "feature").withColumns({  # one row per feature
+        "n2": F.col("total") - F.col("n1"), "tied": F.col("tie_term") > 0})
     n, n1, n2 = (F.col(c).cast("double") for c in ("total", "n1", "n2"))
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     score = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread)
     return joined.where((n1 >= min_count) & (n2 >= min_count)).select(
-        *by, "feature", "n1", "n2", u.alias("u"), score.alias("score"))
+        *by, "feature", "n1", "n2", u.alias("u"), score.alias("score"), "tied")
+
+
+def exact_p(n1: int, n2: int, u: float) -> float:
+    """Two-sided p-value of U without ties: all ways to rank ``n1`` of ``n1 + n2`` rows are equally likely."""
+    small, other = sorted((n1, n2))
+    ways = np.zeros((small + 1, small * other + 1))  # by rows taken and their U
+    ways[0, 0] = 1.0
+    for place in range(small + other):
+        for taken in range(min(small, place + 1), 0, -1):
+            step = place - taken + 1  # rows of the other side below this one
+            if step <= other:
+                ways[taken, step:] += ways[taken - 1, :ways.shape[1] - step]
+    chance = ways[small] / ways[small].sum()
+    at = int(round(max(u, n1 * n2 - u)))
+    return float(min(1.0, 2 * chance[at:].sum()))
 
 
 def p_value(table: DataFrame, score: str = "score") -> DataFrame:
-    """Add the two-sided normal p-value of a score column; 1 where the score is undefined."""
+    """Add the two-sided p-value of ``mann_whitney``'s rows.
+
+    It is exact where a side has at most ``EXACT_ROWS`` rows and no values are tied, else that of the normal score, and 1
+    where the score is undefined.
+    """
     @F.pandas_udf("double")
-    def tail(scores: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(two_sided_p(np.maximum(scores.fillna(0.0).to_numpy(), 0.0)), 1.0))
+    def tail(scores: pd.Series, n1: pd.Series, n2: pd.Series, u: pd.Series, tied: pd.Series) -> pd.Series:
+        p = np.minimum(two_sided_p(np.maximum(scores.fillna(0.0).to_numpy(), 0.0)), 1.0)
+        for i in np.flatnonzero((np.minimum(n1, n2) <= EXACT_ROWS) & ~tied.astype(bool)):
+            p[i] = exact_p(int(n1[i]), int(n2[i]), float(u[i]))
+        return pd.Series(p)
 
-    return table.withColumn("p_value", tail(q(score)))
+    return table.withColumn("p_value", tail(q(score), "n1", "n2", "u", "tied"))
 
 
 def tested_profile(df: DataFrame, columns: list[str], by: list[str] = CELL) -> DataFrame:
@@ -174,12 +200,21 @@ def _importances(spark, columns: list[str], values, keys: dict) -> DataFrame:
 
 def rf_importance_global(df: DataFrame, columns: list[str], by: list[str] = CELL, trees: int = 100, depth: int = 5,
                          seed: int = 42) -> DataFrame:
-    """Importance of every feature for telling all clusters apart, from a random forest on complete rows."""
+    """Importance of every feature for telling all clusters apart, from a random forest on complete rows.
+
+    Fewer than ``FOREST_ROWS`` rows or a single cluster give no row.
+    """
     complete = df.dropna("any", subset=[*columns, *by])
     labelled = complete.withColumn("_cluster", F.concat_ws(",", *[q(c).cast("string") for c in by]))
-    labelled = StringIndexer(inputCol="_cluster", outputCol="_y", stringOrderType="alphabetAsc").fit(labelled).transform(labelled)
-    features = VectorAssembler(inputCols=columns, outputCol="_x").transform(labelled).select("_x", "_y")
-    model = _forest(trees, depth, seed).fit(features)
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(labelled).select("_x", "_cluster").persist()
+    try:
+        size = rows.agg(F.count("*").alias("n"), F.min("_cluster").alias("low"), F.max("_cluster").alias("high")).first()
+        if size["n"] < FOREST_ROWS or size["low"] == size["high"]:
+            return df.sparkSession.createDataFrame([], "scope string, feature string, importance double")
+        indexed = StringIndexer(inputCol="_cluster", outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+        model = _forest(trees, depth, seed).fit(indexed.select("_x", "_y"))
+    finally:
+        rows.unpersist()
     return _importances(df.sparkSession, columns, model.featureImportances.toArray(), {"scope": "global"})
 
 
@@ -198,7 +233,7 @@ def rf_importance_local(df: DataFrame, columns: list[str], by: list[str] = CELL,
             model = _forest(trees, depth, seed).fit(features.select("_x", inside.cast("double").alias("_y")))
             return [(*[cell[c] for c in by], name, float(v)) for name, v in zip(columns, model.featureImportances.toArray())]
 
-        if len(cells) < 2:
+        if len(cells) < 2 or sum(cell["count"] for cell in cells) < FOREST_ROWS:
             fitted = []
         else:
             with ThreadPoolExecutor(parallel) as pool:

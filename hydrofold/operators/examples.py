@@ -31,6 +31,12 @@ def nearest_to_target_per_source(df: DataFrame, targets=IBE_TARGETS, n: int = 30
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n // 2)
 
 
+def union_extremes(df: DataFrame, limit: float, ibe: str = "ibe") -> DataFrame:
+    """Rows whose error lies beyond ``limit`` to either side, in one pass, with their ``side``."""
+    side = F.when(q(ibe) > limit, "high").when(q(ibe) < -limit, "low")
+    return df.withColumn("side", side).where(F.col("side").isNotNull())
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Seeded sample of ``n`` rows without replacement; the whole table if it is smaller."""
     return smallest_by_hash(df, key, F.lit(n), seed)

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.chemistry import total
-from ..schema import q
+from ..functions.cleaning import strip_transforms
+from ..schema import DISPLAY_NAMES, q
 from ..session import checked_broadcast
 from .ranking import exact_quantiles
 
@@ -150,3 +151,13 @@ def geo_summary(df: DataFrame, latitude: str = "WGS84_latitude", longitude: str
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values."""
     return df.where(q(column).isNotNull()).select(q(column).alias("value")).distinct()
+
+
+def label_features(features: DataFrame, feature: str = "feature") -> DataFrame:
+    """Transformed feature names with their base name, display name and unit; other columns are kept."""
+    base = strip_transforms(q(feature))
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
+    rest = [q(c) for c in features.columns if c != feature]
+    return features.select(
+        feature, base.alias("base"), F.coalesce(F.try_element_at(names, base), base).alias("display_name"),
+        F.when(base.contains("_in_"), F.substring_index(base, "_in_", -1)).otherwise("").alias("unit"), *rest)

@@ -42,11 +42,6 @@ class Codebook:
         p = self.positions()
         return np.isclose(np.linalg.norm(p[:, None] - p[None], axis=2), 1.0)
 
-    def table(self, spark) -> DataFrame:
-        """The codebook as rows (som_x, som_y, weights)."""
-        rows = [(int(i // self.y), int(i % self.y), [float(v) for v in w]) for i, w in enumerate(self.weights)]
-        return spark.createDataFrame(rows, "som_x int, som_y int, weights array<double>")
-
 
 def grid_codebook(columns: list[str], x: int, y: int) -> Codebook:
     """A codebook on the unit cube's plane: even features follow x, odd ones y."""
@@ -73,49 +68,61 @@ def _distances(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cell_sums(df: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
-    """Per cell the sum of its rows and their number."""
-    weights, d = book.weights, len(book.columns)
+def _cell_sums(df: DataFrame, books: list[Codebook]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every codebook, per cell the sum of its rows and their number, all in one pass."""
+    columns, d = books[0].columns, len(books[0].columns)
+    weights = [book.weights for book in books]
     names = [f"s{j}" for j in range(d)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(weights), d + 1))
+        sums = [np.zeros((len(w), d + 1)) for w in weights]
         for batch in batches:
             rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            best = _distances(rows, weights).argmin(axis=1)
-            for j in range(d):
-                sums[:, j] += np.bincount(best, rows[:, j], len(weights))
-            sums[:, d] += np.bincount(best, minlength=len(weights))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights), dtype=np.int32)), *map(pa.array, sums.T.copy())], names=["cell", *names, "n"])
-
-    schema = "cell int, " + ", ".join(f"{s} double" for s in [*names, "n"])
-    partials = df.select([q(c).cast("double") for c in book.columns]).mapInArrow(partial, schema)
-    totals = partials.groupBy("cell").agg(*[F.sum(s).alias(s) for s in [*names, "n"]]).toPandas().sort_values("cell")  # x * y rows
+            for w, total in zip(weights, sums):
+                best = _distances(rows, w).argmin(axis=1)
+                for j in range(d):
+                    total[:, j] += np.bincount(best, rows[:, j], len(w))
+                total[:, d] += np.bincount(best, minlength=len(w))
+        for i, total in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), i, np.int32)), pa.array(np.arange(len(total), dtype=np.int32)),
+                                              *map(pa.array, total.T.copy())], names=["book", "cell", *names, "n"])
+
+    schema = "book int, cell int, " + ", ".join(f"{s} double" for s in [*names, "n"])
+    partials = df.select([q(c).cast("double") for c in columns]).mapInArrow(partial, schema)
+    totals = partials.groupBy("book", "cell").agg(*[F.sum(s).alias(s) for s in [*names, "n"]]).toPandas().sort_values(["book", "cell"])  # all cells
     if not totals["n"].sum():
         raise ValueError("no rows to train on")
-    return totals[names].to_numpy(), totals["n"].to_numpy()
+    found = [totals[totals["book"] == i] for i in range(len(books))]
+    return [(t[names].to_numpy(), t["n"].to_numpy()) for t in found]
 
 
-def som_fit(df: DataFrame, columns: list[str], x: int = GRID[0], y: int = GRID[1], sigma: float = SIGMA,
-            epochs: int = EPOCHS, start: Codebook | None = None) -> Codebook:
-    """Batch training on complete rows, which should be scaled and persisted.
+def som_fit_sizes(df: DataFrame, columns: list[str], sizes: list[tuple[int, int]], sigma: float = SIGMA, epochs: int = EPOCHS,
+                  start: list[Codebook] | None = None) -> list[Codebook]:
+    """Batch training of maps of several sizes on complete rows, which should be scaled and persisted; a pass serves all.
 
     Each pass moves every cell to the mean of all rows weighted by the Gaussian of the grid distance between
     their best cell and it; the width falls from ``sigma`` to a third of a cell. The result depends on the
     data only, not on an order or a seed.
     """
     complete = df.dropna("any", subset=columns)
-    book = start or plane_codebook(complete, columns, x, y)
-    p = book.positions()
-    grid_distance = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    books = start or [plane_codebook(complete, columns, x, y) for x, y in sizes]
+    grids = [((p[:, None] - p[None]) ** 2).sum(axis=2) for p in (book.positions() for book in books)]
     for epoch in range(epochs):
         width = sigma * (1.0 / (3.0 * sigma)) ** (epoch / max(epochs - 1, 1))
-        sums, counts = _cell_sums(complete, book)
-        influence = np.exp(-grid_distance / (2 * width * width))
-        mass = influence @ counts
-        moved = np.where(mass[:, None] > 1e-12, influence @ sums / np.maximum(mass, 1e-12)[:, None], book.weights)
-        book = Codebook(book.columns, book.x, book.y, moved)
-    return book
+        moved = []
+        for book, grid, (sums, counts) in zip(books, grids, _cell_sums(complete, books)):
+            influence = np.exp(-grid / (2 * width * width))
+            mass = influence @ counts
+            weights = np.where(mass[:, None] > 1e-12, influence @ sums / np.maximum(mass, 1e-12)[:, None], book.weights)
+            moved.append(Codebook(book.columns, book.x, book.y, weights))
+        books = moved
+    return books
+
+
+def som_fit(df: DataFrame, columns: list[str], x: int = GRID[0], y: int = GRID[1], sigma: float = SIGMA,
+            epochs: int = EPOCHS, start: Codebook | None = None) -> Codebook:
+    """The map of one size."""
+    return som_fit_sizes(df, columns, [(x, y)], sigma, epochs, [start] if start else None)[0]
 
 
 def som_assign(df: DataFrame, book: Codebook) -> DataFrame:

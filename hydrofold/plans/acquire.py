@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.cleaning import parse_numbers
 from ..operators import mapping as m
-from ..operators.filters import filter_valid_coordinates
+from ..operators.joins import join_sheets, positional_concat
 from ..schema import CHEMISTRY, MOLAR_MASS, TARGET_TYPES, q
 from ..sources.vendors import SourceSpec
 
@@ -26,15 +26,26 @@ def run_hooks(df: DataFrame, hooks: Iterable[Hook]) -> DataFrame:
 
 
 def acquire_source(df: DataFrame, spec: SourceSpec, keep: Iterable[str] = (), before: Iterable[Hook] = (),
-                   after: Iterable[Hook] = ()) -> DataFrame:
+                   after: Iterable[Hook] = (), sheets: Iterable[DataFrame] = (), order: str | None = None) -> DataFrame:
     """Sample rows of one source.
 
     ``before`` hooks see the raw table, ``after`` hooks the conformed one. ``keep`` carries key columns
-    through, so rows a rock list duplicates stay countable.
+    through, so rows a rock list duplicates stay countable. ``sheets`` are the source's further sheets in the order of
+    ``spec.sheets``; they are joined on the well name, or by position in the column ``order`` that every sheet has.
     """
     keep = list(keep)
     conformed = run_hooks(m.conform_headers(run_hooks(df, before)), after)
-    return harmonise(m.apply_mapping(conformed, spec.mapping, keep), spec, keep)
+    carried = [*keep, *([order] if order and order not in keep else [])]
+    mapped = m.apply_mapping(conformed, spec.mapping, carried)
+    for sheet, mapping in zip(sheets, spec.sheets):
+        other = m.apply_mapping(m.conform_headers(sheet), mapping, [order] if order else [])
+        if "well_or_spring_name" in mapped.columns and "well_or_spring_name" in other.columns:
+            mapped = join_sheets(mapped, other.drop(order) if order else other)
+        elif order is None:
+            raise ValueError(f"a sheet of {spec.name!r} has no well name; name the column that orders the sheets")
+        else:
+            mapped = positional_concat(mapped, other, order, order)
+    return harmonise(mapped.drop(order) if order and order not in keep else mapped, spec, keep)
 
 
 def harmonise(mapped: DataFrame, spec: SourceSpec, keep: Iterable[str] = ()) -> DataFrame:
@@ -60,8 +71,3 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
         named = part.withColumn("Database_name", F.lit(name))
         merged = named if merged is None else merged.unionByName(named)
     return merged
-
-
-def consolidated_points(df: DataFrame) -> DataFrame:
-    """Mapped points of the consolidated table."""
-    return filter_valid_coordinates(df).select("WGS84_latitude", "WGS84_longitude", "well_or_spring_name")

@@ -47,6 +47,7 @@ class SourceSpec:
     rock: Callable[[DataFrame], DataFrame] | None = None
     include_o2: bool = False
     molar_mass: Mapping[str, float] = field(default_factory=dict)
+    sheets: tuple[Mapping[str, str], ...] = ()
 
 
 # --- fixed values: rock classes of the REFLECT sheets ---
@@ -111,6 +112,7 @@ FEET = 0.3048
 REFLECT_ROCK_SHEET = {"rock_type": ROCK}
 REFLECT_RESERVOIR_SHEET = {"age_of_formation": "stratigraphic_period"}
 
+# --- fixed values: the sources' headers, constants and factors ---
 SOURCES = {
     spec.name: spec
     for spec in (
@@ -121,7 +123,7 @@ SOURCES = {
             | {"dissolved_oxigen_mg_per_l": species_column("O2")}
             | ions("{}_mg_per_l", *MAJOR, "Li", "K", "Sr", "Fe", "Mn", "F"),
             rock=lambda df: map_category(df, ROCK, REFLECT_ROCKS) if ROCK in df.columns else df,
-            molar_mass={"O2": 31.998},
+            molar_mass={"O2": 31.998}, sheets=(REFLECT_ROCK_SHEET, REFLECT_RESERVOIR_SHEET),
         ),
         SourceSpec(
             "MDPI_Tibet",
