@@ -219,6 +219,21 @@ def pca2(spark, d):
     return features.pca_projection(df.dropna("any", subset=BASE), BASE, components).select("sample_id", "pc1", "pc2")
 
 
+@register(f"""SELECT sample_id, {r('(na - ma) * x1 + (fe - mb) * y1')} AS pc1, {r('(na - ma) * x2 + (fe - mb) * y2')} AS pc2 FROM pairs, axes""",
+          """pairs AS (SELECT sample_id, na, fe FROM samples WHERE na IS NOT NULL AND fe IS NOT NULL),
+moments AS (SELECT avg(na) AS ma, avg(fe) AS mb, covar_samp(na, na) AS a, covar_samp(na, fe) AS b, covar_samp(fe, fe) AS c FROM pairs),
+top AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM moments),
+raw_axis AS (SELECT *, CASE WHEN a >= c THEN l - c ELSE b END AS x0, CASE WHEN a >= c THEN b ELSE l - a END AS y0 FROM top),
+unit_axis AS (SELECT *, x0 / sqrt(x0 * x0 + y0 * y0) AS x, y0 / sqrt(x0 * x0 + y0 * y0) AS y FROM raw_axis),
+axes AS (SELECT ma, mb, x * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS x1, y * sign(CASE WHEN abs(x) >= abs(y) THEN x ELSE y END) AS y1,
+  -y * sign(CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END) AS x2, x * sign(CASE WHEN abs(y) >= abs(x) THEN -y ELSE x END) AS y2 FROM unit_axis)""")
+def pca_of_two(spark, d):
+    """Two columns, whose axes have a closed form."""
+    df = samples(spark, d).dropna("any", subset=["na", "fe"])
+    found = features.pca_projection(df, ["na", "fe"], features.pca(df, ["na", "fe"])).select("sample_id", "pc1", "pc2")
+    return rounded(found, "pc1", "pc2")
+
+
 @register("SELECT sample_id, feature, value FROM samples UNPIVOT INCLUDE NULLS (value FOR feature IN (na, ph, temperature))")
 def unpivot_features(spark, d):
     return unpivot(samples(spark, d), ["na", "ph", "temperature"], ["sample_id"])

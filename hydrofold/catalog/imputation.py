@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import BASE, samples
 from ..operators import benchmark, evaluation, examples, features, knn
 from ..operators.filters import any_present
 from ..operators.joins import cross_masks as cross
-from ..operators.vae import vae_cross_validate as cross_validate, vae_impute as impute_with
+from ..operators.vae import VaeModel, VaeParams, vae_cross_validate as cross_validate, vae_impute as impute_with
 from ..plans import imputation as study
 from ..schema import q
 from ..session import workspace
@@ -296,6 +297,28 @@ def vae_impute(spark, d):
     return impute_with(any_present(df, BASE).select(KEY, *BASE), KEY, model)
 
 
+# A network of two inputs, two hidden cells and one latent cell with weights written out.
+_SMALL = [0.5, -0.25, 0.75, 0.5, 0.125, -0.5, 0.5, -0.75, 0.25, 0.1, 0.2, 0.3, 0.5, -1.5, 0.25, 0.5, 1.5, 0.5, -0.25, 0.75, 0.1, -0.2]
+
+
+def _small_sql() -> str:
+    w = [f"({v!r}e0)" for v in _SMALL]
+    leak = lambda a: f"(CASE WHEN {a} > 0 THEN {a} ELSE 0.2e0 * ({a}) END)"
+    x = ["coalesce(ph, 0e0)", "coalesce(fe, 0e0)"]
+    h = [leak(f"({x[0]} * {w[j]} + {x[1]} * {w[2 + j]} + {w[4 + j]})") for j in range(2)]
+    z = f"({h[0]} * {w[6]} + {h[1]} * {w[7]} + {w[8]})"
+    g = [leak(f"({z} * {w[12 + j]} + {w[14 + j]})") for j in range(2)]
+    out = [f"({g[0]} * {w[16 + j]} + {g[1]} * {w[18 + j]} + {w[20 + j]})" for j in range(2)]
+    return f"SELECT sample_id, {r(f'coalesce(ph, {out[0]})')} AS ph, {r(f'coalesce(fe, {out[1]})')} AS fe FROM samples"
+
+
+@register(_small_sql())
+def vae_forward(spark, d):
+    """Inference of a network with fixed weights."""
+    model = VaeModel(("ph", "fe"), VaeParams(latent_dim=1, hidden_dim=2, enc_layers=1, dec_layers=1), np.array(_SMALL))
+    return rounded(impute_with(samples(spark, d).select(KEY, "ph", "fe"), KEY, model), "ph", "fe")
+
+
 @register()
 def vae_benchmark(spark, d):
     df = samples(spark, d)

@@ -74,6 +74,18 @@ def errors_by_size(spark, d):
     return rounded(som.errors_by_size(errors), "q_mean", "t_mean")
 
 
+@register(f"""SELECT (p.cell // 4)::INT AS som_x, (p.cell % 4)::INT AS som_y, {', '.join(f'{r(f"sum(f * s{i}) / sum(f * n)")} AS {c}' for i, c in enumerate(SCALED))}
+  FROM influence p JOIN sums ON p.other = sums.cell GROUP BY p.cell""", MAP + f""",
+sums AS (SELECT cell, count(*) AS n, {', '.join(f'sum({c}) AS s{i}' for i, c in enumerate(SCALED))} FROM ranked JOIN scaled USING (sample_id) WHERE rk = 1 GROUP BY 1),
+influence AS (SELECT p.cell, o.cell AS other, exp(-((p.px - o.px) * (p.px - o.px) + (p.py - o.py) * (p.py - o.py)) / {2 * som.SIGMA ** 2}e0) AS f
+  FROM places p, places o)""")
+def som_pass(spark, d):
+    """One training pass from a fixed codebook."""
+    book = som.som_fit(_scaled(spark, d).select("sample_id", *SCALED), SCALED, epochs=1, start=_book(4))
+    rows = [(i // 4, i % 4, *map(float, w)) for i, w in enumerate(book.weights)]
+    return rounded(spark.createDataFrame(rows, "som_x int, som_y int, " + ", ".join(f"{c} double" for c in SCALED)), *SCALED)
+
+
 @register()
 def som_fit(spark, d):
     df = _scaled(spark, d).select("sample_id", *SCALED).persist()

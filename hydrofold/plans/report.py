@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import filters, histograms, profile
 from ..schema import q
@@ -60,10 +61,20 @@ class Profile:
     rows: DataFrame
     numbers: DataFrame
     bins: DataFrame
+    fine_bins: DataFrame
     categories: dict[str, DataFrame]
+    fixed_bins: dict[str, DataFrame]
+    years: dict[str, DataFrame]
 
 
-def profile_report_tables(df: DataFrame, numeric: list[str], categories: list[str], k: int = 50) -> Profile:
-    """Completeness by column and row, statistics and histograms of numbers, top categories of texts."""
+def profile_report_tables(df: DataFrame, numeric: list[str], categories: list[str], k: int = 50,
+                          fixed: dict[str, tuple[float, float, int]] | None = None, dates: Iterable[str] = ()) -> Profile:
+    """Completeness by column and row, statistics and histograms of numbers, top categories of texts, rows per year.
+
+    ``fixed`` names columns with the low end, high end and number of equal bins.
+    """
     return Profile(profile.column_completeness(df), profile.row_completeness_histogram(df), profile.column_profile(df, numeric),
-                   histograms.histogram(df, numeric), {c: profile.category_topk(df.select(q(c)), c, k) for c in categories})
+                   histograms.histogram(df, numeric), histograms.histogram_fd(df, numeric),
+                   {c: profile.category_topk(df.select(q(c)), c, k) for c in categories},
+                   {c: histograms.histogram_fixed(df, c, *ends, F.lit(c)) for c, ends in (fixed or {}).items()},
+                   {c: profile.counts_by_year(df, c) for c in dates})
