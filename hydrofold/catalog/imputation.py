@@ -333,6 +333,11 @@ def imputation_study(spark, d):
     return tables.read_run_metadata(spark, root).select("run_id", "n_samples", "final_loss", "cv_score", "cv_masked_score")
 
 
+@register()
+def imputation_report(spark, d):
+    return study.imputation_report(samples(spark, d), KEY, {"Base_without_pH": BASE}).metrics
+
+
 @register()
 def imputer_comparison(spark, d):
     return study.imputer_comparison(samples(spark, d), KEY, BASE, train_parts=SEARCHED_PARTS)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import benchmark, evaluation
+from ..operators.completeness import feature_set_plan
 from ..operators.features import Standard, quantile_bounds, quantile_clip, select_features, split_label, standardize
 from ..operators.filters import complete_cases
 from ..operators.vae import VaeModel, VaeParams, fitted, vae_fit, vae_imputer
 from ..schema import q
+from ..session import checkpointed
 from ..sources.tables import METADATA_SCHEMA
 
 MIN_ROWS = 50
@@ -76,6 +79,49 @@ def imputation_study(df: DataFrame, key: str, sets: dict[str, list[str]], params
     return documents if documents is not None else df.sparkSession.createDataFrame([], METADATA_SCHEMA)
 
 
+@dataclass(frozen=True)
+class StudyReport:
+    """Feature sets with their rows and model sizes, run documents, scores of every mask, and a summary per run."""
+
+    plan: DataFrame
+    documents: DataFrame
+    metrics: DataFrame
+    summary: DataFrame
+
+
+def imputation_report(df: DataFrame, key: str, sets: dict[str, list[str]], params: VaeParams | None = None, folds: int = 5,
+                      clip: float | None = 0.02, train_parts: int = 1) -> StudyReport:
+    """From feature sets to scores: rows and sizes per set, one trained model each, its benchmark and the runs' summary.
+
+    Without ``params`` each model takes the sizes of ``feature_set_plan`` from its features and complete rows.
+    """
+    spark = df.sparkSession
+    patterns, listed = {}, []
+    for label, wanted in sets.items():
+        patterns[label] = select_features(df.columns, wanted)
+        listed.append((label, patterns[label][0], complete_cases(df, patterns[label][0]).count()))
+    plan = feature_set_plan(spark.createDataFrame(listed, "label string, features array<string>, n long"))
+    sizes = {row["label"]: row for row in plan.collect()}  # one row per set
+    documents, metrics = None, None
+    for index, label in enumerate(sets):
+        (columns, mapped), size = patterns[label], sizes[label]
+        own = params or VaeParams(latent_dim=size["latent_dim"], hidden_dim=size["hidden_dim"], enc_layers=size["layers"],
+                                  dec_layers=size["layers"], batch_size=size["batch_size"])
+        model = train_vae(df, key, columns, own, folds, clip)
+        if model is None:
+            continue
+        document = run_document(spark, index, label, sets[label], mapped, model, clip)
+        results = vae_benchmark(df, key, model, train_parts=train_parts).withColumns({
+            "run_id": F.lit(f"{index:03d}_{label}"), "combination": F.array_join("combination", ",")})
+        scores = evaluation.imputation_metrics(results, list(evaluation.METRIC_KEYS))
+        documents = document if documents is None else documents.unionByName(document)
+        metrics = scores if metrics is None else metrics.unionByName(scores)
+    if documents is None:
+        raise ValueError("no feature set has enough complete rows to train on")
+    metrics = checkpointed(metrics, "study-scores")
+    return StudyReport(plan, documents, metrics, evaluation.run_summary(metrics))
+
+
 def vae_benchmark(df: DataFrame, key: str, model: VaeModel, include_incomplete: bool = False, cap: int | None = None, seed: int = 42,
                   sample_latent: bool = False, train_parts: int = 1) -> DataFrame:
     """Mask benchmark of a trained model, on its own scaling."""

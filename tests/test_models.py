@@ -156,6 +156,47 @@ def test_autoencoder_beats_the_mean_and_repeats(spark, tiny):
     assert imputation.train_vae(df.limit(20), "sample_id", fixtures.BASE, params) is None
 
 
+def test_weights_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(900, 3)), columns=["a", "b", "c"]).assign(id=np.arange(900))
+    params = vae.VaeParams(latent_dim=2, hidden_dim=8, enc_layers=2, dec_layers=2, epochs=6, sync_every=3, shard_rows=250)
+    before, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for partitions, batch in ((1, "10000"), (2, "10000"), (8, "50")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found.append(vae.vae_fit(spark.createDataFrame(pdf).repartition(partitions), "id", ["a", "b", "c"], params, folds=2))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for other in found[1:]:
+        assert np.allclose(found[0].weights, other.weights, rtol=0, atol=1e-9) and np.allclose(found[0].fold_scores, other.fold_scores)
+        assert np.allclose(found[0].loss_history, other.loss_history) and len(other.loss_history) == 6
+
+
+def test_exact_rank_test():
+    from itertools import combinations
+    for n1, n2 in ((3, 4), (5, 3), (2, 6)):
+        us = [sum(p) - n1 * (n1 - 1) // 2 for p in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert clusters.exact_p(n1, n2, u) == pytest.approx(min(1, 2 * sum(x >= max(u, n1 * n2 - u) for x in us) / len(us)))
+
+
+def test_forests_need_rows_and_clusters(spark):
+    rows = [(0, i % 2, float(i), float(-i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "som_x int, som_y int, a double, b double")
+    assert clusters.rf_importance_global(df.limit(9), ["a", "b"]).count() == 0
+    assert clusters.rf_importance_global(df.where("som_y = 1").unionAll(df.where("som_y = 1")), ["a", "b"]).count() == 0
+    assert clusters.rf_importance_global(df, ["a", "b"], trees=5).count() == 2
+
+
+def test_study_report(spark, tiny):
+    df = fixtures.samples(spark, tiny)
+    params = vae.VaeParams(epochs=10, sync_every=10)
+    report = imputation.imputation_report(df, "sample_id", {"Base": fixtures.BASE}, params, folds=2)
+    assert report.documents.count() == 1 and report.plan.first()["hidden_dim"] >= 32
+    assert report.metrics.select("level").distinct().count() == 5
+    assert report.summary.first()["run_id"] == "000_Base" and report.summary.first()["features"] == 6
+
+
 def test_metrics_edge_cases(spark):
     rows = [("x", 1.0, 1.0), ("x", 1.0, 1.0), ("y", 1.0, 2.0), ("y", 1.0, 1.0), ("z", 1.0, 1.0), ("w", 0.0, 0.5), ("w", 1.0, 0.5)]
     df = spark.createDataFrame(rows, "k string, original double, imputed double")
