@@ -171,22 +171,25 @@ def fit(lines: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int =
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def train(df: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", most: int = SAMPLE_DOCUMENTS,
-          seed: int = 5) -> Model:
-    """A model from the rows of ``df`` with label 0 or 1, on a sample of about ``most`` documents at the most.
+def train(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id",
+          most: int = SAMPLE_DOCUMENTS, seed: int = 5) -> Model:
+    """A model from the texts of ``df`` whose ``key`` has label 0 or 1 in ``labels``, on a sample of about ``most`` of them.
 
-    Each label gives half the sample where it can. One in four of the sampled documents is kept out of the fit and sets
+    The keys are sampled by their hash before any text is read, so texts are not shuffled. Each label gives half the
+    sample where it can; null keys take no part. One in four of the sampled documents is kept out of the fit and sets
     the scale and shift that make scores agree with the label's frequency. With one label only, or none, every
     score is that label, or a half.
     """
-    rows = df.where(q(label).isin(0, 1)).select(q(label).cast("int").alias("label"), F.coalesce(q(text), F.lit("")).alias("text"),
-                                                F.pmod(F.xxhash64(F.lit(seed), q(key), q(text)), F.lit(1 << 30)).alias("place"))
+    rows = labels.where(q(label).isin(0, 1) & q(key).isNotNull()).select(
+        q(key).alias("key"), q(label).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit(seed), q(key)), F.lit(1 << 30)).alias("place"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     none = np.zeros(FEATURES), np.zeros((2, 2))
     if len(sizes) < 2:
         return Model(*none, 0.0, {0: -20.0, 1: 20.0}.get(next(iter(sizes), None), 0.0))
     cut = F.when(F.col("label") == 1, int((1 << 30) * min(1.0, most / 2 / sizes[1]))).otherwise(int((1 << 30) * min(1.0, most / 2 / sizes[0])))
-    sample = rows.where(F.col("place") < cut).where(F.size(F.split("text", "\n")) <= SAMPLE_LINES)
+    texts = df.select(q(key).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(rows.where(F.col("place") < cut)), "key").where(  # about ``most`` keys
+        F.size(F.split("text", "\n")) <= SAMPLE_LINES).select("label", "place", "text")
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE):

@@ -107,7 +107,7 @@ def noisy(seed, lines, good):
 def test_line_model(messy, none, spark):
     rows = [(i, noisy(i, 2 + i % 5, i % 2 == 0), 1 - i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    model = line_crf.train(df.where("doc_id < 140"))
+    model = line_crf.train(df, df.where("doc_id < 140"))
     held = line_crf.score(df.where("doc_id >= 140"), model).collect()
     assert sum((r["score"] >= 0.7) == r["quality"] for r in held) >= 58
     scores = line_crf.score(messy, model).collect()
@@ -115,7 +115,7 @@ def test_line_model(messy, none, spark):
     assert len({r["score"] for r in scores if not r["text"]}) == 1
     assert line_crf.score(none, model).count() == 0
     for part, want in ((none, 0.5), (df.where("quality = 1"), 1.0)):
-        assert line_crf.score(df.limit(3), line_crf.train(part)).first()["score"] == pytest.approx(want, abs=1e-6)
+        assert line_crf.score(df.limit(3), line_crf.train(df, part)).first()["score"] == pytest.approx(want, abs=1e-6)
 
 
 def test_marginals_equal_enumeration():
