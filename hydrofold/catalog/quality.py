@@ -23,8 +23,8 @@ def ionic_balance_error(spark, d):
 
 
 @register("""SELECT sample_id, CASE WHEN c + a >= 1e-9 THEN (c - a) / (c + a) * 100e0 END AS ibe,
-  na IS NOT NULL AND mg IS NOT NULL AND c + a >= 1e-9 AS complete FROM (
-  SELECT sample_id, na, mg, coalesce(na, 0e0) / 22.99e0 * 1e0 + coalesce(ca, 0e0) / 1000e0 * 2e0 + coalesce(mg, 0e0) * 2e0 AS c,
+  na IS NOT NULL AND mg IS NOT NULL AND ca IS NOT NULL AND cl IS NOT NULL AND hco3 IS NOT NULL AND so4 IS NOT NULL AND c + a >= 1e-9 AS complete FROM (
+  SELECT *, coalesce(na, 0e0) / 22.99e0 * 1e0 + coalesce(ca, 0e0) / 1000e0 * 2e0 + coalesce(mg, 0e0) * 2e0 AS c,
          coalesce(cl, 0e0) * 1e0 + coalesce(hco3, 0e0) * 1e0 + coalesce(so4, 0e0) * 2e0 AS a FROM samples)""")
 def ionic_balance_units(spark, d):
     ions = BALANCE_COLUMNS | {"Na": ("na", "mg/L"), "Ca": ("ca", "umol/L")}

@@ -15,7 +15,7 @@ from .sources.folders import exists
 
 RAW_SQL = """
 SELECT e.event_id AS sample_id,
-       CAST(e.event_id % 13 + 1 AS INT) AS database_number,
+       CASE WHEN e.event_id % 3 = 0 THEN 1 ELSE CAST(e.event_id % 13 + 1 AS INT) END AS database_number,
        n.n_name AS location,
        'well_' || CAST(e.user_id AS STRING) AS well_or_spring_name,
        CASE WHEN e.event_id % 29 = 0 THEN NULL ELSE CAST(e.event_id % 180 - 90 AS DOUBLE) + 0.5e0 END AS latitude,
@@ -28,11 +28,13 @@ SELECT e.event_id AS sample_id,
        CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE CAST(5.0e0 + CAST(e.event_id % 40 AS DOUBLE) / 10.0e0 AS DOUBLE) END AS ph,
        CASE WHEN e.event_id % 17 = 0 THEN 'n/d' WHEN e.event_id % 17 = 1 THEN '<' || CAST(CAST(FLOOR(e.value * 22989.769e0) AS BIGINT) AS STRING)
             WHEN e.event_id % 17 = 2 THEN '-5' ELSE CAST(CAST(FLOOR(e.value * 22989.769e0) AS BIGINT) AS STRING) END AS na_ugl,
-       CAST(CAST(FLOOR(e.value * 0.25e0 * 40078e0) AS BIGINT) AS STRING) AS ca_ugl,
-       CASE WHEN e.event_id % 7 = 0 THEN '' ELSE CAST(CAST(FLOOR(e.value * 0.125e0 * 24305e0) AS BIGINT) AS STRING) END AS mg_ugl,
+       CAST(CAST(FLOOR(e.value * (0.25e0 + CAST(e.event_id % 19 - 9 AS DOUBLE) / 60.0e0) * 40078e0) AS BIGINT) AS STRING) AS ca_ugl,
+       CASE WHEN e.event_id % 7 = 0 THEN '' ELSE CAST(CAST(FLOOR(e.value * (0.125e0 + CAST(e.event_id % 23 - 11 AS DOUBLE) / 120.0e0) * 24305e0) AS BIGINT) AS STRING) END AS mg_ugl,
        CAST(CAST(FLOOR(e.value * (1.0e0 + CAST(e.event_id % 41 - 20 AS DOUBLE) / 40.0e0) * 35450e0) AS BIGINT) AS STRING) AS cl_ugl,
-       CAST(CAST(FLOOR(e.value * 0.25e0 * 96060e0) AS BIGINT) AS STRING) AS so4_ugl,
-       CAST(CAST(FLOOR(e.value * 0.25e0 * 61016.8e0) AS BIGINT) AS STRING) AS hco3_ugl,
+       CASE WHEN e.event_id % 37 = 0 THEN NULL ELSE CAST(CAST(FLOOR(e.value * (0.25e0 + CAST(e.event_id % 43 - 21 AS DOUBLE) / 150.0e0) * 96060e0)
+            AS BIGINT) AS STRING) END AS so4_ugl,
+       CASE WHEN e.event_id % 47 = 0 THEN 'n/d' ELSE CAST(CAST(FLOOR(e.value * (0.25e0 + CAST(e.event_id % 53 - 26 AS DOUBLE) / 200.0e0) * 61016.8e0)
+            AS BIGINT) AS STRING) END AS hco3_ugl,
        CASE WHEN e.event_id % 6 = 0 THEN NULL ELSE '~' || CAST(e.event_id % 900 AS STRING) END AS fe_ugl,
        e.ts AS sampled_at
 FROM {events} e LEFT JOIN {nation} n ON e.user_id % 25 = n.n_nationkey

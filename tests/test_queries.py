@@ -27,4 +27,4 @@ def test_query_equals_oracle(spark, oracle, tiny, name):
 
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert contract.entry(spark).count() == 272
+    assert contract.entry(spark).count() == 206

@@ -57,7 +57,7 @@ def test_quality_filter_keeps_the_error_column(spark, tiny):
     tables.write_snapshot(fixtures.samples(spark, tiny), root, "1")
     done = report.quality_filter(spark, root, target, "1", fixtures.BALANCE_COLUMNS, "temperature")
     counted = done.report.first()
-    assert done.table.count() == counted["kept"] == 272 and counted["original"] == 1000
+    assert done.table.count() == counted["kept"] == 206 and counted["original"] == 1000
     assert done.table.where(F.abs("ibe") > 5).count() == 0
 
 
