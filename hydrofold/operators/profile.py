@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.chemistry import total
 from ..functions.cleaning import strip_transforms
 from ..schema import DISPLAY_NAMES, q
-from ..session import checked_broadcast
 from .ranking import exact_quantiles
 
 PROFILE_PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
@@ -111,7 +110,7 @@ def summary_by_source(df: DataFrame, column: str, source: str = "Database_number
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
         F.coalesce(F.min_by(F.when(q(name).isNotNull(), q(name)), F.when(q(name).isNotNull(), q(order))), F.lit(unnamed)).alias("name"))
     medians = exact_quantiles(rows, [source], column, [0.5]).select(source, F.get("quantiles", F.lit(0)).alias("median"))
-    return base.join(checked_broadcast(medians), source, "left")
+    return base.join(medians, source, "left")
 
 
 def category_coverage_by_source(df: DataFrame, column: str, source: str = "Database_name") -> DataFrame:

@@ -1,13 +1,11 @@
-"""Session settings, the shared work folder, and size-checked broadcasts."""
+"""Session settings and the shared work folder."""
 
 from __future__ import annotations
 
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "hydrofold", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,17 +53,6 @@ def checkpointed(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, proven_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only for a proven or counted size.
-
-    ``proven_rows`` is a bound that follows from the plan (columns x grid cells, say) and saves the count.
-    Beyond ``max_rows`` the frame is returned unhinted and the join shuffles.
-    """
-    if proven_rows is None:
-        proven_rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if proven_rows <= max_rows else df
-
-
 def balanced(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     """Rows dealt out by key ahead of a stage that does much work per row.
 
