@@ -1,6 +1,6 @@
 """Headline queries, timed: prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_QUERIES (comma list), BENCH_RUNS.
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_QUERIES (comma list), BENCH_RUNS, BENCH_WORK.
 Each query is run to its last row through the no-op sink. The cleaned sample table is a query of its own;
 the others read it as written, as they would after acquisition.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from hydrofold import fixtures
@@ -37,6 +38,7 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = session("bench", f"local[{cpus}]", **{
+        "spark.checkpoint.dir": os.environ.get("BENCH_WORK") or tempfile.mkdtemp(prefix="bench-"),
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1 << 20).selectExpr("id % 8 AS k").groupBy("k").count().collect()  # start the executors' threads
