@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .texts import sliced, utf8
 
-SLICE = 2 << 20
-KNOWN_WORDS = 400_000
+SLICE = 1 << 20
+KNOWN_WORDS = 200_000
 # Fixed value: the pattern by which the vocabulary's publisher cuts text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -49,15 +49,15 @@ class Vocabulary:
             self.bytes[i] = token.encode()
         self.rank = np.full(size, -1, np.int64)  # the merge that makes a token; single bytes have none
         self.left, self.right = np.arange(size), np.arange(size)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pairs (as one number) to the token they make
         for rank, merge in enumerate(model["merges"]):
             first, second = (as_bytes(t) for t in (merge.split(" ") if isinstance(merge, str) else merge))
             a, b, made = self.ids[first], self.ids[second], self.ids[first + second]
-            self.merges[a, b] = rank, made
+            self.merges[a << 32 | b] = made
             self.rank[made], self.left[made], self.right[made] = rank, a, b
-        keys = np.array([(a << 32) | b for a, b in self.merges], np.int64)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
-        self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.keys, self.key_ranks = keys[order], self.rank[np.fromiter(self.merges.values(), np.int64, len(self.merges))][order]
         self.longest = max(map(len, self.ids))
         self.sizes = np.array([len(b) for b in self.bytes])
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -105,9 +105,9 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] < len(tokens):
-                merge = self.merges.get((tokens[i], tokens[after[i]]))
-                if merge:
-                    heapq.heappush(heap, (merge[0], i, tokens[i], tokens[after[i]], merge[1]))
+                made = self.merges.get(tokens[i] << 32 | tokens[after[i]])
+                if made is not None:
+                    heapq.heappush(heap, (int(self.rank[made]), i, tokens[i], tokens[after[i]], made))
 
         for i in range(len(tokens)):
             offer(i)
@@ -125,6 +125,15 @@ class Vocabulary:
         return [t for t in tokens if t >= 0]
 
 
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each stretch of ids; bytes that are no UTF-8 become U+FFFD."""
+        sizes = self.sizes[ids]
+        after = np.concatenate(([0], np.cumsum(sizes)))
+        raw = self.data[np.arange(after[-1]) + np.repeat(self.starts[ids] - after[:-1], sizes)].tobytes()
+        cuts = after[offsets].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 class _Encoder:
     """Encodes slices of texts and remembers the words it has met, up to a bound."""
 
@@ -186,14 +195,17 @@ class _Encoder:
         return self.flat[at], after[ends]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens",
+           decoded: str | None = None) -> DataFrame:
     """``df`` plus the token ids of ``text`` as little-endian unsigned 32-bit integers end to end, and their number.
 
     ``vocabulary`` is the path of a byte-level tokenizer file, read by the driver and sent along with the tasks. Null
-    and empty texts have no tokens. Added tokens that occur in a text get their own ids.
+    and empty texts have no tokens. Added tokens that occur in a text get their own ids. ``decoded`` names a column for the
+    text that the ids decode to, as ``decode`` would add it, without another pass.
     """
-    fields = [f for f in df.schema.fields if f.name not in (ids, n_tokens)]
+    fields = [f for f in df.schema.fields if f.name not in (ids, n_tokens, decoded)]
     schema = df.select(*(f"`{f.name}`" for f in fields)).schema.add(ids, "binary").add(n_tokens, "long")
+    schema = schema.add(decoded, "string") if decoded else schema
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))  # of fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
             packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
                 None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))]).cast(pa.binary())
             columns = [batch.column(f.name) for f in fields] + [packed, pa.array(np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), ids, n_tokens])
+            columns += [pa.array(shared.value.texts(flat, offsets), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -218,12 +231,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "dec
         v = shared.value
         for batch in sliced(batches, ids, SLICE):
             data, offsets = utf8(batch.column(ids))
-            flat = np.frombuffer(data.tobytes(), "<u4")
-            sizes = v.sizes[flat]
-            after = np.concatenate(([0], np.cumsum(sizes)))
-            raw = v.data[np.arange(after[-1]) + np.repeat(v.starts[flat] - after[:-1], sizes)].tobytes()
-            cuts = after[offsets // 4].tolist()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+            texts = v.texts(np.frombuffer(data.tobytes(), "<u4"), offsets // 4)
             columns = [batch.column(f.name) for f in fields] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), decoded])
 

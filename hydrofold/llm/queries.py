@@ -50,8 +50,7 @@ def op1_language_id(spark, sf_dir):
 @register()
 def op2_bpe(spark, sf_dir):
     vocabulary = tokenizer_path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded="decoded").select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -23,7 +23,7 @@ LENGTH = 200
 GRAM = 32
 BUCKET_CONTEXTS = 10_000
 BATCH_BYTES = 600_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
