@@ -38,11 +38,11 @@ def _counted(df: DataFrame, by: list[str], value: str, bucket_rows: int) -> Data
     return checkpointed(dealt.withColumn(_BUCKET, F.spark_partition_id()), "value-buckets")
 
 
-def _ranked_in_buckets(cut: DataFrame, offsets: DataFrame, by: list[str], value: str) -> DataFrame:
+def _ranked_in_buckets(cut: DataFrame, offsets: DataFrame, by: list[str], value: str, keep_bucket: bool = False) -> DataFrame:
     """``before`` and ``total`` for the values of the buckets that ``offsets`` holds."""
     joined = cut.join(offsets.drop("_rows"), [*by, _BUCKET])
     running = Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumn("before", F.col(_BASE) + F.sum("n").over(running) - F.col("n")).drop(_BUCKET, _BASE)
+    return joined.withColumn("before", F.col(_BASE) + F.sum("n").over(running) - F.col("n")).drop(_BASE, *([] if keep_bucket else [_BUCKET]))
 
 
 def ranked_values(df: DataFrame, by: list[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -62,9 +62,14 @@ def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column, buc
     cut = _counted(df, by, value, bucket_rows)
     inside = lambda r: (r >= F.col(_BASE)) & (r < F.col(_BASE) + F.col("_rows"))
     offsets = _offsets(cut, by, F.col("n")).withColumn("_wanted", F.filter(ranks, inside)).where(F.size("_wanted") > 0)
-    ranked = _ranked_in_buckets(cut, offsets, by, value)
-    hit = F.filter("_wanted", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    return ranked.select(*by, "total", F.explode(hit).alias("rank"), q(value).cast("double").alias("value"))
+    ranked = _ranked_in_buckets(cut, offsets.drop("_wanted"), by, value, keep_bucket=True)
+    values = ranked.select(*by, _BUCKET, F.col("before").alias("_at"), q(value).cast("double").alias("value"), F.lit(None).cast("long").alias("total"))
+    asked = offsets.select(*by, _BUCKET, F.explode("_wanted").alias("_at"), F.lit(None).cast("double").alias("value"), "total")
+    # The ranks are sorted in between the values of their bucket and take the last value before them.
+    order = Window.partitionBy(*by, _BUCKET).orderBy(F.col("_at"), F.col("value").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (values.unionByName(asked).withColumn("value", F.last("value", True).over(order)).where(F.col("total").isNotNull())
+            .select(*by, "total", F.col("_at").alias("rank"), "value"))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float],
