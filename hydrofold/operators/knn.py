@@ -21,7 +21,7 @@ from ..schema import q
 from ..session import checkpointed
 
 LEAF_ROWS = 128  # of the blocks inside a task
-CELL_ROWS = 4096
+CELL_ROWS = 65_536
 TASK_REQUESTS = 20_000
 # Distances closer than this count as equal and the smaller key wins. Otherwise the last bits of a scaling
 # fitted in another summation order would choose between mirror-image neighbours.
