@@ -270,9 +270,13 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", width: in
 
     A null key comes last; between equal keys a digest of the text decides, and of identical rows one stays.
     """
+    return first_of_each(df, with_components(df, text, key, width, budget), text, key)
+
+
+def first_of_each(df: DataFrame, rows: DataFrame, text: str, key: str) -> DataFrame:
+    """The row of ``df`` with the smallest key of each component in ``rows`` (key, row, component)."""
     name = fresh(df, "_row")
     null = fresh(df, "_null")
-    rows = with_components(df, text, key, width, budget)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("first"))
     kept = first.select(F.col("first.row").alias(name), F.col("first.none").alias(null), F.col("first.key").alias("_kept"))
     marked = df.withColumns({name: F.xxhash64(key, text), null: F.col(key).isNull()})
