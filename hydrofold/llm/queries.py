@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, katz, langid, line_crf, url_filter
+from . import bpe, katz, langid, line_crf, ring, url_filter
 from .cross_polytope import nearest
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, judged
@@ -157,3 +157,12 @@ FROM documents d JOIN copies n ON d.doc_id = n.doc_id JOIN numbers c ON c.copy <
 @register(MIX_SQL)
 def op9_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op13_sharding(spark, sf_dir):
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return ring.place(docs, 16, ties=("size", "text_crc32")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
