@@ -10,7 +10,6 @@ goes where follows from the number of rows in each cell, so a table of at most a
 from __future__ import annotations
 
 import hashlib
-import json
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -79,11 +78,8 @@ def walk(sizes: list[tuple[int, int, int]], owner: list[int], room: list[int]) -
 
 
 def _small(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    """Whole numbers of the driver as a table that the JVM parses."""
-    columns = names.split()
-    text = json.dumps([dict(zip(columns, row)) for row in rows])
-    kind = "array<struct<" + ",".join(f"{c}:bigint" for c in columns) + ">>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    """Whole numbers of the driver as a written table, so that plans do not carry them along."""
+    return checkpointed(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names.split())), "ring-plan")
 
 
 def place(df: DataFrame, shards: int, key: str = "doc_id", ties: tuple[str, ...] = (), shard: str = "shard", slot: str = "slot",
