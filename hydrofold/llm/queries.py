@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, katz, langid, line_crf, ring, url_filter
 from .cross_polytope import nearest
+from .hard_negatives import mine
 from .mixing import mix
 from .quality_rules import RULES, STOP_WORDS, judged
 from .simhash import with_components
@@ -159,6 +160,28 @@ def op9_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+NEGATIVES_SQL = """
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, u.vec_id AS other, a.label = u.label AS same, CAST(list_inner_product(a.v, u.v) AS BIGINT) AS score
+      FROM u a JOIN u ON a.vec_id <> u.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@register(NEGATIVES_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @register()
 def op13_sharding(spark, sf_dir):
     text = F.coalesce("text", F.lit("")).cast("binary")
