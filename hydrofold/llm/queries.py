@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, katz, langid, line_crf, ring, url_filter
+from . import alignment, bpe, katz, langid, line_crf, ring, url_filter
 from .cross_polytope import nearest
 from .hard_negatives import mine
 from .mixing import mix
@@ -189,3 +189,9 @@ def op13_sharding(spark, sf_dir):
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return ring.place(docs, 16, ties=("size", "text_crc32")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register()
+def op11_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.scored(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).withColumnRenamed("groups", "groups_sha256")
