@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,19 @@ from .texts import sliced, utf8
 #: Text of so many characters is aligned at once; longer documents are carried on from one stretch to the next.
 STRETCH = 1 << 20
 #: Words of a row of the lockstep merge.
-ROW_WORDS = 96
+ROW_WORDS = 32
 #: Distinct pairs of all documents of a chunk.
 CHUNK_LINKS = 1 << 20
-KNOWN_WORDS = 150_000
-KNOWN_CHARACTERS = 4 << 20
+#: New words that B takes at once; it is slower on longer texts.
+RUN_WORDS = 64
+KNOWN_WORDS = 250_000
+KNOWN_CHARACTERS = 8 << 20
 #: A group of more links than this is counted by its distinct tokens instead of link by link.
 LARGE_GROUP = 1 << 12
 SLICE = 1 << 20
 CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Words that a space does not part from their neighbours in both tokenizations, or that B does not give back.
+LONE = re.compile(r"^\s|▁|\s$")
 #: The pattern's publisher's library cannot match longer runs of white space.
 LONG_SPACE = re.compile(r"\s{1000}")
 
@@ -69,28 +74,69 @@ class _Pair:
         self.plain = Tokenizer.from_str(files.vocabulary)
         self.plain.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
-        self.a_bytes = {i: token for token, i in files.ranks.items()}
+        a_bytes = [b""] * (1 + max(files.ranks.values()))
+        for token, i in files.ranks.items():
+            a_bytes[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_size = np.zeros(1 + max(self.a_bytes), np.int64)
-        for i, token in self.a_bytes.items():
-            self.a_size[i] = len(token)
-        self.b_size = np.array([len(p) for p in self.b_bytes], np.int64)
-
-    def words(self, words: list[str]) -> tuple[list, list]:
-        """A and B ids of each word with the space before it; none of either where the bytes of one differ from it."""
-        a = [self._a(" " + w) for w in words]
-        b = [np.array(ids, np.uint32) for ids in self.b.encode(words, num_threads=1)]
-        for i, (x, y, w) in enumerate(zip(a, b, words)):
-            whole = b" " + w.encode()
-            if b"".join(map(self.a_bytes.__getitem__, x.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, y.tolist())) != whole:
-                a[i] = b[i] = np.zeros(0, np.uint32)
-        return a, b
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = a_bytes, b_bytes
+        self.size = tuple(np.array([len(t) for t in side], np.int64) for side in self.bytes)
+        self.start = tuple(np.cumsum(size) - size for size in self.size)
+        self.data = tuple(np.frombuffer(b"".join(side), np.uint8) for side in self.bytes)
+
+    def words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B, the ids of each word with the space before it end to end, and each word's number of ids.
+
+        A word has none in either where the bytes of one differ from it. Words are encoded as one text, in which
+        spaces join them as they do in texts, and by themselves where a space would not part them from their neighbours.
+        """
+        odd = np.array([LONE.search(w) is not None or LONG_SPACE.search(w) is not None for w in words])
+        joined = self._joined([w for w, o in zip(words, odd) if not o])
+        if joined is None:
+            odd[:] = True
+            joined = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * 2
+        if not odd.any():
+            return joined
+        alone = [self._alone(w) for w, o in zip(words, odd) if o]
+        found = []
+        for side, (ids, sizes) in enumerate(joined):
+            all_sizes = np.zeros(len(words), np.int64)
+            all_sizes[~odd], all_sizes[odd] = sizes, [len(x[side]) for x in alone]
+            first = np.cumsum(all_sizes) - all_sizes
+            flat, owner = np.zeros(all_sizes.sum(), np.uint32), np.repeat(odd, all_sizes)
+            flat[~owner] = ids
+            for at, x in zip(first[odd], alone):
+                flat[at:at + len(x[side])] = x[side]
+            found.append((flat, all_sizes))
+        return found
+
+    def _joined(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        if not words:
+            return [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * 2
+        text = " ".join(words)
+        whole = np.frombuffer(b" " + text.encode(), np.uint8)
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        found = []
+        runs = self.b.encode([" ".join(words[at:at + RUN_WORDS]) for at in range(0, len(words), RUN_WORDS)], num_threads=1)
+        for side, ids in enumerate((self.a.encode_to_numpy(" " + text, disallowed_special=()), np.fromiter(chain.from_iterable(runs), np.uint32))):
+            size, start = self.size[side][ids], self.start[side][ids]
+            token_ends = np.cumsum(size)
+            if token_ends[-1] != len(whole) or not np.array_equal(self.data[side][np.arange(len(whole)) + np.repeat(start - token_ends + size, size)], whole):
+                return None
+            found.append((ids, np.diff(np.searchsorted(token_ends, ends, side="right"), prepend=0)))
+        return found
+
+    def _alone(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._a(word), np.array(self.b.encode(word, num_threads=1), np.uint32)
+        whole = b" " + word.encode()
+        if any(b"".join(map(names.__getitem__, x.tolist())) != whole for names, x in zip(self.bytes, ids)):
+            return (np.zeros(0, np.uint32),) * 2
+        return ids
 
     def _a(self, word: str) -> np.ndarray:
-        if len(word) > 1000 and LONG_SPACE.search(word):
-            return np.array(self.plain.encode(word, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.a.encode_ordinary(word), np.uint32)
+        if LONG_SPACE.search(word):
+            return np.array(self.plain.encode(" " + word, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.a.encode_ordinary(" " + word), np.uint32)
 
 
 class _Words:
@@ -112,14 +158,12 @@ class _Words:
             self.forget()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            for side, ids in enumerate(self.pair.words(new)):
-                sizes = np.array([len(x) for x in ids], np.int64)
+            for side, (ids, sizes) in enumerate(self.pair.words(new)):
                 self.starts[side] = np.concatenate((self.starts[side], len(self.flat[side]) + np.cumsum(sizes) - sizes))
                 self.sizes[side] = np.concatenate((self.sizes[side], sizes))
-                self.flat[side] = np.concatenate((self.flat[side], *ids))
-            for w in new:
-                self.known[w] = len(self.known)
-                self.characters += len(w)
+                self.flat[side] = np.concatenate((self.flat[side], ids))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.characters += sum(map(len, new))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def tokens(self, which: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +279,8 @@ class _Aligner:
         self.pair = _pair(files)
         self.words = _Words(self.pair)
         self.keep_text = keep_text
-        self.n_b_ids = len(self.pair.b_size)
-        self.digits = _digits(max(len(self.pair.a_size), self.n_b_ids))
+        self.n_b_ids = len(self.pair.size[1])
+        self.digits = _digits(max(len(self.pair.size[0]), self.n_b_ids))
 
     def __call__(self, stretches: list[tuple[_Document, list[str], bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Adds a stretch to each document's sums and groups; (document's number, pair, links) of the distinct pairs of each."""
@@ -258,7 +302,7 @@ class _Aligner:
         first = np.concatenate([np.arange(e - n + 1, e + 1, ROW_WORDS) for e, n in zip(last, n_words)])  # rows' first words
         row_ends = np.append(first[1:], len(which))
         before = lambda e: np.where(first > 0, e[first - 1], 0)
-        merged = lockstep(a_ids, b_ids, np.cumsum(self.pair.a_size[a_ids]), np.cumsum(self.pair.b_size[b_ids]),
+        merged = lockstep(a_ids, b_ids, np.cumsum(self.pair.size[0][a_ids]), np.cumsum(self.pair.size[1][b_ids]),
                           before(a_ends), before(b_ends), a_ends[row_ends - 1])
         a_group, b_group = (np.cumsum(e) - e for e in (merged.a_ends, merged.b_ends))
         group_of = np.cumsum(merged.a_ends)[a_of - 1]  # groups up to each stretch's end
@@ -270,7 +314,7 @@ class _Aligner:
             stretches[i][0].sums[:3] += sums
         for i, n in zip(good, links):
             stretches[i][0].sums[3] += n
-        pairs = len(self.pair.a_size) * self.n_b_ids
+        pairs = len(self.pair.size[0]) * self.n_b_ids
         local = owner * pairs + a_ids[of] * self.n_b_ids + b_ids[at]
         if times.max() == 1:
             distinct, counts = np.unique(local, return_counts=True)
