@@ -12,6 +12,7 @@ from .registry import register, rounded, r
 
 COLUMNS = ["na", "ca", "ph", "temperature"]
 SCALED = [f"{c}_s" for c in COLUMNS]
+KEY = "sample_id"
 
 
 def _book(size: int) -> som.Codebook:
@@ -49,7 +50,21 @@ assigned{tag} AS (SELECT s.*, (a.cell // {size})::INT AS som_x, (a.cell % {size}
 MAP = map_sql()
 
 
-@register("SELECT sample_id, som_x, som_y, distance, second_touches FROM assigned", MAP)
+def _assign_sql() -> tuple[str, str]:
+    """Best and second cell of each sample out of one list of distances a row."""
+    book = _book(4)
+    cells = "[" + ", ".join("[" + ", ".join(f"{float(w)!r}::DOUBLE" for w in row) + "]" for row in book.weights) + "]"
+    touching = "[" + ", ".join("[" + ", ".join(str(bool(t)).lower() for t in row) + "]" for row in book.neighbours()) + "]"
+    square = " + ".join(f"({c} - w[{i + 1}]) * ({c} - w[{i + 1}])" for i, c in enumerate(SCALED))
+    ctes = MAP.split(",\nbook(")[0] + f""",
+measured AS (SELECT sample_id, list_transform({cells}, lambda w: {square}) AS d2 FROM scaled),
+firsts AS (SELECT *, list_position(d2, list_min(d2)) AS a FROM measured),
+seconds AS (SELECT *, list_transform(d2, lambda x, i: CASE WHEN i = a THEN 'infinity'::DOUBLE ELSE x END) AS others FROM firsts)"""
+    return ("SELECT sample_id, ((a - 1) // 4)::INT AS som_x, ((a - 1) % 4)::INT AS som_y, sqrt(d2[a]) AS distance, "
+            f"({touching})[a][list_position(others, list_min(others))] AS second_touches FROM seconds"), ctes
+
+
+@register(*_assign_sql())
 def som_assign(spark, d):
     return assigned(spark, d).select("sample_id", "som_x", "som_y", "distance", "second_touches")
 
@@ -82,8 +97,7 @@ influence AS (SELECT p.cell, o.cell AS other, exp(-((p.px - o.px) * (p.px - o.px
 def som_pass(spark, d):
     """One training pass from a fixed codebook."""
     book = som.som_fit(_scaled(spark, d).select("sample_id", *SCALED), SCALED, epochs=1, start=_book(4))
-    rows = [(i // 4, i % 4, *map(float, w)) for i, w in enumerate(book.weights)]
-    return rounded(spark.createDataFrame(rows, "som_x int, som_y int, " + ", ".join(f"{c} double" for c in SCALED)), *SCALED)
+    return _book_rows(spark, book)
 
 
 @register()
@@ -94,6 +108,56 @@ def som_fit(spark, d):
     return som.som_assign(df, book).select("sample_id", "som_x", "som_y", "distance")
 
 
+_ONLINE = {"passes": 1, "rounds": 40, "shards": 3, "seed": 42}
+
+
+def _online_sql() -> tuple[str, str]:
+    """The first round of online training, as a walk through each shard's visits; cells are lists in one row a shard."""
+    d, book, decay, cells = len(SCALED), _book(4), som.Decay(), 16
+    digest = lambda text: f"CAST(concat('0x', substr(md5({text}), 1, 13)) AS BIGINT)"
+    start = "[" + ", ".join("[" + ", ".join(f"{float(w)!r}::DOUBLE" for w in row) + "]" for row in book.weights) + "]"
+    p = book.positions()
+    grid = "[" + ", ".join("[" + ", ".join(f"{float(((a - b) ** 2).sum())!r}::DOUBLE" for b in p) + "]" for a in p) + "]"
+    gaps = " + ".join(f"(v.x[{j}] - c[{j}]) * (v.x[{j}] - c[{j}])" for j in range(1, d + 1))
+    moved = ", ".join(f"c[{j}] + h[i] * (n.x[{j}] - c[{j}])" for j in range(1, d + 1))
+    ctes = MAP + f""",
+visits AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY t, {', '.join(f'x[{j}]' for j in range(1, d + 1))}) AS k, x,
+    {decay.rate}e0 * pow({decay.last_rate}e0 / {decay.rate}e0, t) AS a, {decay.sigma}e0 * pow({decay.last_sigma!r}e0 / {decay.sigma}e0, t) AS width
+  FROM (SELECT {digest("concat('42:', sample_id)")} % {_ONLINE['shards']} AS shard, {digest("concat('42:0:', sample_id)")} / 4503599627370496e0 AS t,
+        [{', '.join(SCALED)}] AS x FROM scaled)
+  WHERE t < 1e0 / {_ONLINE['rounds']}),
+walk AS (
+  WITH RECURSIVE steps AS (
+    SELECT shard, 0::BIGINT AS k, {start} AS w, list_transform(range({cells}), lambda i: 0e0) AS mass FROM (SELECT DISTINCT shard FROM visits)
+    UNION ALL
+    SELECT n.shard, n.k, list_transform(n.w, lambda c, i: [{moved}]), list_transform(n.mass, lambda m, i: m + h[i])
+    FROM (SELECT v.shard, v.k, v.x, s.w, s.mass, list_transform({grid}[list_position(g.gaps, list_min(g.gaps))], lambda e: v.a * exp(-e / (2 * v.width * v.width))) AS h
+          FROM steps s JOIN visits v ON v.shard = s.shard AND v.k = s.k + 1,
+          LATERAL (SELECT list_transform(s.w, lambda c: {gaps}) AS gaps) g) n)
+  SELECT * FROM steps),
+ends AS (SELECT w, mass FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY k DESC) AS last FROM walk) WHERE last = 1)"""
+    means = ", ".join(f"{r(f'sum(mass[cell] * w[cell][{j + 1}]) / sum(mass[cell])')} AS {c}" for j, c in enumerate(SCALED))
+    return f"SELECT ((cell - 1) // 4)::INT AS som_x, ((cell - 1) % 4)::INT AS som_y, {means} FROM ends, range(1, {cells + 1}) g(cell) GROUP BY cell", ctes
+
+
+def _book_rows(spark, book):
+    rows = [(i // book.y, i % book.y, *map(float, w)) for i, w in enumerate(book.weights)]
+    return rounded(spark.createDataFrame(rows, "som_x int, som_y int, " + ", ".join(f"{c} double" for c in SCALED)), *SCALED)
+
+
+@register(*_online_sql())
+def som_online_round(spark, d):
+    """The first of forty rounds of online training from a fixed codebook, in three shards."""
+    visits = som.online_visits(_scaled(spark, d), KEY, SCALED, _ONLINE["passes"], _ONLINE["shards"], _ONLINE["seed"])
+    return _book_rows(spark, som.online_round(visits, _book(4), 0.0, 1 / _ONLINE["rounds"], _ONLINE["passes"]))
+
+
+@register()
+def som_fit_online(spark, d):
+    df = _scaled(spark, d).select(KEY, *SCALED)
+    return som.som_assign(df, som.som_fit_online(df, KEY, SCALED)).select(KEY, "som_x", "som_y", "distance")
+
+
 @register()
 def som_sweep_(spark, d):
     return som_sweep(samples(spark, d), {"base": BASE, "base_ph": [*BASE, "ph"]})

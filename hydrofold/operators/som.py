@@ -1,7 +1,12 @@
-"""Self-organizing map: a distributed batch fit, assignment, and its quality measures.
+"""Self-organizing map: batch and online training, assignment, and quality measures.
 
-A training pass is one job: each task finds the best cell of its rows and adds them up per cell; at most
+A batch pass is one job: each task finds the best cell of its rows and adds them up per cell; at most
 ``x * y`` partial sums leave a task. The codebook (cells x features) lives on the driver.
+
+Online training moves the map row by row. Rows are dealt by a digest of their key to shards of a fixed size, and a
+digest also says when a row is visited. A round is one job: every shard starts from the round's codebook, makes its
+steps in the order of their times, and returns each cell's weights with the mass of all pulls on it; the next codebook
+is the mean by mass. Sums are decimals, so the map depends on rows, keys and seed, not on partitions.
 """
 
 from __future__ import annotations
@@ -21,6 +26,14 @@ from .features import pca
 GRID = (4, 4)
 SIGMA = 2.0
 EPOCHS = 20
+# fixed values: learning rate and least number of steps of online training
+RATE = 0.9
+STEPS = 100_000
+#: Online rows of a shard, rounds of a training, and what rate and width fall to.
+SHARD_ROWS = 8192
+ROUNDS = 20
+LAST_RATE = 0.01
+LAST_SIGMA = 1.0 / 3.0
 
 
 @dataclass(frozen=True)
@@ -125,6 +138,93 @@ def som_fit(df: DataFrame, columns: list[str], x: int = GRID[0], y: int = GRID[1
     return som_fit_sizes(df, columns, [(x, y)], sigma, epochs, [start] if start else None)[0]
 
 
+@dataclass(frozen=True)
+class Decay:
+    """Learning rate and width as functions of the share of training that is done: geometric from first to last value."""
+
+    rate: float = RATE
+    sigma: float = SIGMA
+    last_rate: float = LAST_RATE
+    last_sigma: float = LAST_SIGMA
+
+    def at(self, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.rate * (self.last_rate / self.rate) ** done, self.sigma * (self.last_sigma / self.sigma) ** done
+
+
+def online_steps(weights: np.ndarray, rows: np.ndarray, grid: np.ndarray, rate: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after pulling the map to one row after another, and the mass of all pulls on each cell."""
+    weights, mass = weights.copy(), np.zeros(len(weights))
+    spread = -0.5 / sigma ** 2
+    for x, a, width in zip(rows, rate, spread):
+        gap = x - weights
+        pull = a * np.exp(width * grid[(gap * gap).sum(axis=1).argmin()])
+        weights += pull[:, None] * gap
+        mass += pull
+    return weights, mass
+
+
+def online_visits(df: DataFrame, key: str, columns: list[str], passes: int, shards: int, seed: int) -> DataFrame:
+    """(shard, time, x): each complete row once in every pass, at a time and in a shard that digests of its key name."""
+    part = lambda text: F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+    name = q(key).cast("string")
+    times = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: p + part(F.concat(F.lit(f"{seed}:"), p.cast("string"), F.lit(":"), name)) / F.lit(float(1 << 52)))
+    return df.dropna("any", subset=columns).select(
+        F.pmod(part(F.concat(F.lit(f"{seed}:"), F.coalesce(name, F.lit("")))), F.lit(shards)).alias("shard"),
+        F.explode(times).alias("time"), F.array(*[q(c).cast("double") for c in columns]).alias("x"))
+
+
+def online_round(visits: DataFrame, book: Codebook, start: float, end: float, passes: int, decay: Decay = Decay()) -> Codebook:
+    """The codebook after the visits in [start, end): each shard's own steps, averaged by the mass of their pulls.
+
+    A cell that no row has pulled stays where it is.
+    """
+    p = book.positions()
+    grid, d = ((p[:, None] - p[None]) ** 2).sum(axis=2), len(book.columns)
+    names = [f"s{j}" for j in range(d)]
+
+    def steps(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows, time = table.column("x").chunk(0).flatten().to_numpy().reshape(-1, d), table.column("time").to_numpy()
+        order = np.lexsort((*rows.T[::-1], time))  # equal times: by value
+        weights, mass = online_steps(book.weights, rows[order], grid, *decay.at(time[order] / passes))
+        return pa.table({"cell": pa.array(np.arange(len(mass), dtype=np.int32)), **{n: mass * weights[:, j] for j, n in enumerate(names)}, "mass": mass})
+
+    schema = "cell int, " + ", ".join(f"{n} double" for n in [*names, "mass"])
+    moved = visits.where((F.col("time") >= start) & (F.col("time") < end)).groupBy("shard").applyInArrow(steps, schema)
+    exact = [F.sum(F.col(n).cast("decimal(38,18)")).cast("double").alias(n) for n in [*names, "mass"]]
+    found = moved.groupBy("cell").agg(*exact).toPandas().sort_values("cell")  # a row for each cell
+    if found.empty:
+        return book
+    mass = found["mass"].to_numpy()[:, None]
+    weights = np.where(mass > 1e-12, found[names].to_numpy() / np.maximum(mass, 1e-12), book.weights)
+    return Codebook(book.columns, book.x, book.y, weights)
+
+
+def som_fit_online(df: DataFrame, key: str, columns: list[str], x: int = GRID[0], y: int = GRID[1], decay: Decay = Decay(),
+                   steps: int = STEPS, rounds: int = ROUNDS, seed: int = 42, shard_rows: int = SHARD_ROWS, start: Codebook | None = None) -> Codebook:
+    """Online training on complete rows, which should be scaled: every row is visited equally often, in at least ``steps``
+    visits altogether and at least once.
+
+    A table of up to ``shard_rows`` rows is trained row by row in one sequence; larger ones in as many sequences as
+    there are shards, joined after each of ``rounds`` rounds. Rows that share a key are visited at the same times, in
+    the order of their values; null keys are one key.
+    """
+    complete = df.select(key, *[q(c) for c in columns]).dropna("any", subset=columns)
+    rows = complete.count()
+    if not rows:
+        raise ValueError("no rows to train on")
+    book = start or plane_codebook(complete, columns, x, y)
+    passes, shards = -(-steps // rows) if steps > rows else 1, -(-rows // shard_rows)
+    visits = online_visits(complete.withColumn(key, F.coalesce(q(key).cast("string"), F.lit(""))), key, columns, passes, shards, seed)
+    visits = visits.repartition(shards, "shard").persist()
+    try:
+        for number in range(rounds):
+            book = online_round(visits, book, passes * number / rounds, passes * (number + 1) / rounds, passes, decay)
+    finally:
+        visits.unpersist()
+    return book
+
+
 def som_assign(df: DataFrame, book: Codebook) -> DataFrame:
     """Add som_x, som_y, distance to the best cell, and whether the second best touches it; ties take the first cell."""
     weights, height, touching = book.weights, book.y, book.neighbours()

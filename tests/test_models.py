@@ -76,6 +76,43 @@ def test_map_training_improves_and_repeats(blobs):
     assert error(larger) < error(book)
 
 
+def test_online_map(blobs):
+    df, _ = blobs
+    rows = features.min_max_scale(df, features.min_max(df, ["a", "b"]), "_s").select("id", "a_s", "b_s").persist()
+    error = lambda book: som.som_quality(som.som_assign(rows, book)).first()["quantization_error"]
+    batch = som.som_fit(rows, ["a_s", "b_s"], 3, 3)
+    for shard_rows in (8192, 150):
+        fit = lambda table: som.som_fit_online(table, "id", ["a_s", "b_s"], 3, 3, steps=8000, rounds=8, shard_rows=shard_rows)  # noqa: E731, B023
+        book = fit(rows)
+        assert error(book) < 1.05 * error(batch)
+        again = fit(rows.repartition(7, "b_s").withColumn("id", F.col("id").cast("string")))
+        assert (book.weights == again.weights).all()
+    gaps = rows.unionByName(rows.limit(3).withColumn("a_s", F.lit(None).cast("double")))
+    few = lambda table: som.som_fit_online(table, "id", ["a_s", "b_s"], 2, 2, steps=1, rounds=2, start=som.grid_codebook(["a_s", "b_s"], 2, 2)).weights
+    assert (few(gaps) == few(rows)).all()
+    keyless = rows.withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")))
+    assert np.isfinite(few(keyless.unionAll(keyless))).all()
+    with pytest.raises(ValueError, match="no rows"):
+        som.som_fit_online(rows.limit(0), "id", ["a_s", "b_s"], 2, 2)
+
+
+def test_online_steps_are_the_plain_rule():
+    rng = np.random.default_rng(1)
+    rows, book = rng.random((30, 3)), som.grid_codebook(["a", "b", "c"], 3, 2)
+    p = book.positions()
+    rate, sigma = som.Decay().at(np.linspace(0, 1, 30))
+    assert np.allclose([rate[0], rate[-1], sigma[0], sigma[-1]], [0.9, 0.01, 2, 1 / 3])
+    got, mass = som.online_steps(book.weights, rows, ((p[:, None] - p[None]) ** 2).sum(axis=2), rate, sigma)
+    w, total = book.weights.copy(), np.zeros(6)
+    for x, a, s in zip(rows, rate, sigma):
+        best = min(range(6), key=lambda c: sum((x - w[c]) ** 2))
+        for c in range(6):
+            h = a * math.exp(-sum((p[c] - p[best]) ** 2) / (2 * s * s))
+            w[c] += h * (x - w[c])
+            total[c] += h
+    assert np.allclose(got, w) and np.allclose(mass, total)
+
+
 def test_hexagonal_neighbours():
     near = som.grid_codebook(["a"], 3, 3).neighbours()
     assert near[4].sum() == 6 and (near == near.T).all()
