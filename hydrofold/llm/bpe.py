@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from .texts import sliced, utf8
 
 SLICE = 1 << 20
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+#: Failing words of up to so many bytes are merged side by side, so many at once.
+SHORT = 32
+SIDE_BY_SIDE = 20_000
+NEVER = np.iinfo(np.int64).max
 # Fixed value: the pattern by which the vocabulary's publisher cuts text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -57,8 +61,13 @@ class Vocabulary:
             self.rank[made], self.left[made], self.right[made] = rank, a, b
         keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
-        self.keys, self.key_ranks = keys[order], self.rank[np.fromiter(self.merges.values(), np.int64, len(self.merges))][order]
-        self.longest = max(map(len, self.ids))
+        self.keys, self.key_made = keys[order], np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
+        self.key_ranks = self.rank[self.key_made]
+        self.reach: dict[bytes, int] = {}  # three bytes to the length of the longest token that they begin
+        for token in self.ids:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
+        self.single = np.array([self.ids[bytes([i])] for i in range(256)], np.int64)
         self.sizes = np.array([len(b) for b in self.bytes])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -67,7 +76,7 @@ class Vocabulary:
         """The longest token at each place, from the left."""
         ids, found, at, n = self.ids, [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + self.reach.get(word[at:at + 3], 2)), at, -1):
                 token = ids.get(word[at:end])
                 if token is not None:
                     found.append(token)
@@ -97,6 +106,60 @@ class Vocabulary:
             a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
         return good
 
+    def merged_all(self, words: list[bytes]) -> list[list[int]]:
+        """``merged`` of many words: short ones of about one length are merged side by side, a step of each at a time."""
+        found: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words])
+        lower = 0
+        for upper in (8, 16, SHORT):
+            some = np.flatnonzero((sizes > lower) & (sizes <= upper))
+            for at in range(0, len(some), SIDE_BY_SIDE):
+                part = some[at:at + SIDE_BY_SIDE].tolist()
+                for i, tokens in zip(part, self._side_by_side([words[i] for i in part], upper)):
+                    found[i] = tokens
+            lower = upper
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            found[i] = self.merged(words[i])
+        return found
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair's merge and the token it makes; pairs that no merge joins come last."""
+        key = (a << 32) | b
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        none = (self.keys[place] != key) | (a < 0) | (b < 0)
+        return np.where(none, NEVER, self.key_ranks[place]), self.key_made[place]
+
+    def _side_by_side(self, words: list[bytes], width: int) -> list[list[int]]:
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        places = np.arange(width)
+        tokens = np.where(places < np.array([len(w) for w in words])[:, None], self.single[letters], -1)
+        out = tokens.copy()
+        rows = np.arange(len(words))
+        ranks, made = self._made(tokens[:, :-1], tokens[:, 1:])
+        while len(rows):
+            at = ranks.argmin(axis=1)  # the leftmost of the lowest
+            each = np.arange(len(rows))
+            going = ranks[each, at] < NEVER
+            out[rows[~going]] = tokens[~going]
+            rows, tokens, ranks, made, at = rows[going], tokens[going], ranks[going], made[going], at[going]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            new = made[each, at]
+            later = np.minimum(places + (places > at[:, None]), width - 1)
+            ended = at < width - 1
+            tokens = np.take_along_axis(tokens, later, axis=1)
+            tokens[ended, -1] = -1
+            tokens[each, at] = new
+            ranks, made = (np.take_along_axis(x, later[:, :-1].clip(max=width - 2), axis=1) for x in (ranks, made))
+            ranks[:, -1] = NEVER
+            for side in (at - 1, at):
+                fits = (side >= 0) & (side < width - 1)
+                i, j = each[fits], side[fits]
+                ranks[i, j], made[i, j] = self._made(tokens[i, j], tokens[i, j + 1])
+        sizes = (out >= 0).sum(axis=1)
+        return [row[:n] for row, n in zip(out.tolist(), sizes.tolist())]
+
     def merged(self, word: bytes) -> list[int]:
         """Merging step by step, lowest rank first and leftmost among equals."""
         tokens = [self.ids[word[i:i + 1]] for i in range(len(word))]
@@ -124,7 +187,6 @@ class Vocabulary:
             offer(i)
         return [t for t in tokens if t >= 0]
 
-
     def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The text of each stretch of ids; bytes that are no UTF-8 become U+FFFD."""
         sizes = self.sizes[ids]
@@ -158,8 +220,9 @@ class _Encoder:
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
         good = v.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        for i in np.unique(owner[inner[~good[which]]]).tolist():
-            tokens[i] = v.merged(raw[i])
+        failing = np.unique(owner[inner[~good[which]]]).tolist()
+        for i, exact in zip(failing, v.merged_all([raw[i] for i in failing])):
+            tokens[i] = exact
         sizes = np.array([len(t) for t in tokens])
         for w in words:
             self.known[w] = len(self.known)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,8 +22,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]] if len(column) else data[:0], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives unused memory of this worker back; a worker that is used again would keep what its last task needed most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut at row boundaries into slices of about ``most`` bytes of ``column``; a longer text is a slice of its own."""
+    release()
+    try:
+        yield from _sliced(batches, column, most)
+    finally:
+        release()
+
+
+def _sliced(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

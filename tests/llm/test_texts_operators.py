@@ -1,6 +1,7 @@
 """BPE, language identification, quality rules, the line model and mixing, on the messy table."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,14 @@ def test_pairs_are_judged_as_the_merges_do(spark):
     assert v.compatible(a, b).tolist() == merged and 0 < sum(merged) < 400
 
 
+def test_merging_side_by_side_equals_step_by_step():
+    v, rng = bpe.Vocabulary(VOCABULARY), random.Random(1)
+    words = [bytes(rng.choice(b"aeiourstnlmhcdp ") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    words += [bytes(rng.randrange(256) for _ in range(rng.randint(1, 33))) for _ in range(1000)]
+    words += [letter * n for letter in (b"a", b"\0", b" ") for n in range(1, 40)]
+    assert v.merged_all(words) == [v.merged(w) for w in words] and v.merged_all([]) == []
+
+
 def test_special_tokens_and_odd_white_space(spark):
     library = Tokenizer.from_file(VOCABULARY)
     texts = ["<|endoftext|>", " a  <|endoftext|>  b", "\0<|endoftext|>\x1c\x85\u2003 x", "aaaa" * 900, "don't  'LL 12³"]
