@@ -11,11 +11,11 @@ from ..operators.filters import any_present
 from ..operators.joins import cross_masks as cross
 from ..operators.vae import VaeModel, VaeParams, vae_cross_validate as cross_validate, vae_impute as impute_with
 from ..plans import imputation as study
-from ..schema import q
+from ..schema import BASE_FEATURES, PINNED_LABELS, feature_sets, q
 from ..session import workspace
 from ..sources import tables
 from ..streaming import metrics as stream
-from .features import SPLIT_SQL
+from .features import SHORT, SPLIT_SQL
 from .registry import register, rounded, r
 
 KNN_COLUMNS = ["na", "mg", "ca", "fe", "ph"]
@@ -35,13 +35,13 @@ nearest AS (SELECT sample_id, target, min({{'distance': round(sqrt({_D}e0 / comm
   FROM pairs WHERE common > 0 GROUP BY 1, 2)"""
 
 
-@register(f"""SELECT sample_id, target, generate_subscripts(best, 1)::INT AS rank, unnest(best).donor AS donor, {r('unnest(best).distance')} AS distance
+@register(f"""SELECT sample_id, target, generate_subscripts(best, 1)::INT AS rank, unnest(best).donor AS donor, unnest(best).distance AS distance
   FROM nearest""", _knn_sql())
 def knn_join(spark, d):
     df = samples(spark, d)
     requests = knn.impute_requests(df, KEY, KNN_COLUMNS)
     joined = knn.knn_join(requests, df.select(q(KEY).alias("donor_id"), knn.vector(KNN_COLUMNS).alias("y")), _D)
-    return rounded(knn.neighbour_rows(joined, [KEY, "target"]), "distance")
+    return knn.neighbour_rows(joined, [KEY, "target"])
 
 
 @register("SELECT sample_id, " + ", ".join(
@@ -325,17 +325,54 @@ def vae_benchmark(spark, d):
     return _named(study.vae_benchmark(df, KEY, study.train_vae(df, KEY, BASE, folds=0)))
 
 
+def _sets(spark, d, max_extra: int) -> dict[str, list[str]]:
+    """The feature sets that availability ranks, by their columns in the sample table."""
+    return study.available_sets(samples(spark, d), list(BASE_FEATURES), resolve=SHORT.get, max_extra=max_extra)
+
+
+def _sets_sql(max_extra: int) -> list[tuple[str, list[str]]]:
+    """All sets with a column for every feature, by label; equal sets of columns once, as pinned or listed first."""
+    listed = sorted(enumerate(feature_sets(max_extra=max_extra)), key=lambda s: (PINNED_LABELS.index(s[1][0]) if s[1][0] in PINNED_LABELS else len(PINNED_LABELS), s[0]))
+    found: dict[str, list[str]] = {}
+    for _, (label, extra) in listed:
+        columns = [SHORT.get(f) for f in [*BASE_FEATURES, *extra]]
+        if all(columns) and sorted(columns) not in map(sorted, found.values()):
+            found[label] = columns
+    return list(found.items())
+
+
+def _statistics_sql() -> str:
+    """One SELECT a set: its complete training rows, clipped at their quantiles, and what is left of them."""
+    selects = []
+    for label, columns in _sets_sql(2):
+        complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+        for c in columns:
+            selects.append(
+                f"SELECT '{label}' AS label, '{c}' AS feature, count(*) AS n, {r('min(l)')} AS low, {r('min(h)')} AS high, "
+                f"{r('avg(least(greatest(v, l), h))')} AS mean, {r('stddev_pop(least(greatest(v, l), h))')} AS scale FROM (SELECT {c} AS v, "
+                f"quantile_cont({c}, 0.02) OVER () AS l, quantile_cont({c}, 0.98) OVER () AS h FROM split WHERE split = 'Train' AND {complete})")
+    return " UNION ALL ".join(f"({s} HAVING count(*) > 0)" for s in selects)
+
+
+@register(_statistics_sql(), SPLIT_SQL.replace("split AS (", "split AS MATERIALIZED ("))
+def set_statistics(spark, d):
+    """What every available set's model is fitted on: rows, clipping bounds and scaling."""
+    found = study.set_statistics(samples(spark, d), KEY, _sets(spark, d, 2))
+    rows = [(label, c, s.n, *s.bounds[c], s.scaling.mean[i], s.scaling.scale[i]) for label, s in found.items() for i, c in enumerate(s.scaling.columns)]
+    table = spark.createDataFrame(rows, "label string, feature string, n long, low double, high double, mean double, scale double")
+    return rounded(table, "low", "high", "mean", "scale")
+
+
 @register()
 def imputation_study(spark, d):
     root = workspace(spark, "study")
-    sets = {"Base_without_pH": BASE, "Base_with_pH": [*BASE, "ph"]}
-    tables.write_run_metadata(study.imputation_study(samples(spark, d), KEY, sets), root)
+    tables.write_run_metadata(study.imputation_study(samples(spark, d), KEY, _sets(spark, d, 2)), root)
     return tables.read_run_metadata(spark, root).select("run_id", "n_samples", "final_loss", "cv_score", "cv_masked_score")
 
 
 @register()
 def imputation_report(spark, d):
-    return study.imputation_report(samples(spark, d), KEY, {"Base_without_pH": BASE}).metrics
+    return study.imputation_report(samples(spark, d), KEY, _sets(spark, d, 1)).metrics
 
 
 @register()

@@ -209,6 +209,42 @@ def test_weights_do_not_depend_on_the_layout(spark):
         assert np.allclose(found[0].loss_history, other.loss_history) and len(other.loss_history) == 6
 
 
+def test_one_stage_equals_round_by_round(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(900, 4)), columns=["a", "b", "c", "d"]).assign(id=np.arange(900))
+    df = spark.createDataFrame(pdf)
+    p = vae.VaeParams(latent_dim=2, hidden_dim=8, enc_layers=2, dec_layers=2, epochs=7, sync_every=3, shard_rows=100)
+    one, jobs = (vae.vae_fit(df, "id", ["a", "b", "c"], p, folds=2, task_rows=rows) for rows in (vae.TASK_ROWS, 1))
+    assert np.allclose(one.weights, jobs.weights, rtol=0, atol=1e-9) and np.allclose(one.loss_history, jobs.loss_history)
+    assert np.allclose(one.fold_scores, jobs.fold_scores) and np.allclose(one.fold_masked_scores, jobs.fold_masked_scores)
+    assert one.n_samples == jobs.n_samples == 900
+    # sets of other widths, sizes and lengths in the same rounds are what they are by themselves
+    longer = vae.VaeParams(latent_dim=3, hidden_dim=16, enc_layers=1, dec_layers=2, epochs=10, sync_every=4, shard_rows=250)
+    sets = [vae.Training(df, "id", ("a", "b", "c"), p, 2), vae.Training(df.where("id < 0"), "id", ("a",), p), vae.Training(df.where("id < 600"), "id", ("a", "b", "c", "d"), longer, 0)]
+    first, none, third = vae.vae_fit_sets(sets)
+    alone = vae.vae_fit(sets[2].rows, "id", ["a", "b", "c", "d"], longer)
+    assert none is None and np.allclose(first.weights, one.weights, rtol=0, atol=1e-9) and np.allclose(third.weights, alone.weights, rtol=0, atol=1e-9)
+    assert len(third.loss_history) == 10 and third.n_samples == 600 and third.fold_scores == ()
+
+
+def test_study_over_available_sets(spark, tiny):
+    from hydrofold.catalog.features import SHORT
+    from hydrofold.schema import BASE_FEATURES
+    df = fixtures.samples(spark, tiny)
+    sets = imputation.available_sets(df, list(BASE_FEATURES), resolve=SHORT.get, max_extra=1)
+    assert sets["Base_without_pH"] == fixtures.BASE and all(len(c) == 7 for label, c in sets.items() if label != "Base_without_pH") and len(sets) > 2
+    p = vae.VaeParams(epochs=4, sync_every=2)
+    documents = {r["run_id"].split("_", 1)[1]: r for r in imputation.imputation_study(df, "sample_id", sets, p, folds=2).collect()}
+    assert set(documents) == set(sets)
+    for label, columns in sets.items():
+        alone = imputation.train_vae(df, "sample_id", columns, p, folds=2)
+        found = imputation.model_of(documents[label])
+        assert np.allclose(found.weights, alone.weights, rtol=0, atol=1e-9) and found.bounds == alone.bounds
+        assert np.allclose(found.scaling.mean, alone.scaling.mean) and np.allclose(found.scaling.scale, alone.scaling.scale)
+    assert imputation.available_sets(df, list(BASE_FEATURES), resolve=SHORT.get, min_rows=10 ** 9) == {}
+    assert imputation.imputation_study(df.limit(10), "sample_id", sets, p).count() == 0
+
+
 def test_exact_rank_test():
     from itertools import combinations
     for n1, n2 in ((3, 4), (5, 3), (2, 6)):
