@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import BASE, samples
-from ..operators import clusters, features, som
+from ..operators import clusters, features, forests, som
 from ..operators.joins import grid_left_join
 from ..plans.maps import som_analysis, som_sweep
 from .registry import register, rounded, r
@@ -272,3 +272,24 @@ def rf_importance_global(spark, d):
 @register()
 def rf_importance_local(spark, d):
     return clusters.rf_importance_local(assigned(spark, d), _FEATURES)
+
+
+_GAINS = MAP + f""",
+vals AS (SELECT som_x, som_y, feature, value FROM (SELECT * FROM assigned WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _FEATURES)})
+  UNPIVOT (value FOR feature IN ({', '.join(_FEATURES)}))),
+edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{', '.join(f'{i}e0 / {forests.BINS}' for i in range(1, forests.BINS))}]))) AS e FROM vals GROUP BY 1),
+bins AS (SELECT som_x, som_y, feature, len(list_filter(e, lambda x: x < value)) AS bin, count(*) AS n FROM vals JOIN edges USING (feature) GROUP BY 1, 2, 3, 4),
+cuts AS (SELECT feature, unnest(range(0, len(e))) AS cut FROM edges),
+cells AS (SELECT DISTINCT som_x, som_y FROM bins),
+sides AS (SELECT c.som_x, c.som_y, k.feature, k.cut, sum(b.n) AS w, sum(CASE WHEN bin <= cut THEN b.n ELSE 0 END) AS wl,
+    sum(CASE WHEN b.som_x = c.som_x AND b.som_y = c.som_y THEN b.n ELSE 0 END) AS i,
+    sum(CASE WHEN bin <= cut AND b.som_x = c.som_x AND b.som_y = c.som_y THEN b.n ELSE 0 END) AS il
+  FROM cells c, cuts k JOIN bins b USING (feature) GROUP BY 1, 2, 3, 4),
+gains AS (SELECT *, 2e0 * i * (w - i) / (w * w) - wl / w * (2e0 * il * (wl - il) / (wl * wl)) - (w - wl) / w * (2e0 * (i - il) * (w - wl - i + il) / ((w - wl) * (w - wl))) AS gain
+  FROM (SELECT som_x, som_y, feature, cut, w::DOUBLE AS w, wl::DOUBLE AS wl, i::DOUBLE AS i, il::DOUBLE AS il FROM sides) WHERE wl > 0 AND wl < w)"""
+
+
+@register(f"SELECT som_x, som_y, feature, cut::INT AS bin, {r('gain')} AS gain FROM gains WHERE {r('gain')} > 0", _GAINS)
+def forest_root_gains(spark, d):
+    """What the first level of every forest can gain, by splits between all bins."""
+    return rounded(forests.root_gains(assigned(spark, d), _FEATURES, ["som_x", "som_y"]), "gain").where("gain > 0")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.normal import two_sided_p
 from ..schema import q
+from .forests import FOREST_ROWS, binned, grow, importances
 from .profile import unpivot
 from .ranking import ranked_values
 
 CELL = ["som_x", "som_y"]
-# fixed values: fewest rows worth a forest, and the largest group whose rank test is exact
-FOREST_ROWS = 10
+# fixed value: the largest group whose rank test is exact
 EXACT_ROWS = 8
 
 
@@ -219,29 +219,18 @@ def rf_importance_global(df: DataFrame, columns: list[str], by: list[str] = CELL
 
 
 def rf_importance_local(df: DataFrame, columns: list[str], by: list[str] = CELL, trees: int = 100, depth: int = 5,
-                        seed: int = 42, parallel: int = 4) -> DataFrame:
-    """The same for every cluster against the rest; clusters are few, their forests are fitted side by side."""
-    complete = df.dropna("any", subset=[*columns, *by])
-    features = VectorAssembler(inputCols=columns, outputCol="_x").transform(complete).select("_x", *by).persist()
+                        seed: int = 42) -> DataFrame:
+    """The same for every cluster against the rest; all forests are grown in the same passes, one for each level."""
+    schema = ", ".join([f"{c} int" for c in by] + ["feature string", "importance double"])
+    data = binned(df, columns, by)
+    if data is None:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = data.rows.persist()
     try:
-        cells = features.groupBy(*by).count().orderBy(*by).collect()  # one row per cluster
-
-        def fit(cell):
-            inside = F.lit(True)
-            for c in by:
-                inside = inside & (F.col(c) == cell[c])
-            model = _forest(trees, depth, seed).fit(features.select("_x", inside.cast("double").alias("_y")))
-            return [(*[cell[c] for c in by], name, float(v)) for name, v in zip(columns, model.featureImportances.toArray())]
-
-        if len(cells) < 2 or sum(cell["count"] for cell in cells) < FOREST_ROWS:
-            fitted = []
-        else:
-            with ThreadPoolExecutor(parallel) as pool:
-                fitted = [row for rows in pool.map(fit, cells) for row in rows]
+        values = importances(grow(replace(data, rows=rows), trees, depth, seed)[1])
     finally:
-        features.unpersist()
-    schema = ", ".join([f"{c} int" for c in by] + ["feature string", "importance double"])
-    return df.sparkSession.createDataFrame(fitted, schema)
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([(*cell, c, float(values[i, j])) for i, cell in enumerate(data.cells) for j, c in enumerate(columns)], schema)
 
 
 def top_importances(importances: DataFrame, n: int = 3, by: list[str] = CELL) -> DataFrame:
