@@ -11,15 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import q
 from .texts import sliced, utf8
 
 SLICE = 1 << 20
-#: At most about this many labelled documents are fitted on; a larger table is sampled by a hash of key and text.
+#: At most this many labelled documents are fitted on; a larger table is sampled by a hash of the key.
 SAMPLE_DOCUMENTS = 6_000
-#: Documents of more lines stay out of the sample (not out of the scores).
+#: Of rows that share a key so many may be in the sample.
+SAMPLE_ROWS = 4
+#: A sampled document of more lines is fitted on a run of so many neighbouring ones, at a place that a hash of it names.
 SAMPLE_LINES = 200
 ROUNDS = 150
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>^~@{}[]\\=_+"))
@@ -176,31 +178,42 @@ def train(df: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     """A model from the texts of ``df`` whose ``key`` has label 0 or 1 in ``labels``, on a sample of about ``most`` of them.
 
     The keys are sampled by their hash before any text is read, so texts are not shuffled. Each label gives half the
-    sample where it can; null keys take no part. One in four of the sampled documents is kept out of the fit and sets
-    the scale and shift that make scores agree with the label's frequency. With one label only, or none, every
-    score is that label, or a half.
+    sample where it can. A key that is labelled repeatedly counts once; null keys and keys with both labels take no part.
+    One in four of the sampled documents is kept out of the fit and sets the scale and shift that make scores agree with
+    the label's frequency. With one label only every score is that label; without labels, or without texts to them, a half.
     """
-    rows = labels.where(q(label).isin(0, 1) & q(key).isNotNull()).select(
-        q(key).alias("key"), q(label).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit(seed), q(key)), F.lit(1 << 30)).alias("place"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(1 << 30))
+    rows = labels.where(q(label).isin(0, 1) & q(key).isNotNull()).groupBy(q(key).alias("key")).agg(
+        F.min(q(label)).cast("int").alias("label"), F.max(q(label)).cast("int").alias("other")).where("label = other").select("key", "label", place.alias("place"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     none = np.zeros(FEATURES), np.zeros((2, 2))
     if len(sizes) < 2:
         return Model(*none, 0.0, {0: -20.0, 1: 20.0}.get(next(iter(sizes), None), 0.0))
     cut = F.when(F.col("label") == 1, int((1 << 30) * min(1.0, most / 2 / sizes[1]))).otherwise(int((1 << 30) * min(1.0, most / 2 / sizes[0])))
+    chosen = rows.where(F.col("place") < cut).orderBy("place", "key").limit(most)  # each key once, so the bound holds
     texts = df.select(q(key).alias("key"), F.coalesce(q(text), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(rows.where(F.col("place") < cut)), "key").where(  # about ``most`` keys
-        F.size(F.split("text", "\n")) <= SAMPLE_LINES).select("label", "place", "text")
+    sample = texts.join(F.broadcast(chosen), "key").select("key", "label", "place", F.xxhash64("text").alias("tie"), "text")
+    fields = sample.drop("text").schema
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE):
             lines, lengths, first = features(*utf8(batch.column("text")))
-            packed = [lines[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])]
+            tie = batch.column("tie").to_numpy()
+            spare = np.maximum(np.diff(first) - SAMPLE_LINES, 0)
+            begin = first[:-1] + np.abs(tie % (spare + 1))
+            runs = list(zip(begin.tolist(), (begin + np.minimum(np.diff(first), SAMPLE_LINES)).tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("place"), pa.array(packed, pa.binary()),
-                 pa.array([lengths[a:b].tolist() for a, b in zip(first[:-1], first[1:])])], names=["label", "place", "lines", "lengths"])
-
-    found = sample.mapInArrow(describe, "label int, place long, lines binary, lengths array<double>").toPandas()
-    found = found.sort_values(["place", "label"], kind="stable").reset_index(drop=True)
+                [*(batch.column(f.name) for f in fields), pa.array([lines[a:b].astype(np.float32).tobytes() for a, b in runs], pa.binary()),
+                 pa.array([lengths[a:b].tolist() for a, b in runs])], names=[*fields.names, "lines", "lengths"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    described = sample.mapInArrow(describe, f"{kind}, lines binary, lengths array<double>")
+    first_rows = F.row_number().over(Window.partitionBy("key").orderBy("tie"))  # a few rows of a key leave each task
+    bounded = described.withColumn("row", first_rows).where(F.col("row") <= SAMPLE_ROWS).orderBy("place", "tie").limit(most)
+    found = bounded.select("label", "place", "tie", "lines", "lengths").toPandas()
+    found = found.sort_values(["place", "label", "tie"], kind="stable").reset_index(drop=True)
+    if found["label"].nunique() < 2:
+        return Model(*none, 0.0, {0: -20.0, 1: 20.0}.get(found["label"].iloc[0]) if len(found) else 0.0)
     held = np.arange(len(found)) % 4 == 3
     labels = found["label"].to_numpy()
 

@@ -127,6 +127,21 @@ def test_line_model(messy, none, spark):
         assert line_crf.score(df.limit(3), line_crf.train(df, part)).first()["score"] == pytest.approx(want, abs=1e-6)
 
 
+def test_line_model_without_texts_or_with_long_ones(spark, none):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    half = line_crf.train(none, labels)  # labels, but no document
+    assert line_crf.score(spark.createDataFrame([("a",)], "text string"), half).first()["score"] == pytest.approx(0.5)
+    good, bad = "a plain line of words\n" * 300, "#$%& !!! <<< >>>\n" * 300
+    texts = [(i, good if i % 2 else bad) for i in range(40)] + [(5, good)] * 30
+    model = line_crf.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    scores = [r["score"] for r in line_crf.score(spark.createDataFrame([(good,), (bad,)], "text string"), model).collect()]
+    assert scores[0] > 0.8 and scores[1] < 0.2
+    only = line_crf.train(spark.createDataFrame([(i, good) for i in range(1, 40, 2) if i not in (3,)], "doc_id long, text string"), labels)
+    assert line_crf.score(spark.createDataFrame([("a",)], "text string"), only).first()["score"] == pytest.approx(1, abs=1e-6)
+    few = line_crf.train(spark.createDataFrame(texts, "doc_id long, text string"), labels, most=10)
+    assert np.isfinite(few.weights).all()
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     state, move = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
