@@ -34,6 +34,8 @@ ROW_WORDS = 32
 CHUNK_LINKS = 1 << 20
 #: New words that B takes at once; it is slower on longer texts.
 RUN_WORDS = 64
+#: Chunks that a task gets its answers for, on average.
+TASK_CHUNKS = 2
 KNOWN_WORDS = 250_000
 KNOWN_CHARACTERS = 8 << 20
 #: A group of more links than this is counted by its distinct tokens instead of link by link.
@@ -511,7 +513,9 @@ def scored(df: DataFrame, vocabulary: str, pieces: str, key: str = "doc_id", tex
     aligned = checkpointed(align(df, vocabulary, pieces, key, text, groups, chunk_links), "aligned")
     answers = aligned.where("kind = 0").select("chunk", "kind", "pair").join(pair_counts(aligned, n_b_ids), "pair").withColumnRenamed("documents", "n")
     documents = aligned.where("kind = 1").drop("n")
-    both = documents.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind", "pair")
+    chunks = documents.select(F.count_distinct("chunk")).first()[0]
+    dealt = documents.unionByName(answers, allowMissingColumns=True).repartition(max(1, -(-chunks // TASK_CHUNKS)), "chunk")
+    both = dealt.sortWithinPartitions("chunk", "kind", "pair")
     kind = df.select(q(key)).schema[0].dataType.simpleString()
     found = both.mapInArrow(_apply, f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
     return found.withColumnRenamed("key", key)
