@@ -3,8 +3,10 @@
 Distance uses the coordinates both rows hold, scaled up by the share of them: sqrt(D / common * sum of squares).
 Of equal donor rows only the k with the smallest keys can be neighbours, so no point holds more. Donors are cut into
 leaves by presence pattern and quantile cells, whose boxes form a tree. Requests walk down the tree by joins: first
-each to its nearest leaf, which gives it a radius, then to every leaf whose box the radius reaches. Equal requests are
-searched once, and leaves that many requests visit are copied. Nothing is gathered but the tree's cut points.
+each to its nearest leaf, which gives it a radius, then to every leaf whose box the radius reaches. What is visited is
+the whole bin of such a leaf: the patterns of a quantile cell that are small lie in one bin, so a request meets a region
+once and not once for each pattern. Equal requests are searched once, and bins that many requests visit are copied.
+Nothing is gathered but the tree's cut points.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ..session import checkpointed
 
 LEAF_ROWS = 128  # of the blocks inside a task
 CELL_ROWS = 65_536
-TASK_REQUESTS = 20_000
+TASK_REQUESTS = 5_000
 # Distances closer than this count as equal and the smaller key wins. Otherwise the last bits of a scaling
 # fitted in another summation order would choose between mirror-image neighbours.
 DISTANCE_DIGITS = 9
@@ -138,15 +140,20 @@ def _visit_pairs(best: _Best, x: np.ndarray, row: np.ndarray, block: np.ndarray,
             best.merge(r[i], distance[i, c], blocks.keys[b[i], c], b[i] * blocks.values.shape[1] + c)
 
 
-def search(x: np.ndarray, target: np.ndarray, blocks: Blocks, k: int, chunk: int = 4096) -> _Best:
-    """Exact k nearest donors per request; a target >= 0 admits only donors that hold that feature."""
+def search(x: np.ndarray, target: np.ndarray, blocks: Blocks, k: int, limit: np.ndarray | None = None, chunk: int = 4096) -> _Best:
+    """Exact k nearest donors per request; a target >= 0 admits only donors that hold that feature.
+
+    Blocks further away than a request's ``limit`` hold none of its neighbours.
+    """
     best = _Best(len(x), k)
+    limit = np.full(len(x), np.inf) if limit is None else limit
     for rows, usable, seen in _request_groups(x, target, blocks.present, chunk):
         bound = _bounds(x[rows], blocks.present[usable], blocks.low[usable], blocks.high[usable], seen)
-        first = _nearest_holding(bound, blocks.sizes[usable], k)
+        inside = bound <= limit[rows][:, None]
+        first = _nearest_holding(bound, blocks.sizes[usable], k) & inside
         r, b = np.nonzero(first)
         _visit_pairs(best, x, rows[r], usable[b], blocks, seen, True)
-        r, b = np.nonzero((bound <= best.distance[rows, k - 1][:, None]) & ~first)
+        r, b = np.nonzero((bound <= best.distance[rows, k - 1][:, None]) & inside & ~first)
         _visit_pairs(best, x, rows[r], usable[b], blocks, seen, False)
     return best
 
@@ -236,6 +243,13 @@ def _cells(donors: DataFrame, d: int, cell_rows: int) -> tuple[DataFrame, int]:
     return split.select("donor_id", "y", F.concat("cell", F.array(part)).alias("path")), len(path) + 1
 
 
+def _with_bins(boxes: DataFrame, cell_rows: int) -> DataFrame:
+    """Leaves with their ``bin``: all patterns of a quantile cell together, or the leaf itself where that were too many rows."""
+    region = F.slice("path", 2, F.size("path") - 1)
+    together = F.sum("n").over(Window.partitionBy(region)) <= 2 * cell_rows  # a leaf for each pattern
+    return boxes.withColumn("bin", F.when(together, F.concat(F.array(F.lit(-1).cast("long")), region)).otherwise(F.col("path")))
+
+
 def _level(boxes: DataFrame, d: int, depth: int) -> DataFrame:
     """The nodes of one depth: path, donors and box."""
     return boxes.groupBy(F.slice("path", 1, depth).alias("path")).agg(
@@ -281,29 +295,29 @@ def _first_leaves(asked: DataFrame, levels: list[DataFrame], d: int, k: int) ->
     return frontier
 
 
-def _leaves_within(asked: DataFrame, levels: list[DataFrame], d: int) -> DataFrame:
-    """(rid, leaf) of all leaves within each request's radius but the one it knows."""
+def _bins_within(asked: DataFrame, levels: list[DataFrame], d: int) -> DataFrame:
+    """(rid, bin) of all bins with a leaf within each request's radius but the one it knows."""
     frontier = asked.withColumn("node", F.array().cast("array<bigint>"))
     for depth, nodes in enumerate(levels, 1):
         found = _descend(frontier, nodes, d, depth).where(F.col("near") <= F.col("radius"))
-        frontier = found.select("rid", "x", "target", "seen", "radius", "known", F.col("path").alias("node"))
-    return frontier.where(F.col("node") != F.col("known")).select("rid", F.col("node").alias("path"))
+        frontier = found.select("rid", "x", "target", "seen", "radius", "known", F.col("path").alias("node"), *(["bin"] if nodes is levels[-1] else []))
+    return frontier.where(F.col("bin") != F.col("known")).select("rid", "bin", "radius").distinct()
 
 
 def _visit(asked: DataFrame, visits: DataFrame, leaves: DataFrame, d: int, k: int) -> DataFrame:
-    """Neighbours per (request, leaf). Busy leaves are copied so that no task serves too many requests."""
-    load = visits.groupBy("path").agg(F.ceil(F.count("*") / F.lit(TASK_REQUESTS)).alias("copies"))
-    going = (visits.join(load, "path").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")))
+    """Neighbours per (request, bin) within the request's radius. Busy bins are copied so that no task serves too many requests."""
+    load = visits.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(TASK_REQUESTS)).alias("copies"))
+    going = (visits.join(load, "bin").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")))
              .join(asked.select("rid", "x", "target"), "rid").drop("copies"))
-    served = leaves.join(load, "path").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    served = leaves.join(load, "bin").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     schema = T.StructType([T.StructField("rid", T.LongType()), *NEIGHBOUR_FIELDS])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         here = Blocks.build(_matrix(right.column("y"), d), right.column("donor_id").to_numpy().astype(np.int64))
-        best = search(_matrix(left.column("x"), d), left.column("target").to_numpy().astype(np.int64), here, k)
+        best = search(_matrix(left.column("x"), d), left.column("target").to_numpy().astype(np.int64), here, k, left.column("radius").to_numpy())
         return pa.table({"rid": left.column("rid"), **_neighbour_columns(best, here.values)})
 
-    return going.groupBy("path", "copy").cogroup(served.groupBy("path", "copy")).applyInArrow(run, schema)
+    return going.groupBy("bin", "copy").cogroup(served.groupBy("bin", "copy")).applyInArrow(run, schema)
 
 
 def _merged(found: DataFrame, d: int, k: int) -> DataFrame:
@@ -333,10 +347,11 @@ def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, cell_ro
     distinct = checkpointed(distinct.select("donor_id", "y"), "donors")  # WindowGroupLimit keeps k rows a point and task before the shuffle
     cells, depth = _cells(distinct, d, cell_rows)
     leaves = checkpointed(cells, "donor-leaves")
-    boxes = checkpointed(leaves.groupBy("path").agg(
+    boxes = checkpointed(_with_bins(leaves.groupBy("path").agg(
         F.count("*").alias("n"), F.array(*[F.min(F.get("y", F.lit(j))) for j in range(d)]).alias("low"),
-        F.array(*[F.max(F.get("y", F.lit(j))) for j in range(d)]).alias("high")), "donor-boxes")
+        F.array(*[F.max(F.get("y", F.lit(j))) for j in range(d)]).alias("high")), cell_rows), "donor-boxes")
     levels = [_level(boxes, d, i) for i in range(1, depth)] + [boxes]
+    binned = leaves.join(boxes.select("path", "bin"), "path").drop("path")
 
     # A feature that every donor holds excludes nobody, so requests that differ only by it are equal.
     always = boxes.agg(F.coalesce(F.expr("bit_and(path[0])"), F.lit(0))).first()[0]
@@ -345,12 +360,13 @@ def knn_join(requests: DataFrame, donors: DataFrame, d: int, k: int = 5, cell_ro
     keyed = requests.withColumns({"_x": marked("x"), "_target": target})
     once = keyed.groupBy("_x", F.col("_target").alias("target")).agg(F.first("x").alias("x")).withColumn("rid", F.monotonically_increasing_id())
     asked = checkpointed(once.withColumn("seen", _bit_list("x", d)), "requests")
-    start = checkpointed(_first_leaves(asked.drop("_x"), levels, d, k), "first-leaves")
-    first = checkpointed(_visit(asked, start.select("rid", F.col("node").alias("path")), leaves, d, k), "first-visits")
+    nearest = _first_leaves(asked.drop("_x"), levels, d, k).join(boxes.select(F.col("path").alias("node"), "bin"), "node")
+    start = checkpointed(nearest.drop("node"), "first-bins")
+    first = checkpointed(_visit(asked, start.select("rid", "bin", "radius"), binned, d, k), "first-visits")
     found = first.select("rid", F.when(F.size("distances") >= k, F.element_at("distances", -1)).alias("_kth"))
     ready = start.join(found, "rid", "left").select(
-        "rid", "x", "target", "seen", F.col("node").alias("known"), F.least("radius", F.coalesce("_kth", "radius")).alias("radius"))
-    second = _visit(asked, _leaves_within(ready, levels, d), leaves, d, k)
+        "rid", "x", "target", "seen", F.col("bin").alias("known"), F.least("radius", F.coalesce("_kth", "radius")).alias("radius"))
+    second = _visit(asked, _bins_within(ready, levels, d), binned, d, k)
     best = asked.select("_x", F.col("target").alias("_target"), "rid").join(_merged(first.unionByName(second), d, k), "rid", "left").drop("rid")
     best = checkpointed(best, "neighbours")  # plain shuffles below, so that a request of very many copies is split
     empty = F.array().cast("array<double>")
