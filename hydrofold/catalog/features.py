@@ -118,12 +118,17 @@ def _horner(coefficients, x: str) -> str:
     return text
 
 
+def normal_sql(g: str, t: str) -> str:
+    """AS 241: the normal quantile of p, of which ``g`` is p - 0.5 and ``t`` the root of -ln of the smaller side."""
+    centre, middle, tail = (tuple(_horner(p, x) for p in pair) for pair, x in zip(
+        (normal._CENTRE, normal._MIDDLE, normal._TAIL), (f"(0.180625 - {g} * {g})", f"({t} - 1.6)", f"({t} - 5.0)")))
+    return (f"CASE WHEN abs({g}) <= 0.425 THEN {g} * {centre[0]} / {centre[1]} WHEN {t} <= 5 THEN sign({g}) * {middle[0]} / {middle[1]} "
+            f"ELSE sign({g}) * {tail[0]} / {tail[1]} END")
+
+
 def _scores_sql(c: str) -> str:
     """Normal scores of one column: bracket each value in the quantile grid, then AS 241."""
-    centre, middle, tail = (tuple(_horner(p, x) for p in pair) for pair, x in zip(
-        (normal._CENTRE, normal._MIDDLE, normal._TAIL), ("(0.180625 - g * g)", "(t - 1.6)", "(t - 5.0)")))
-    return f"""SELECT sample_id, '{c}' AS feature, CASE WHEN abs(g) <= 0.425 THEN g * {centre[0]} / {centre[1]}
-      WHEN t <= 5 THEN sign(g) * {middle[0]} / {middle[1]} ELSE sign(g) * {tail[0]} / {tail[1]} END AS score FROM (
+    return f"""SELECT sample_id, '{c}' AS feature, {normal_sql("g", "t")} AS score FROM (
       SELECT sample_id, p - 0.5 AS g, sqrt(-ln(least(p, 1 - p))) AS t FROM (
         SELECT sample_id, least(greatest(CASE WHEN v <= q[1] THEN 0e0 WHEN v >= q[1000] THEN 1e0
           WHEN q[below] = q[above] THEN (below + above - 2) / 2e0 / 999e0

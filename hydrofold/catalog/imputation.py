@@ -15,7 +15,7 @@ from ..schema import BASE_FEATURES, PINNED_LABELS, feature_sets, q
 from ..session import workspace
 from ..sources import tables
 from ..streaming import metrics as stream
-from .features import SHORT, SPLIT_SQL
+from .features import SHORT, SPLIT_SQL, normal_sql
 from .registry import register, rounded, r
 
 KNN_COLUMNS = ["na", "mg", "ca", "fe", "ph"]
@@ -301,22 +301,33 @@ def vae_impute(spark, d):
 _SMALL = [0.5, -0.25, 0.75, 0.5, 0.125, -0.5, 0.5, -0.75, 0.25, 0.1, 0.2, 0.3, 0.5, -1.5, 0.25, 0.5, 1.5, 0.5, -0.25, 0.75, 0.1, -0.2]
 
 
-def _small_sql() -> str:
+def _small_sql(noise: str = "0e0") -> str:
+    """The network written out, with ``noise`` as the draw of its latent cell."""
     w = [f"({v!r}e0)" for v in _SMALL]
     leak = lambda a: f"(CASE WHEN {a} > 0 THEN {a} ELSE 0.2e0 * ({a}) END)"
     x = ["coalesce(ph, 0e0)", "coalesce(fe, 0e0)"]
     h = [leak(f"({x[0]} * {w[j]} + {x[1]} * {w[2 + j]} + {w[4 + j]})") for j in range(2)]
-    z = f"({h[0]} * {w[6]} + {h[1]} * {w[7]} + {w[8]})"
+    z = f"({h[0]} * {w[6]} + {h[1]} * {w[7]} + {w[8]} + {noise} * exp(0.5e0 * ({h[0]} * {w[9]} + {h[1]} * {w[10]} + {w[11]})))"
     g = [leak(f"({z} * {w[12 + j]} + {w[14 + j]})") for j in range(2)]
     out = [f"({g[0]} * {w[16 + j]} + {g[1]} * {w[18 + j]} + {w[20 + j]})" for j in range(2)]
     return f"SELECT sample_id, {r(f'coalesce(ph, {out[0]})')} AS ph, {r(f'coalesce(fe, {out[1]})')} AS fe FROM samples"
 
 
+_SMALL_MODEL = VaeModel(("ph", "fe"), VaeParams(latent_dim=1, hidden_dim=2, enc_layers=1, dec_layers=1), np.array(_SMALL))
+
+
 @register(_small_sql())
 def vae_forward(spark, d):
     """Inference of a network with fixed weights."""
-    model = VaeModel(("ph", "fe"), VaeParams(latent_dim=1, hidden_dim=2, enc_layers=1, dec_layers=1), np.array(_SMALL))
-    return rounded(impute_with(samples(spark, d).select(KEY, "ph", "fe"), KEY, model), "ph", "fe")
+    return rounded(impute_with(samples(spark, d).select(KEY, "ph", "fe"), KEY, _SMALL_MODEL), "ph", "fe")
+
+
+@register(_small_sql("noise").replace("FROM samples", "FROM drawn"), f"""drawn AS (SELECT *, {normal_sql('g', 't')} AS noise FROM (
+  SELECT *, p - 0.5 AS g, sqrt(-ln(least(p, 1 - p))) AS t FROM (
+    SELECT *, (CAST(concat('0x', substr(md5(concat('42:', sample_id, ':0')), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS p FROM samples)))""")
+def vae_forward_sampled(spark, d):
+    """The same with its latent cell drawn."""
+    return rounded(impute_with(samples(spark, d).select(KEY, "ph", "fe"), KEY, _SMALL_MODEL, sample_latent=True), "ph", "fe")
 
 
 @register()

@@ -195,7 +195,7 @@ def vae_benchmark(df: DataFrame, key: str, model: VaeModel, include_incomplete:
     columns = list(model.columns)
     rows, _ = benchmark.prepared(df, key, columns, include_incomplete, seed=seed)
     requests = benchmark.benchmark_requests(rows, key, columns, model.scaling, benchmark.mask_list(len(columns), cap, seed), seed, train_parts)
-    return benchmark.result_rows(vae_imputer(model, sample_latent)(requests), key, columns, model.scaling)
+    return benchmark.result_rows(vae_imputer(model, "request_id" if sample_latent else None)(requests), key, columns, model.scaling)
 
 
 def imputer_comparison(df: DataFrame, key: str, columns: list[str], params: VaeParams = VaeParams(), k: int = 5,

@@ -160,6 +160,35 @@ def test_density_integrates_to_one(blobs):
     assert np.trapezoid(rows["density"], rows["x"]) == pytest.approx(1.0, abs=0.02)
 
 
+def test_density_is_the_direct_sum(spark):
+    rng = np.random.default_rng(4)
+    groups = {0: np.round(rng.normal(size=500), 1), 1: np.concatenate([rng.normal(size=60), [40.0, 41.0]]), 2: np.array([1.0, 1.0]), 3: np.array([2.0] * 5)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [(0, None)], "g int, value double").repartition(3)
+    for tails in (0.0, 3.0):
+        got = clusters.density(df, ["g"], 50, tails=tails).orderBy("g", "point").toPandas()
+        assert set(got["g"]) == {0, 1}
+        for g, part in got.groupby("g"):
+            v = groups[g]
+            h = v.std(ddof=1) * len(v) ** -0.2
+            x = np.linspace(v.min() - tails * h, v.max() + tails * h, 50)
+            want = np.exp(-0.5 * ((x[:, None] - v[None]) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+            assert np.allclose(part["x"], x) and np.allclose(part["density"], want, rtol=0, atol=1e-12) and (part["n"] == len(v)).all()
+
+
+def test_drawn_latent_does_not_depend_on_batches(spark):
+    model = vae.VaeModel(("a", "b"), vae.VaeParams(latent_dim=2, hidden_dim=4, enc_layers=1, dec_layers=1),
+                         vae.initial_weights(vae.VaeParams(latent_dim=2, hidden_dim=4, enc_layers=1, dec_layers=1), 2))
+    df = spark.createDataFrame([(i, None if i % 3 else 1.0, 0.5) for i in range(200)] + [(None, None, 0.5)], "id long, a double, b double")
+    before, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for partitions, batch in ((1, "10000"), (5, "7")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found.append(sorted(vae.vae_impute(df.repartition(partitions), "id", model, sample_latent=True).collect(), key=lambda r: (r["id"] is None, r["id"])))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len({r["a"] for r in found[0] if r["id"] and r["id"] % 3}) > 100
+
+
 def test_gradient():
     p = vae.VaeParams(latent_dim=2, hidden_dim=8, enc_layers=2, dec_layers=2)
     rng = np.random.default_rng(0)
