@@ -277,7 +277,7 @@ def _descend(frontier: DataFrame, nodes: DataFrame, d: int, depth: int) -> DataF
         present = F.col("path")[0]
         usable = (present.bitwiseAND(F.col("seen")) != 0) & (
             (F.col("target") < 0) | (F.getbit(present, F.greatest(F.col("target"), F.lit(0))) == 1))
-        joined = frontier.drop("node").join(F.broadcast(nodes), usable)
+        joined = frontier.drop("node").join(nodes, usable)
     else:
         joined = frontier.join(nodes.withColumn("node", F.slice("path", 1, depth - 1)), "node").drop("node")
     near, far = _box_distances(d)
