@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrofold.llm import bpe, langid, mixing, similar, suffix_dedup
+from hydrofold.llm import bpe, langid, mixing, similar, simhash, suffix_dedup
+from hydrofold.llm.components import united
 from hydrofold.llm.queries import tokenizer_path
 from hydrofold.session import workspace
 
@@ -22,8 +23,13 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: similarity of five-word shingles of 0.8 or more."""
-    return similar.near_dedup(docs)
+    """One document of each group of near duplicates.
+
+    Texts are joined by fingerprints of at most three different bits, as op7 finds them, and by five-word shingles that are
+    0.8 similar or more, which also joins the near copies whose fingerprints lie further apart.
+    """
+    prints = simhash.with_components(docs).select("doc_id", "row", "component")
+    return simhash.first_of_each(docs, united(prints, similar.with_groups(docs)), "text", "doc_id")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

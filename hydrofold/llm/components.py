@@ -37,3 +37,20 @@ def components(edges: DataFrame) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
         current = checkpointed(_star(_star(current, large=True), large=False), "edges")
+
+
+def united(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``second`` (key, row, component) with the groups of both tables joined: rows are in one if a chain of groups of either leads there.
+
+    ``row`` tells rows apart in both tables, and a component's name is a number of its own table.
+    """
+    edges = None
+    for groups in (first, second):
+        members = checkpointed(groups.groupBy("row").agg(F.any_value("component").alias("component")), "members")
+        shared = members.groupBy("component").agg(F.min("row").alias("v"), F.count("*").alias("rows")).where("rows > 1")
+        # Written out, so that the join has two plain shuffles and a group of very many rows is split.
+        found = members.join(checkpointed(shared.drop("rows"), "shared-groups"), "component").select(F.col("row").alias("u"), "v")
+        edges = found if edges is None else edges.unionByName(found)
+    joined = checkpointed(components(edges), "united")
+    return second.join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select(
+        *[F.coalesce("root", "row").alias(c) if c == "component" else c for c in second.columns])
