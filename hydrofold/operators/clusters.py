@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.normal import two_sided_p
 from ..schema import q
+from ..session import checkpointed
 from .forests import FOREST_ROWS, binned, grow, importances
 from .profile import unpivot
 from .ranking import ranked_values
@@ -193,9 +194,11 @@ def density(long: DataFrame, keys: list[str], points: int = 100, min_count: int
     v, h = F.col("value"), F.col("bandwidth")
     known = long.where(v.isNotNull())
     stats = known.groupBy(*keys).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_samp(v).alias("_std"))
-    # Groups are usually few, but nothing bounds them here: adaptive execution sees their size and picks the join.
+    # Groups are usually few, but nothing bounds them here. They are written, so that the join is picked by their real size: where
+    # the values come from a generator, Spark takes them for fewer bytes than they are and would broadcast them instead.
     usable = stats.where((F.col("n") >= min_count) & (F.col("_std") > 0)).withColumn(
         "bandwidth", F.col("_std") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).drop("_std")
+    usable = checkpointed(usable, "density-groups")
     width = h / F.lit(float(BOXES_PER_BANDWIDTH))
     centre = F.col("low") + (F.col("_box") + 0.5) * width
     boxed = known.select(*keys, "value").join(usable, keys).withColumn("_box", F.floor((v - F.col("low")) / width))
