@@ -40,7 +40,7 @@ def test_messy_and_empty_tables(spark, messy, tiny):
 def test_near_duplicates_by_fingerprints_and_by_similarity(spark, tiny):
     words = prose(55, 60).split()
     similar_only = [" ".join(words), " ".join(words[:30] + ["other"] + words[31:])]
-    prints_only = ["one two three four " * 12 + "end", "one two three four " * 12 + "five end"]
+    prints_only = ["one two three " * 12 + "end", "one two three " * 12 + "five end"]
     docs = table(spark, [*similar_only, *prints_only, prose(77, 60)]).select(COLUMNS)
     near = {r["doc_id"]: r["component"] for r in simhash.with_components(docs).collect()}
     alike = {r["doc_id"]: r["component"] for r in similar.with_groups(docs).collect()}
