@@ -74,3 +74,42 @@ def test_benchmark_paths_agree_and_beat_the_mean(spark, monkeypatch, incomplete)
     assert worse.count() == 0
     hidden = runs[50].groupby("level")["combination"].apply(lambda c: {len(x) for x in c})
     assert hidden.to_dict() == {1: {1}, 2: {2}}
+
+
+def test_visits_return_no_donor_beyond_the_limit():
+    """What a request knows already bounds what later visits send on."""
+    rng = np.random.default_rng(1)
+    donors, x = rng.random((500, 3)), rng.random((40, 3))
+    distance = np.round(np.sqrt(((x[:, None] - donors) ** 2).sum(axis=2)), knn.DISTANCE_DIGITS)
+    limit = np.sort(distance, axis=1)[:, 2]
+    best = knn.search(x, np.full(40, -1), knn.Blocks.build(donors, np.arange(500), 16), 5, limit)
+    assert ((best.place >= 0).sum(axis=1) == 3).all()
+    assert (best.key[:, :3] == np.argsort(distance, axis=1)[:, :3]).all()
+
+
+def test_tree_walk_meets_every_leaf_in_reach():
+    rng = np.random.default_rng(2)
+    values = rng.random((3000, 3))
+    values[rng.random(values.shape) < 0.3] = np.nan
+    values = values[~np.isnan(values).all(axis=1)]
+    path = np.column_stack([knn.presence_bits(values), *(np.nan_to_num(values[:, j] * 4).astype(np.int64) for j in range(2))])
+    leaves, member = np.unique(path, axis=0, return_inverse=True)
+    member = member.ravel()
+    low, high = (np.array([f(values[member == i], axis=0) for i in range(len(leaves))]) for f in (np.min, np.max))
+    tree = knn._Tree.build(leaves, low, high, np.bincount(member), leaves)
+    x, target = values[:200], rng.integers(-1, 3, 200)
+    row, leaf, radius = knn._nearest_leaves(tree, x, target, 5)
+    assert (row == np.arange(200)).all() and (tree.bin_of[leaf] >= 0).all()
+    found = set(zip(*(a.tolist() for a in knn._leaves_within(tree, x, target, np.minimum(radius, 0.2)))))
+    for i in range(200):
+        for j, leaf in enumerate(leaves):
+            rows = values[member == j]
+            common = ~np.isnan(rows[0]) & ~np.isnan(x[i])
+            if common.any() and (target[i] < 0 or not np.isnan(rows[0, target[i]])):
+                near = np.sqrt(3 / common.sum() * ((rows[:, common] - x[i, common]) ** 2).sum(axis=1)).min()
+                if near <= min(radius[i], 0.2):
+                    assert (i, j) in found
+    kth = [np.sort(np.concatenate([np.sqrt(3 / c.sum() * ((values[p][:, c] - x[i, c]) ** 2).sum(axis=1)) for b in np.unique(path[:, 0])
+                                   if (c := (p := path[:, 0] == b).any() & ~np.isnan(values[p][0]) & ~np.isnan(x[i])).any()
+                                   and (target[i] < 0 or b >> target[i] & 1)]))[4] for i in range(200)]
+    assert (radius >= kth).all()
