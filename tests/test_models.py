@@ -314,3 +314,21 @@ def test_beam_against_enumeration(spark, tiny):
     for size in range(1, 6):
         best = max(int(pdf[list(c)].all(axis=1).sum()) for c in combinations(columns, size))
         assert got[(got["size"] == size) & (got["place"] == 1)]["n"].iloc[0] == best
+
+
+def test_inference_makes_no_slopes_and_gives_the_same_bits():
+    """Slopes serve gradients only; the activation is the same with and without them."""
+    rng = np.random.default_rng(3)
+    p = vae.VaeParams()
+    theta = np.stack([vae.initial_weights(p, 5)] * 2)
+    layers = vae._views(theta, p, 5)[:p.enc_layers]
+    x = rng.normal(size=(40, 5))
+    plain, slopes = x, []
+    for w, b in layers:
+        plain = plain @ w + b
+        slopes.append(np.where(plain > 0, 1.0, vae.LEAK))
+        plain = plain * slopes[-1]
+    with_slopes, trace = vae._stack(x, layers)
+    without, bare = vae._stack(x, layers, False)
+    assert np.array_equal(plain, with_slopes) and np.array_equal(plain, without)
+    assert all(np.array_equal(a, b) for a, (_, b) in zip(slopes, trace)) and all(s is None for _, s in bare)
