@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import q
+from ..session import checkpointed
 from .ranking import hash_order, smallest_by_hash
 
 IBE_TARGETS = (100.0, 75.0, 50.0, 25.0, 10.0, 5.0)
@@ -16,17 +17,20 @@ def nearest_to_target_per_source(df: DataFrame, targets=IBE_TARGETS, n: int = 30
                                  source: str = "Database_name", key: str = "sample_id") -> DataFrame:
     """For every +/- target: the row of each source whose error is closest, then the closest ``n // 2`` sources.
 
-    The best row of a source is a map-side minimum, so a source with a third of all rows is no hot group;
-    only one row per (target, sign, source) is ranked.
+    The least distances of a source are map-side minima of numbers, which need no sorting, so a source with a third of
+    all rows is no hot group; only rows at such a distance are compared, and one row per (target, sign, source) is ranked.
     """
     rows = df.where(q(ibe) != 0)
     sign = F.when(q(ibe) > 0, 1).otherwise(-1)
-    wanted = F.inline(F.array(*[F.struct(F.lit(float(t)).alias("target")) for t in targets]))
-    long = rows.select(sign.alias("sign"), q(source).alias(source), q(ibe).alias(ibe), q(key).alias(key), wanted)
-    distance = F.abs(F.col(ibe) - F.col("target") * F.col("sign"))
-    best = long.groupBy("target", "sign", source).agg(
-        F.min(F.struct(distance.alias("distance"), F.col(key), F.col(ibe))).alias("best")).select(
-        "target", "sign", source, "best.*")
+    rows = rows.select(sign.alias("sign"), q(source).alias(source), q(ibe).alias(ibe), q(key).alias(key))
+    distance = lambda t: F.abs(q(ibe) - F.lit(float(t)) * F.col("sign"))
+    least = checkpointed(rows.groupBy("sign", source).agg(*[F.min(distance(t)).alias(f"_least{i}") for i, t in enumerate(targets)]), "least-distances")
+    least = least.withColumnsRenamed({"sign": "_sign", source: "_source"})
+    wanted = F.inline(F.filter(F.array(*[F.struct(F.lit(float(t)).alias("target"), distance(t).alias("distance"), F.col(f"_least{i}").alias("_least"))
+                                         for i, t in enumerate(targets)]), lambda w: w["distance"] == w["_least"]))
+    long = rows.join(least, (F.col("sign") == F.col("_sign")) & q(source).eqNullSafe(F.col("_source"))).select("sign", q(source), q(ibe), q(key), wanted)
+    best = long.groupBy("target", "sign", source).agg(F.min(F.struct("distance", q(key), q(ibe))).alias("best")).select(
+        "target", "sign", q(source), "best.*")
     order = Window.partitionBy("target", "sign").orderBy("distance", key)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n // 2)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrofold.operators import ranking
+from hydrofold.operators import examples
 from hydrofold.operators.examples import mask_list, mask_table, nearest_to_target_per_source, sample_fraction, sample_n
 
 
@@ -67,3 +68,23 @@ def test_masks(spark):
     assert len(mask_list(9)) == 510 == mask_table(spark, 9).count()
     assert {level: sum(1 for x, _ in listed if x == level) for level in range(1, 9)} == {1: 9, 2: 36, 3: 50, 4: 50, 5: 50, 6: 50, 7: 36, 8: 9}
     assert sorted(listed) == sorted((r["level"], r["mask"]) for r in mask_table(spark, 9, 50).collect())
+
+
+def test_nearest_to_target_sorts_no_rows_for_its_minimum(spark, monkeypatch):
+    """Minima of structs are sorted by; minima of numbers are kept per group. Ties, null sources and null keys stay what they were."""
+    rows = [(i, None if i % 5 == 0 else f"s{i % 3}", float(i % 9 - 4)) for i in range(90)] + [(None, "s1", 4.0), (7, "s1", float("nan")), (8, "s1", None)]
+    df = spark.createDataFrame(rows, "sample_id long, Database_name string, ibe double")
+    plans = []
+    monkeypatch.setattr(examples, "checkpointed", lambda df, purpose: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    found = nearest_to_target_per_source(df, (5.0, 2.0), n=30).collect()
+    assert plans and all("SortAggregate" not in p and "HashAggregate" in p for p in plans)
+    want = {}
+    for key, source, ibe in rows:
+        if ibe is not None and ibe != 0:
+            sign = -1 if ibe < 0 else 1
+            for target in (5.0, 2.0):
+                d = abs(ibe - target * sign)
+                here = (d != d, d if d == d else 0.0, key is not None, key if key is not None else 0, ibe)
+                want[target, sign, source] = min(want.get((target, sign, source), here), here)
+    assert {(r["target"], r["sign"], r["Database_name"]): (r["distance"], r["sample_id"], r["ibe"]) for r in found} == {
+        k: (v[1], v[3] if v[2] else None, v[4]) for k, v in want.items()}
