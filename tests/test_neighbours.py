@@ -113,3 +113,16 @@ def test_tree_walk_meets_every_leaf_in_reach():
                                    if (c := (p := path[:, 0] == b).any() & ~np.isnan(values[p][0]) & ~np.isnan(x[i])).any()
                                    and (target[i] < 0 or b >> target[i] & 1)]))[4] for i in range(200)]
     assert (radius >= kth).all()
+
+
+def test_copies_of_a_bin_stay_in_proportion_to_its_visits(spark, monkeypatch):
+    """400 requests of a bin with 2,000 donors, 10 a task: one copy serves them all, not 40."""
+    monkeypatch.setattr(knn, "TASK_REQUESTS", 10)
+    loads, keep = [], knn.checkpointed
+    monkeypatch.setattr(knn, "checkpointed", lambda df, purpose: (kept := keep(df, purpose), loads.append(kept) if purpose == "bin-loads" else None)[0])
+    rng = np.random.default_rng(5)
+    donors = spark.createDataFrame(pd.DataFrame({"donor_id": np.arange(2000), "v": rng.random(2000)})).select("donor_id", F.array("v").alias("y"))
+    requests = spark.createDataFrame(pd.DataFrame({"request_id": np.arange(400), "v": rng.random(400)})).select(
+        "request_id", F.array("v").alias("x"), F.lit(-1).alias("target"))
+    assert knn.knn_join(requests, donors, 1, 3).where("size(donors) = 3").count() == 400
+    assert [r["copies"] for r in loads[0].collect()] == [1]
