@@ -64,3 +64,20 @@ def test_density_agrees_with_the_direct_sum(spark):
     values = [(("x" if i % 2 else "y"), float(i % 13)) for i in range(200)]
     found = clusters.density(spark.createDataFrame(values, "feature string, value double"), ["feature"], 5).collect()
     assert len(found) == 10 and all(r["density"] > 0 for r in found)
+
+
+def test_scores_of_requests_are_those_of_their_cells(spark):
+    df = gappy(spark).unionByName(spark.sql("SELECT 500L AS sample_id, 2.5D AS a, CAST(NULL AS DOUBLE) AS b, 0.5D AS c"))
+    flat = df.withColumn("c", F.when(F.col("c").isNotNull(), F.lit(7.1)))
+    for table in (df, flat, df.limit(0)):
+        make = lambda by: benchmark.mask_benchmark(
+            table, "sample_id", COLUMNS, lambda train: visible_mean_imputer(COLUMNS), include_incomplete=True, by_request=by)  # noqa: B023
+        for keys in (["level", "combination"], ["split", "level", "combination"]):
+            by_cell, by_request = ({tuple(str(r[k]) for k in keys): (r["n"], r["rmse"], r["r2"]) for r in evaluation.imputation_metrics(
+                make(by), keys, min_count=2).collect()} for by in (False, True))
+            assert by_cell.keys() == by_request.keys() and (len(by_cell) >= 6 or table not in (df, flat))
+            for k, (n, rmse, r2) in by_cell.items():
+                got = by_request[k]
+                assert got[0] == n and abs(got[1] - rmse) < 1e-12 and abs(got[2] - r2) < 1e-9, k
+        one, other = ([tuple(r) for r in evaluation.compare_imputers({"m": make(by)}).orderBy("level").collect()] for by in (False, True))
+        assert len(one) == len(other) and all(abs(a - b) < 1e-9 for x, y in zip(one, other) for a, b in zip(x, y))
