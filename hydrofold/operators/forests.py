@@ -2,6 +2,7 @@
 
 Features are cut into bins once. A level is one pass over the rows for all forests and all their trees: a task sends its
 rows down the trees grown so far and counts them by (cluster, tree, node, feature, bin), inside the cluster and outside.
+A row finds its node in the trees of all clusters at once, by masks looked up for its bins.
 The counts of a tree are added up in one group, which returns the best split of each node, so a forest takes as many
 passes as it is deep, however many clusters there are. How often a tree draws a row follows from a hash of the row.
 """
@@ -25,6 +26,8 @@ FOREST_ROWS = 10
 #: Bytes of counts that a task holds; trees beyond that are counted in another pass.
 COUNT_BYTES = 64 << 20
 ROWS_AT_ONCE = 4096
+#: Most nodes of a level whose masks fit 16 bits; larger levels walk down node by node.
+MASKED_NODES = 16
 #: Chances of being drawn at most 0, 1, 2, ... times with a mean of one.
 DRAWN = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
 
@@ -64,6 +67,25 @@ class Trees:
             node = np.where(by >= 0, 2 * node + right, 0)
         return node
 
+    def masks(self, trees: list[int], level: int, features: int, bins: int) -> np.ndarray:
+        """(tree, feature, bin, cluster): a bit for each node at ``level`` that a row with this bin of the feature may be in.
+
+        The bits that a row's features have in common name its node; none are left where its branch ended before.
+        """
+        feature, at_most = (a[:, trees].transpose(1, 0, 2) for a in (self.feature, self.bin))
+        open_ = np.full((len(trees), features, bins, len(self.feature)), (1 << (1 << level)) - 1, np.uint16)
+        each = np.arange(bins)[:, None]
+        for above in range(level):
+            half = 1 << (level - above - 1)  # nodes at the level below each child
+            for node in range(1 << above, 2 << above):
+                left = ((1 << half) - 1) << ((node - (1 << above)) * 2 * half)
+                goes_left = each <= at_most[:, None, :, node]
+                sides = np.where(goes_left, np.uint16(0xFFFF ^ (left << half)), np.uint16(0xFFFF ^ left))
+                for f in range(features):
+                    open_[:, f] &= np.where(feature[:, None, :, node] == f, sides, np.uint16(0xFFFF))
+                open_[:, 0] &= np.where(feature[:, None, :, node] < 0, np.uint16(0xFFFF ^ (left | left << half)), np.uint16(0xFFFF))
+        return open_
+
 
 def binned(df: DataFrame, columns: list[str], by: list[str], bins: int = BINS) -> Binned | None:
     """Complete rows with their values as bins between quantiles; None with too few rows or a single cluster.
@@ -94,33 +116,60 @@ def _draws(place: np.ndarray, tree: int, seed: int) -> np.ndarray:
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
-    return np.searchsorted(DRAWN, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), side="right")
+    chance, times = (x >> np.uint64(11)).astype(np.float64) / (1 << 53), np.zeros(len(x), np.int64)
+    for least in DRAWN:
+        more = chance >= least
+        if not more.any():
+            break
+        times += more
+    return times
 
 
 def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed: int, sampled: bool = True, bins: int = BINS) -> DataFrame:
     """(cluster, tree, counts): a task's counts of one tree, 32-bit (node, feature, bin, inside), for each task."""
     clusters, features, nodes = len(data.cells), data.features, 1 << level
+    masked = nodes <= MASKED_NODES
+    number = np.full(1 << min(nodes, MASKED_NODES), nodes * bins)  # by a mask: where the counts of its node begin, ended branches last
+    number[1 << np.arange(min(nodes, MASKED_NODES))] = np.arange(min(nodes, MASKED_NODES)) * bins
+    slots = (nodes + 1) * bins
+    first = np.arange(clusters) * slots
+
+    def places(grown_masks: np.ndarray, tree: int, x: np.ndarray) -> np.ndarray:
+        """Where the counts of each row's node begin (rows, clusters), within those of the cluster."""
+        if not masked:
+            node = grown.nodes(tree, x.T, level).T
+            return np.where(node > 0, node - nodes, nodes) * bins
+        left = grown_masks[0].take(x[0], axis=0)
+        for f in range(1, features):
+            left &= grown_masks[f].take(x[f], axis=0)
+        return number.take(left)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(trees), features, clusters * nodes * bins * 2), np.int32)
-        first = np.arange(clusters)[:, None] * nodes - nodes
+        # All rows by the node they are in for each cluster; those of the cluster itself are a row's own once more.
+        both, inside = (np.zeros((len(trees), features, clusters * slots), np.int32) for _ in range(2))
+        masks = grown.masks(trees, level, features, bins) if masked and level else [None] * len(trees)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                x = part.column("bins").flatten().to_numpy().reshape(-1, features)
-                inside = part.column("cluster").to_numpy()[None, :] == np.arange(clusters)[:, None]
-                place = part.column("place").to_numpy()
+                table = np.ascontiguousarray(part.column("bins").flatten().to_numpy().reshape(-1, features).T).astype(np.int64)
+                cluster, place = part.column("cluster").to_numpy().astype(np.int64), part.column("place").to_numpy()
                 for i, tree in enumerate(trees):
-                    node = grown.nodes(tree, x, level)
-                    times = _draws(place, tree, seed) if sampled else np.ones(len(x), np.int64)
-                    alive = (node > 0) & (times > 0)[None, :]
-                    weight = np.broadcast_to(times, node.shape)[alive]
-                    base, own = ((first + node) * bins * 2)[alive], inside[alive]
-                    row = np.broadcast_to(np.arange(len(x)), node.shape)[alive]
+                    times = _draws(place, tree, seed) if sampled else np.ones(len(place), np.int64)
+                    drawn = np.flatnonzero(times)
+                    x, own, times = table[:, drawn], cluster[drawn], times[drawn].astype(np.float64)
+                    if level:
+                        begin = places(masks[i], tree, x)
+                        mine = begin[np.arange(len(own)), own] + first[own]
+                        begin, each = begin + first, np.repeat(times, clusters)
+                        for f in range(features):
+                            both[i, f] += np.bincount((begin + x[f][:, None]).ravel(), each, clusters * slots).astype(np.int32)
+                    else:  # all rows are in the root
+                        mine = first[own]
                     for f in range(features):
-                        found = np.bincount(base + x[row, f] * 2 + own, weight, total.shape[2])
-                        total[i, f] += found.astype(np.int32)
-        shaped = total.reshape(len(trees), features, clusters, nodes, bins, 2).transpose(2, 0, 3, 1, 4, 5)
+                        inside[i, f] += np.bincount(mine + x[f], times, clusters * slots).astype(np.int32)
+        shaped = lambda counts: counts.reshape(len(trees), features, clusters, nodes + 1, bins)[:, :, :, :nodes]
+        own, whole = shaped(inside), shaped(both) if level else shaped(inside).sum(axis=2, keepdims=True, dtype=np.int32)
+        shaped = np.stack([whole - own, own], axis=-1).transpose(2, 0, 3, 1, 4, 5)
         for c in range(clusters):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(trees), c, np.int32)), pa.array(trees, pa.int32()), pa.array([shaped[c, i].tobytes() for i in range(len(trees))], pa.binary())],
@@ -172,7 +221,7 @@ def grow(data: Binned, trees: int, depth: int, seed: int) -> tuple[Trees, np.nda
     clusters, features = len(data.cells), data.features
     grown, gained = Trees.stumps(clusters, trees, depth), np.zeros((clusters, trees, features))
     for level in range(depth):
-        size = clusters * (1 << level) * features * BINS * 2 * 4
+        size = clusters * ((1 << level) + 1) * features * BINS * 2 * 4
         together = max(1, COUNT_BYTES // size)
         for at in range(0, trees, together):
             counts = level_counts(data, grown, level, list(range(at, min(trees, at + together))), seed)

@@ -88,3 +88,25 @@ def test_small_and_odd_tables(spark, table):
     found = {(r["som_x"], r["som_y"], r["feature"]): r["importance"] for r in clusters.rf_importance_local(constant, ["a", "b"], trees=5).collect()}
     assert all(v == (f == "b") for (_, _, f), v in found.items())
     assert set(forests.root_gains(constant, ["a", "b"], ["som_x", "som_y"]).toPandas()["feature"]) == {"b"}
+
+
+def test_masks_name_the_nodes_that_a_walk_finds():
+    rng = np.random.default_rng(2)
+    clusters, features, bins = 3, 4, 8
+    grown = forests.Trees(rng.integers(-1, features, (clusters, 2, 32)).astype(np.int8), rng.integers(0, bins, (clusters, 2, 32)).astype(np.int16))
+    grown.feature[:, :, 0], grown.feature[:, :, 1] = -1, np.maximum(grown.feature[:, :, 1], 0)
+    x = rng.integers(0, bins, (500, features))
+    for level in range(1, 5):
+        masks = grown.masks([1, 0], level, features, bins)
+        for i, tree in enumerate((1, 0)):
+            left = np.bitwise_and.reduce([masks[i, f][x[:, f]] for f in range(features)])
+            node = grown.nodes(tree, x, level).T
+            assert (left == np.where(node > 0, 1 << np.maximum(node - (1 << level), 0), 0)).all() and (node > 0).any()
+
+
+def test_levels_beyond_masks_are_walked(table, monkeypatch):
+    data = forests.binned(table, ["a", "b", "c"], ["som_x", "som_y"])
+    masked = forests.grow(data, 2, 4, 7)
+    monkeypatch.setattr(forests, "MASKED_NODES", 2)
+    walked = forests.grow(data, 2, 4, 7)
+    assert (masked[0].feature == walked[0].feature).all() and (masked[0].bin == walked[0].bin).all() and np.allclose(masked[1], walked[1])
