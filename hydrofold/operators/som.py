@@ -34,6 +34,10 @@ SHARD_ROWS = 8192
 ROUNDS = 20
 LAST_RATE = 0.01
 LAST_SIGMA = 1.0 / 3.0
+#: Distances that are held at once, which stay in a core's cache.
+DISTANCES_AT_ONCE = 65_536
+#: Products that differ by less, by the size of the numbers, are told apart by the plain distances.
+CLOSE = 1e-12
 
 
 @dataclass(frozen=True)
@@ -81,6 +85,38 @@ def _distances(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _best_cells(x: np.ndarray, weights: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The cell of least distance of each row of ``x`` (features x rows), and if asked for the next one; ties take the first cell.
+
+    Products x.w - |w|^2 / 2 find the cell; rows where another cell comes within rounding are decided by ``_distances``.
+    """
+    cells, n = len(weights), x.shape[1]
+    numbers = np.arange(cells, dtype=np.uint8 if cells <= 256 else np.int64)[:, None]
+    half = 0.5 * (weights * weights).sum(axis=1)
+    found = np.zeros((1 + second, n), np.int64)
+    step = max(64, DISTANCES_AT_ONCE // cells)
+    for at in range(0, n, step):
+        part = x[:, at:at + step]
+        with np.errstate(invalid="ignore", over="ignore"):
+            score = weights @ part
+            score -= half[:, None]
+            room = CLOSE * (1.0 + (part * part).sum(axis=0) + 2.0 * half.max())
+            unsure = np.zeros(part.shape[1], bool)
+            for one in found[:, at:at + step]:
+                near = score > score.max(axis=0) - room
+                unsure |= near.sum(axis=0, dtype=np.uint8 if cells < 256 else np.int64) != 1
+                one[:] = np.where(unsure, 0, (near.view(np.uint8) * numbers).sum(axis=0, dtype=numbers.dtype))
+                if second:
+                    score[one, np.arange(len(one))] = -np.inf
+        rows = np.flatnonzero(unsure)
+        for some in np.split(rows, range(step, len(rows), step)) if len(rows) else ():
+            d = _distances(part[:, some].T, weights)
+            for one in found[:, at:at + step]:
+                one[some] = d.argmin(axis=1)
+                d[np.arange(len(some)), one[some]] = np.inf
+    return found[0], found[1] if second else None
+
+
 def _cell_sums(df: DataFrame, books: list[Codebook]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every codebook, per cell the sum of its rows and their number, all in one pass."""
     columns, d = books[0].columns, len(books[0].columns)
@@ -90,11 +126,11 @@ def _cell_sums(df: DataFrame, books: list[Codebook]) -> list[tuple[np.ndarray, n
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(w), d + 1)) for w in weights]
         for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for w, total in zip(weights, sums):
-                best = _distances(rows, w).argmin(axis=1)
+                best, _ = _best_cells(rows, w)
                 for j in range(d):
-                    total[:, j] += np.bincount(best, rows[:, j], len(w))
+                    total[:, j] += np.bincount(best, rows[j], len(w))
                 total[:, d] += np.bincount(best, minlength=len(w))
         for i, total in enumerate(sums):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), i, np.int32)), pa.array(np.arange(len(total), dtype=np.int32)),
@@ -233,11 +269,9 @@ def som_assign(df: DataFrame, book: Codebook) -> DataFrame:
 
     @F.pandas_udf(schema)
     def best(columns: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(columns.to_numpy(dtype=float), weights)
-        first = d.argmin(axis=1)
-        distance = np.sqrt(d[np.arange(len(d)), first])
-        d[np.arange(len(d)), first] = np.inf
-        second = d.argmin(axis=1)
+        rows = np.stack([columns[c].to_numpy(dtype=float) for c in columns])
+        first, second = _best_cells(rows, weights, second=True)
+        distance = np.sqrt(sum((x - w[first]) ** 2 for x, w in zip(rows, weights.T)))
         return pd.DataFrame({"som_x": (first // height).astype("int32"), "som_y": (first % height).astype("int32"),
                              "distance": distance, "second_touches": touching[first, second]})
 

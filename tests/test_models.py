@@ -332,3 +332,22 @@ def test_inference_makes_no_slopes_and_gives_the_same_bits():
     without, bare = vae._stack(x, layers, False)
     assert np.array_equal(plain, with_slopes) and np.array_equal(plain, without)
     assert all(np.array_equal(a, b) for a, (_, b) in zip(slopes, trace)) and all(s is None for _, s in bare)
+
+
+def test_best_cells_are_those_of_the_plain_distances(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.random((3000, 3))
+    rows[:400] = np.round(rows[:400] * 4) / 4  # halfway between cells of the even map
+    rows[400], rows[401] = 1e9, [np.inf, 0.0, 0.0]
+    plain, decided = som._distances, []
+    monkeypatch.setattr(som, "_distances", lambda some, weights: decided.append(len(some)) or plain(some, weights))
+    for weights in (np.zeros((1, 3)), np.zeros((5, 3)), som.grid_codebook(["a", "b", "c"], 3, 3).weights, rng.random((100, 3)), rng.random((400, 3))):
+        d = plain(rows, weights)
+        first = d.argmin(axis=1)
+        d[np.arange(len(d)), first] = np.inf
+        decided.clear()
+        got, second = som._best_cells(np.ascontiguousarray(rows.T), weights, second=True)
+        assert (got == first).all() and (second == d.argmin(axis=1)).all()
+        assert (som._best_cells(np.ascontiguousarray(rows.T), weights)[0] == first).all()
+        if len(weights) == 100:  # all but a few rows are decided without their distances
+            assert sum(decided) < 50
