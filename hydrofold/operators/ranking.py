@@ -13,6 +13,8 @@ from ..schema import q
 from ..session import checkpointed
 
 BUCKET_ROWS = 1_000_000
+#: Share of a group's values, as one in so many, by which a sketch may miss a rank.
+SKETCH_ACCURACY = 1000
 _BUCKET, _BASE = "_bucket", "_base"
 
 
@@ -93,6 +95,38 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     return looked_up.select(*by, "total", F.transform(probs, interpolate).alias(output))
 
 
+def bracketed_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float], output: str = "quantiles",
+                        accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """``exact_quantiles`` for few groups and few probabilities, in two passes that neither shuffle nor hold all values.
+
+    A sketch gives two values around each wanted one. Then values below such a bracket are only counted, and those inside,
+    less than a hundredth, are counted by value and ranked. Where a bracket should miss its rank, all values are ranked.
+    """
+    known = df.where(q(value).isNotNull()).withColumn("_value", q(value).cast("double"))
+    around = [min(1.0, max(0.0, p + side * 2.0 / accuracy)) for p in probabilities for side in (-1, 1)]
+    found = known.groupBy(*by).agg(F.count("*").alias("total"), F.percentile_approx("_value", around, accuracy).alias("_edges"),
+                                   F.min("_value").alias("_min"), F.max("_value").alias("_max"))
+    rows = found.collect()  # a row for each group
+    groups = F.broadcast(df.sparkSession.createDataFrame(rows, found.schema))
+    edge = lambda i, end: F.col(end) if around[i] in (0.0, 1.0) else F.get("_edges", F.lit(i))
+    brackets = F.array(*[F.struct(F.lit(i).alias("_place"), edge(2 * i, "_min").alias("_low"), edge(2 * i + 1, "_max").alias("_high"))
+                         for i in range(len(probabilities))])
+    met = known.join(groups, by).select(*by, "_value", F.inline(brackets)).where(F.col("_value") <= F.col("_high"))
+    counts = met.groupBy(*by, "_place", F.when(F.col("_value") >= F.col("_low"), F.col("_value")).alias("_value")).agg(F.count("*").alias("n"))
+    running = Window.partitionBy(*by, "_place").orderBy(F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_end", F.sum("n").over(running)).join(groups, by)
+    position = (F.col("total") - 1).cast("double") * F.get(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_place"))
+    at = lambda rank: F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("n") <= rank), F.col("_value")))
+    share = F.max(position - F.floor(position))
+    ends = placed.groupBy(*by, "_place").agg(at(F.floor(position)).alias("_a"), at(F.ceil(position)).alias("_b"), share.alias("_share"))
+    values = ends.collect()  # a row for each group and probability
+    if len(values) < len(rows) * len(probabilities) or any(r["_a"] is None or r["_b"] is None for r in values):
+        return exact_quantiles(df, by, value, probabilities, output)
+    ends = df.sparkSession.createDataFrame(values, ends.schema)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_place", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")).alias("v")))), lambda e: e["v"])
+    return ends.groupBy(*by).agg(ordered.alias(output)).join(groups.select(*by, "total"), by).select(*by, "total", output)
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct values with their tie-averaged 1-based rank."""
     ranked = ranked_values(df, by, value, bucket_rows)

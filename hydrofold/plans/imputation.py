@@ -13,7 +13,7 @@ from ..operators import benchmark, evaluation
 from ..operators.completeness import feature_set_plan, featureset_availability
 from ..operators.features import Standard, clipped, quantile_clip, select_features, split_label
 from ..operators.filters import complete_cases
-from ..operators.ranking import exact_quantiles
+from ..operators.ranking import bracketed_quantiles
 from ..operators.vae import Training, VaeModel, VaeParams, fitted, vae_fit_sets, vae_imputer
 from ..schema import OPTIONAL_FEATURES, q
 from ..session import checkpointed
@@ -49,7 +49,7 @@ class SetStatistics:
 
 def set_statistics(df: DataFrame, key: str, sets: dict[str, list[str]], clip: float | None = 0.02, test_fraction: float = 0.1,
                    seed: int = 42) -> dict[str, SetStatistics]:
-    """Statistics of all sets over their complete training rows; the table is scanned once for all of them.
+    """Statistics of all sets over their complete training rows, which are written once; passes over them serve all sets.
 
     Sets without a complete training row are left out.
     """
@@ -58,14 +58,15 @@ def set_statistics(df: DataFrame, key: str, sets: dict[str, list[str]], clip: fl
     complete = lambda columns: reduce(Column.__and__, [q(c).isNotNull() for c in columns])
     member = F.array(*[F.when(complete(columns), F.struct(F.lit(label).alias("label"), F.array(*[q(c).cast("double") for c in columns]).alias("x")))
                        for label, columns in sets.items()])
-    train = df.where(split_label(q(key), test_fraction, seed) == "Train").select(F.explode(F.array_compact(member)).alias("m"))
+    used = list(dict.fromkeys(c for columns in sets.values() for c in columns))
+    rows = checkpointed(df.where(split_label(q(key), test_fraction, seed) == "Train").select([q(c) for c in used]), "set-rows")
+    train = rows.select(F.explode(F.array_compact(member)).alias("m"))
     cells = train.select("m.label", F.posexplode("m.x").alias("place", "value"))
     names = {(label, place): c for label, columns in sets.items() for place, c in enumerate(columns)}
     if clip is None:
         clipped_cells, bounds = cells, {}
     else:
-        cells = checkpointed(cells, "set-cells")
-        quantiles = exact_quantiles(cells, ["label", "place"], "value", [clip, 1 - clip]).select(
+        quantiles = bracketed_quantiles(cells, ["label", "place"], "value", [clip, 1 - clip]).select(
             "label", "place", F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
         found = quantiles.collect()  # a row for each feature of each set
         bounds = {(r["label"], r["place"]): (r["low"], r["high"]) for r in found}

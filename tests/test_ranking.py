@@ -88,3 +88,30 @@ def test_nearest_to_target_sorts_no_rows_for_its_minimum(spark, monkeypatch):
                 want[target, sign, source] = min(want.get((target, sign, source), here), here)
     assert {(r["target"], r["sign"], r["Database_name"]): (r["distance"], r["sample_id"], r["ibe"]) for r in found} == {
         k: (v[1], v[3] if v[2] else None, v[4]) for k, v in want.items()}
+
+
+def test_bracketed_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [("spread", rng.lognormvariate(0, 3)) for _ in range(5000)] + [("ties", float(rng.randrange(3))) for _ in range(3000)]
+    rows += [("hot", 0.0)] * 900 + [("hot", rng.random()) for _ in range(100)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    wanted = [0.98, 0.02, 0.5, 0.0, 1.0]
+    of = lambda table: {r["g"]: (r["total"], tuple(r["q"])) for r in table.collect()}
+    want = of(ranking.exact_quantiles(df, ["g"], "v", wanted, "q"))
+    assert of(ranking.bracketed_quantiles(df, ["g"], "v", wanted, "q")) == want and len(want) == 5
+    assert ranking.bracketed_quantiles(df.limit(0), ["g"], "v", wanted, "q").count() == 0
+
+
+def test_set_statistics_does_not_shuffle_all_cells(spark, monkeypatch):
+    from hydrofold.plans import imputation
+
+    def refuse(*args, **options):
+        raise AssertionError("all values were counted one by one")
+
+    monkeypatch.setattr(ranking, "_counted", refuse)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, float(rng.random()), float(rng.random()) if i % 4 else None) for i in range(2000)], "id long, a double, b double")
+    found = imputation.set_statistics(df, "id", {"a": ["a"], "ab": ["a", "b"]})
+    assert found["ab"].n < 0.8 * found["a"].n and all(0.0 < low < 0.1 and 0.9 < high < 1.0 for s in found.values() for low, high in s.bounds.values())
