@@ -22,6 +22,8 @@ from .ranking import ranked_values
 CELL = ["som_x", "som_y"]
 # fixed value: the largest group whose rank test is exact
 EXACT_ROWS = 8
+#: Rows per task of a forest over all clusters, which keeps each row with its number of draws for every tree.
+FOREST_TASK_ROWS = 250_000
 
 
 def cluster_means(df: DataFrame, columns: list[str], by: list[str] = CELL) -> DataFrame:
@@ -245,7 +247,9 @@ def rf_importance_global(df: DataFrame, columns: list[str], by: list[str] = CELL
         if size["n"] < FOREST_ROWS or size["low"] == size["high"]:
             return df.sparkSession.createDataFrame([], "scope string, feature string, importance double")
         indexed = StringIndexer(inputCol="_cluster", outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-        model = _forest(trees, depth, seed).fit(indexed.select("_x", "_y"))
+        tasks = -(-size["n"] // FOREST_TASK_ROWS)
+        dealt = indexed.select("_x", "_y")
+        model = _forest(trees, depth, seed).fit(dealt.repartition(tasks) if tasks > dealt.rdd.getNumPartitions() else dealt)
     finally:
         rows.unpersist()
     return _importances(df.sparkSession, columns, model.featureImportances.toArray(), {"scope": "global"})

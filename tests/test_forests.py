@@ -110,3 +110,13 @@ def test_levels_beyond_masks_are_walked(table, monkeypatch):
     monkeypatch.setattr(forests, "MASKED_NODES", 2)
     walked = forests.grow(data, 2, 4, 7)
     assert (masked[0].feature == walked[0].feature).all() and (masked[0].bin == walked[0].bin).all() and np.allclose(masked[1], walked[1])
+
+
+def test_rows_of_the_global_forest_are_dealt_to_tasks_of_a_fixed_size(table, monkeypatch):
+    dealt = []
+    fit = clusters.RandomForestClassifier.fit
+    monkeypatch.setattr(clusters.RandomForestClassifier, "fit", lambda self, rows: dealt.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    plain = {r["feature"]: r["importance"] for r in clusters.rf_importance_global(table, ["a", "b", "c"], trees=20).collect()}
+    monkeypatch.setattr(clusters, "FOREST_TASK_ROWS", 30)
+    small = {r["feature"]: r["importance"] for r in clusters.rf_importance_global(table, ["a", "b", "c"], trees=20).collect()}
+    assert dealt == [5, 20] and all(abs(plain[f] - small[f]) < 0.1 for f in plain)
