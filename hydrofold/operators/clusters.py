@@ -243,13 +243,16 @@ def rf_importance_global(df: DataFrame, columns: list[str], by: list[str] = CELL
     labelled = complete.withColumn("_cluster", F.concat_ws(",", *[q(c).cast("string") for c in by]))
     rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(labelled).select("_x", "_cluster").persist()
     try:
-        size = rows.agg(F.count("*").alias("n"), F.min("_cluster").alias("low"), F.max("_cluster").alias("high")).first()
-        if size["n"] < FOREST_ROWS or size["low"] == size["high"]:
+        counts = rows.groupBy(F.spark_partition_id().alias("_task"), "_cluster").agg(F.count("*").alias("n"))
+        parts = counts.groupBy("_task").agg(F.sum("n").alias("n"), F.min("_cluster").alias("low"), F.max("_cluster").alias("high"))
+        size = parts.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+        if (size["n"] or 0) < FOREST_ROWS or size["low"] == size["high"]:
             return df.sparkSession.createDataFrame([], "scope string, feature string, importance double")
         indexed = StringIndexer(inputCol="_cluster", outputCol="_y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-        tasks = -(-size["n"] // FOREST_TASK_ROWS)
         dealt = indexed.select("_x", "_y")
-        model = _forest(trees, depth, seed).fit(dealt.repartition(tasks) if tasks > dealt.rdd.getNumPartitions() else dealt)
+        if size["most"] > FOREST_TASK_ROWS:
+            dealt = dealt.repartition(max(-(-size["n"] // FOREST_TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism))
+        model = _forest(trees, depth, seed).fit(dealt)
     finally:
         rows.unpersist()
     return _importances(df.sparkSession, columns, model.featureImportances.toArray(), {"scope": "global"})
