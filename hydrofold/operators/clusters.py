@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.normal import two_sided_p
 from ..schema import q
 from ..session import checkpointed
-from .forests import FOREST_ROWS, binned, grow, importances
+from .forests import FOREST_ROWS, binned, folded, grow, importances
 from .profile import unpivot
 from .ranking import ranked_values
 
@@ -265,6 +265,7 @@ def rf_importance_local(df: DataFrame, columns: list[str], by: list[str] = CELL,
     data = binned(df, columns, by)
     if data is None:
         return df.sparkSession.createDataFrame([], schema)
+    data = folded(data, trees, seed)
     rows = data.rows.persist()
     try:
         values = importances(grow(replace(data, rows=rows), trees, depth, seed)[1])

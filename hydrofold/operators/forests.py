@@ -5,12 +5,14 @@ rows down the trees grown so far and counts them by (cluster, tree, node, featur
 A row finds its node in the trees of all clusters at once, by masks looked up for its bins.
 The counts of a tree are added up in one group, which returns the best split of each node, so a forest takes as many
 passes as it is deep, however many clusters there are. How often a tree draws a row follows from a hash of the row.
+Where bins and clusters have few combinations, rows are folded to these first, with the number of draws by each tree: then
+the rows are read once, and the levels count combinations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ BINS = 32
 FOREST_ROWS = 10
 #: Bytes of counts that a task holds; trees beyond that are counted in another pass.
 COUNT_BYTES = 64 << 20
+#: Most combinations of bins and cluster to which rows are folded.
+FOLDED_PLACES = 1 << 20
 ROWS_AT_ONCE = 4096
 #: Most nodes of a level whose masks fit 16 bits; larger levels walk down node by node.
 MASKED_NODES = 16
@@ -34,16 +38,25 @@ DRAWN = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
 
 @dataclass(frozen=True)
 class Binned:
-    """Rows as (bins, cluster, place) with the cells that the cluster numbers stand for and the edges of each feature."""
+    """Rows as (bins, cluster, place) with the cells that the cluster numbers stand for and the edges of each feature.
+
+    Folded rows are (bins, cluster, times) with 64-bit draws by each tree in place of the hash.
+    """
 
     rows: DataFrame
     cells: list[tuple]
     edges: list[np.ndarray]
+    folded: bool = False
 
     @property
     def features(self) -> int:
         return len(self.edges)
 
+    @property
+    def kind(self) -> type:
+        """Of counts: a folded row may stand for very many."""
+        return np.int64 if self.folded else np.int32
+
 
 @dataclass
 class Trees:
@@ -125,9 +138,67 @@ def _draws(place: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return times
 
 
+def _read(part: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins (feature, row) and clusters of a batch."""
+    bins = np.ascontiguousarray(part.column("bins").flatten().to_numpy().reshape(-1, features).T).astype(np.int64)
+    return bins, part.column("cluster").to_numpy().astype(np.int64)
+
+
+def _times(part: pa.RecordBatch) -> np.ndarray:
+    """Draws (row, tree) of folded rows."""
+    return np.frombuffer(b"".join(part.column("times").to_pylist()), np.int64).reshape(part.num_rows, -1)
+
+
+def folded(data: Binned, trees: int, seed: int) -> Binned:
+    """Rows that agree in bins and cluster as one, with the sum of their draws by each tree, where the combinations are few enough.
+
+    A task adds up its rows before they are dealt by combination and added up once more, so a frequent one costs a row a task.
+    """
+    features, shape = data.features, (len(data.cells), *(len(e) + 1 for e in data.edges))
+    if np.prod(shape, dtype=float) > FOLDED_PLACES:
+        return data
+    most = max(ROWS_AT_ONCE, COUNT_BYTES // (8 * trees))  # combinations that a task holds before it passes them on
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, codes, total, held = np.full(np.prod(shape), -1), np.zeros(most, np.int64), np.zeros((most, trees), np.int64), 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for at in range(0, held, ROWS_AT_ONCE):
+                some = slice(at, min(held, at + ROWS_AT_ONCE))
+                cluster, *bins = np.unravel_index(codes[some], shape)
+                flat = pa.array(np.stack(bins, axis=1).ravel().astype(np.int16))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, features), pa.int32()), flat)
+                times = pa.array([row.tobytes() for row in total[some]], pa.binary())
+                yield pa.RecordBatch.from_arrays([lists, pa.array(cluster.astype(np.int32)), times], names=["bins", "cluster", "times"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                bins, cluster = _read(part, features)
+                code = np.ravel_multi_index((cluster, *bins), shape)
+                order = code.argsort(kind="stable")
+                found, begin = np.unique(code[order], return_index=True)
+                if held + len(found) > most:
+                    yield from sent()
+                    slot[codes[:held]], total[:held], held = -1, 0, 0
+                new = found[slot[found] < 0]
+                slot[new] = np.arange(held, held + len(new))
+                codes[held:held + len(new)] = new
+                held += len(new)
+                if "times" in part.schema.names:
+                    total[slot[found]] += np.add.reduceat(_times(part)[order], begin, axis=0)
+                else:
+                    place = part.column("place").to_numpy()[order]
+                    total[slot[found]] += np.stack([np.add.reduceat(_draws(place, tree, seed), begin) for tree in range(trees)], axis=1)
+        yield from sent()
+
+    schema = "bins array<short>, cluster int, times binary"
+    return replace(data, rows=data.rows.mapInArrow(fold, schema).repartition("cluster", "bins").mapInArrow(fold, schema), folded=True)
+
+
 def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed: int, sampled: bool = True, bins: int = BINS) -> DataFrame:
-    """(cluster, tree, counts): a task's counts of one tree, 32-bit (node, feature, bin, inside), for each task."""
-    clusters, features, nodes = len(data.cells), data.features, 1 << level
+    """(cluster, tree, counts): a task's counts of one tree (node, feature, bin, inside), for each task."""
+    clusters, features, nodes, kind, fold = len(data.cells), data.features, 1 << level, data.kind, data.folded
     masked = nodes <= MASKED_NODES
     number = np.full(1 << min(nodes, MASKED_NODES), nodes * bins)  # by a mask: where the counts of its node begin, ended branches last
     number[1 << np.arange(min(nodes, MASKED_NODES))] = np.arange(min(nodes, MASKED_NODES)) * bins
@@ -146,15 +217,18 @@ def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # All rows by the node they are in for each cluster; those of the cluster itself are a row's own once more.
-        both, inside = (np.zeros((len(trees), features, clusters * slots), np.int32) for _ in range(2))
+        both, inside = (np.zeros((len(trees), features, clusters * slots), kind) for _ in range(2))
         masks = grown.masks(trees, level, features, bins) if masked and level else [None] * len(trees)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                table = np.ascontiguousarray(part.column("bins").flatten().to_numpy().reshape(-1, features).T).astype(np.int64)
-                cluster, place = part.column("cluster").to_numpy().astype(np.int64), part.column("place").to_numpy()
+                table, cluster = _read(part, features)
+                draws = _times(part) if fold else None
                 for i, tree in enumerate(trees):
-                    times = _draws(place, tree, seed) if sampled else np.ones(len(place), np.int64)
+                    if fold:
+                        times = draws[:, tree]
+                    else:
+                        times = _draws(part.column("place").to_numpy(), tree, seed) if sampled else np.ones(len(cluster), np.int64)
                     drawn = np.flatnonzero(times)
                     x, own, times = table[:, drawn], cluster[drawn], times[drawn].astype(np.float64)
                     if level:
@@ -162,13 +236,13 @@ def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed:
                         mine = begin[np.arange(len(own)), own] + first[own]
                         begin, each = begin + first, np.repeat(times, clusters)
                         for f in range(features):
-                            both[i, f] += np.bincount((begin + x[f][:, None]).ravel(), each, clusters * slots).astype(np.int32)
+                            both[i, f] += np.bincount((begin + x[f][:, None]).ravel(), each, clusters * slots).astype(kind)
                     else:  # all rows are in the root
                         mine = first[own]
                     for f in range(features):
-                        inside[i, f] += np.bincount(mine + x[f], times, clusters * slots).astype(np.int32)
+                        inside[i, f] += np.bincount(mine + x[f], times, clusters * slots).astype(kind)
         shaped = lambda counts: counts.reshape(len(trees), features, clusters, nodes + 1, bins)[:, :, :, :nodes]
-        own, whole = shaped(inside), shaped(both) if level else shaped(inside).sum(axis=2, keepdims=True, dtype=np.int32)
+        own, whole = shaped(inside), shaped(both) if level else shaped(inside).sum(axis=2, keepdims=True, dtype=kind)
         shaped = np.stack([whole - own, own], axis=-1).transpose(2, 0, 3, 1, 4, 5)
         for c in range(clusters):
             yield pa.RecordBatch.from_arrays(
@@ -178,10 +252,10 @@ def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed:
     return data.rows.mapInArrow(count, "cluster int, tree int, counts binary")
 
 
-def _summed(table: pa.Table, nodes: int, features: int, bins: int) -> np.ndarray:
+def _summed(table: pa.Table, nodes: int, features: int, bins: int, kind: type) -> np.ndarray:
     total = np.zeros((nodes, features, bins, 2))
     for piece in table.column("counts").to_pylist():
-        total += np.frombuffer(piece, np.int32).reshape(total.shape)
+        total += np.frombuffer(piece, kind).reshape(total.shape)
     return total
 
 
@@ -197,10 +271,10 @@ def split_gains(counts: np.ndarray) -> np.ndarray:
     return np.where((size(left) > 0) & (size(right) > 0), gain, 0.0)
 
 
-def _best(table: pa.Table, level: int, features: int, bins: int, seed: int) -> pa.Table:
+def _best(table: pa.Table, level: int, features: int, bins: int, seed: int, kind: type) -> pa.Table:
     """The best split of each node of a tree among some features drawn for the node, or among the next that has one."""
     cluster, tree = table.column("cluster")[0].as_py(), table.column("tree")[0].as_py()
-    counts = _summed(table, 1 << level, features, bins)
+    counts = _summed(table, 1 << level, features, bins, kind)
     gains, weight, found = split_gains(counts), counts[:, 0].sum(axis=(1, 2)), []
     tried = max(1, round(features ** 0.5))
     for i in np.flatnonzero(weight):
@@ -218,15 +292,15 @@ def _best(table: pa.Table, level: int, features: int, bins: int, seed: int) -> p
 
 def grow(data: Binned, trees: int, depth: int, seed: int) -> tuple[Trees, np.ndarray]:
     """All trees of all forests, and the importance of the features in each tree (cluster, tree, feature)."""
-    clusters, features = len(data.cells), data.features
+    clusters, features, kind = len(data.cells), data.features, data.kind
     grown, gained = Trees.stumps(clusters, trees, depth), np.zeros((clusters, trees, features))
     for level in range(depth):
-        size = clusters * ((1 << level) + 1) * features * BINS * 2 * 4
+        size = clusters * ((1 << level) + 1) * features * BINS * 2 * np.dtype(kind).itemsize
         together = max(1, COUNT_BYTES // size)
         for at in range(0, trees, together):
             counts = level_counts(data, grown, level, list(range(at, min(trees, at + together))), seed)
             schema = "cluster int, tree int, node int, feature int, bin int, gain double, weight double"
-            best = counts.groupBy("cluster", "tree").applyInArrow(lambda t: _best(t, level, features, BINS, seed), schema)  # noqa: B023
+            best = counts.groupBy("cluster", "tree").applyInArrow(lambda t: _best(t, level, features, BINS, seed, kind), schema)  # noqa: B023
             for c, t, node, f, b, gain, weight in best.collect():  # the splits of one level
                 grown.feature[c, t, node], grown.bin[c, t, node] = f, b
                 gained[c, t, f] += gain * weight
@@ -248,11 +322,11 @@ def root_gains(df: DataFrame, columns: list[str], by: list[str], bins: int = BIN
     schema = f"{kinds}, feature string, bin int, gain double"
     if data is None:
         return df.sparkSession.createDataFrame([], schema)
-    features, sides = data.features, [len(e) for e in data.edges]
+    features, kind, sides = data.features, data.kind, [len(e) for e in data.edges]
 
     def gains(table: pa.Table) -> pa.Table:
         cluster = table.column("cluster")[0].as_py()
-        found = split_gains(_summed(table, 1, features, bins))[0]
+        found = split_gains(_summed(table, 1, features, bins, kind))[0]
         rows = [(cluster, f, b, float(found[f, b])) for f in range(features) for b in range(sides[f]) if found[f, b] > 0]
         columns_ = list(zip(*rows)) if rows else [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns_, [pa.int32(), pa.int32(), pa.int32(), pa.float64()])], names=["cluster", "place", "bin", "gain"])

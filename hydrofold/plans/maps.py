@@ -47,18 +47,19 @@ def som_analysis(df: DataFrame, selection: list[str], report_columns: list[str],
                  temperature: str = "temperature", rock: str = "rock_type", period: str = "period", min_rows: int = MIN_ROWS) -> MapReport | None:
     """Fit a map on the selected features and describe its clusters; None with too few rows.
 
-    The scaled rows are persisted for the passes of the fit only; the reports read the assigned rows from the work folder.
+    Only the scaled features are persisted, for the passes of the fit; the reports read the assigned rows from the work folder.
     Log ranges are given for the three features that matter most in each cluster.
     """
     columns, _ = select_features(df.columns, selection)
     if df.dropna("any", subset=columns).limit(min_rows).count() < min_rows:
         return None
-    rows = map_rows(df, columns, temperature).persist()
+    rows, scaled = map_rows(df, columns, temperature), [f"{c}_s" for c in columns]
+    fitted = rows.select([q(c) for c in scaled]).persist()
     try:
-        book = som.som_fit(rows, [f"{c}_s" for c in columns], x, y, epochs=epochs)
-        assigned = checkpointed(som.som_assign(rows, book), "assigned")
+        book = som.som_fit(fitted, scaled, x, y, epochs=epochs)
     finally:
-        rows.unpersist()
+        fitted.unpersist()
+    assigned = checkpointed(som.som_assign(rows, book), "assigned")
     local = clusters.rf_importance_local(assigned, report_columns)
     top = clusters.top_importances(local, 3).select("som_x", "som_y", "feature", "rank")
     return MapReport(

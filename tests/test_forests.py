@@ -120,3 +120,28 @@ def test_rows_of_the_global_forest_are_dealt_to_tasks_of_a_fixed_size(table, mon
     monkeypatch.setattr(clusters, "FOREST_TASK_ROWS", 30)
     small = {r["feature"]: r["importance"] for r in clusters.rf_importance_global(table, ["a", "b", "c"], trees=20).collect()}
     assert dealt == [5, 20] and all(abs(plain[f] - small[f]) < 0.1 for f in plain)
+
+
+def test_folded_rows_grow_the_same_trees(table, monkeypatch):
+    data = forests.binned(table.unionAll(table).repartition(3, "a"), ["a", "b"], ["som_x", "som_y"])
+    plain, plain_gained = forests.grow(data, 3, 3, 7)
+    for rows, room in ((forests.ROWS_AT_ONCE, forests.COUNT_BYTES), (40, 1)):  # a task that may hold few combinations passes them on early
+        with monkeypatch.context() as m:
+            m.setattr(forests, "ROWS_AT_ONCE", rows)
+            m.setattr(forests, "COUNT_BYTES", room)
+            fold = forests.folded(data, 3, 7)
+        assert fold.folded
+        grown, gained = forests.grow(fold, 3, 3, 7)
+        assert (grown.feature == plain.feature).all() and (grown.bin == plain.bin).all() and (gained == plain_gained).all()
+    monkeypatch.setattr(forests, "FOLDED_PLACES", 100)
+    assert forests.folded(data, 3, 7) is data
+
+
+def test_folded_rows_are_bounded_by_combinations(spark, table):
+    many = table.crossJoin(spark.range(50)).repartition(6)
+    fold = forests.folded(forests.binned(many, ["a"], ["som_x", "som_y"]), 3, 7)
+    rows = fold.rows.toPandas()
+    assert len(rows) <= 4 * forests.BINS and not rows.assign(bins=rows["bins"].map(tuple)).duplicated(["bins", "cluster"]).any()
+    one = forests.folded(forests.binned(table, ["a"], ["som_x", "som_y"]), 3, 7).rows.toPandas()
+    total = lambda t: sum(np.frombuffer(x, np.int64) for x in t["times"])
+    assert (total(rows) == 50 * total(one)).all()
