@@ -46,6 +46,7 @@ class Binned:
     rows: DataFrame
     cells: list[tuple]
     edges: list[np.ndarray]
+    size: int
     folded: bool = False
 
     @property
@@ -54,8 +55,8 @@ class Binned:
 
     @property
     def kind(self) -> type:
-        """Of counts: a folded row may stand for very many."""
-        return np.int64 if self.folded else np.int32
+        """Of counts: a folded row may stand for any number, and a tree draws each up to ``len(DRAWN)`` times."""
+        return np.int64 if self.folded and self.size * len(DRAWN) > np.iinfo(np.int32).max else np.int32
 
 
 @dataclass
@@ -119,7 +120,7 @@ def binned(df: DataFrame, columns: list[str], by: list[str], bins: int = BINS) -
     known = complete.join(F.broadcast(numbers), [complete[c] == numbers[f"_{c}"] for c in by])  # a row for each cluster
     rows = known.select(F.array(*[place_of(n, e).cast("short") for n, e in zip(names, edges)]).alias("bins"), F.col("cluster").cast("int"),
                         F.xxhash64(*names, *by).alias("place"))
-    return Binned(rows, cells, edges)
+    return Binned(rows, cells, edges, sum(r["n"] for r in counted))
 
 
 def _draws(place: np.ndarray, tree: int, seed: int) -> np.ndarray:
@@ -192,8 +193,10 @@ def folded(data: Binned, trees: int, seed: int) -> Binned:
                     total[slot[found]] += np.stack([np.add.reduceat(_draws(place, tree, seed), begin) for tree in range(trees)], axis=1)
         yield from sent()
 
-    schema = "bins array<short>, cluster int, times binary"
-    return replace(data, rows=data.rows.mapInArrow(fold, schema).repartition("cluster", "bins").mapInArrow(fold, schema), folded=True)
+    schema, cores = "bins array<short>, cluster int, times binary", data.rows.sparkSession.sparkContext.defaultParallelism
+    # Not more tasks than cores: a task of a level returns counts of all nodes, however few its rows are, and these rows are bounded.
+    dealt = data.rows.mapInArrow(fold, schema).repartition(cores, "cluster", "bins")
+    return replace(data, rows=dealt.mapInArrow(fold, schema), folded=True)
 
 
 def level_counts(data: Binned, grown: Trees, level: int, trees: list[int], seed: int, sampled: bool = True, bins: int = BINS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Forests grown level by level, against trees grown node by node."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -133,6 +135,8 @@ def test_folded_rows_grow_the_same_trees(table, monkeypatch):
         assert fold.folded
         grown, gained = forests.grow(fold, 3, 3, 7)
         assert (grown.feature == plain.feature).all() and (grown.bin == plain.bin).all() and (gained == plain_gained).all()
+    large = replace(fold, size=1 << 40)
+    assert fold.kind is np.int32 and large.kind is np.int64 and (forests.grow(large, 3, 3, 7)[1] == plain_gained).all()
     monkeypatch.setattr(forests, "FOLDED_PLACES", 100)
     assert forests.folded(data, 3, 7) is data
 
