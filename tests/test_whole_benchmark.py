@@ -29,3 +29,14 @@ def test_neighbours_are_searched_for_every_complete_row(spark, folder):
     assert set(rows["sample_id"]) == complete_ids(spark, folder) and set(rows["split"]) == {"Test", "Train"}
     assert (rows.drop_duplicates().groupby("sample_id").size() == 62).all()  # every mask of six columns
 
+
+def test_imputers_are_compared_on_every_complete_row(spark, folder, monkeypatch):
+    scored = {}
+
+    def compare(models):
+        scored.update({name: {r[0] for r in rows.select("sample_id").distinct().collect()} for name, rows in models.items()})
+        return spark.range(1).select(F.lit(1).alias("level"))
+
+    monkeypatch.setattr(study.evaluation, "compare_imputers", compare)
+    contract.queries()["imputer_comparison"](spark, folder)
+    assert scored == dict.fromkeys(("VAE", "kNN"), complete_ids(spark, folder))
